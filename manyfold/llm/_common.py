@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space as the contracts have it.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -66,3 +67,8 @@ def worker_threads_off() -> None:
     """One thread for each Python worker: the executor's cores are taken by its tasks."""
     for k, v in (("TOKENIZERS_PARALLELISM", "false"), ("RAYON_NUM_THREADS", "1"), ("OMP_NUM_THREADS", "1"), ("OPENBLAS_NUM_THREADS", "1")):
         os.environ.setdefault(k, v)
+
+
+def with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    """A copy of ``schema`` with one more column."""
+    return T.StructType([*schema.fields, T.StructField(name, kind)])

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def tokenizer_file(name: str) -> str:
@@ -17,6 +18,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(doc_id: str = "doc_id", folds: int = 4) -> Column:
+    """The fold that nothing is learned from: crc32 of the identifier as text leaves 2."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == 2, F.lit(False))
+
+
+def op4_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import train, with_score
+
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    model = train(docs, labels.where(~held_out()))
+    scored = with_score(docs, model).select("doc_id", held_out().alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -29,6 +44,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, with_quality
+
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), _table(spark, sf_dir, "labels")
+    scored = with_quality(docs, fit(docs, labels.where(~held_out())), F.col("source"), F.col("lang"), name="score")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("score_evidence").alias("evidence"), F.col("score_host").alias("host_prior"), F.col("score_path").alias("path_prior"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
