@@ -23,6 +23,12 @@ def held_out(doc_id: str = "doc_id", folds: int = 4) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == 2, F.lit(False))
 
 
+def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), with_ids=False)
+
+
 def op4_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import train, with_score
 

@@ -38,7 +38,7 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """McMahan's FTRL-proximal, one example at a time, for presence features and a bias at 2 ** BITS."""
 
-    def __init__(self, alpha: float = 0.15, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0):
+    def __init__(self, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
@@ -57,7 +57,7 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS, epochs: int = 2, seed: int = 11) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS, epochs: int = 3, seed: int = 11) -> tuple[np.ndarray, np.ndarray, float]:
     """Coordinates (ascending), their weights, and the bias, from the labelled rows of ``docs``.
 
     Of the labelled rows, ``most`` with the smallest hash of their identifier are used: a sample
