@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -72,3 +73,9 @@ def worker_threads_off() -> None:
 def with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     """A copy of ``schema`` with one more column."""
     return T.StructType([*schema.fields, T.StructField(name, kind)])
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of what is written and no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

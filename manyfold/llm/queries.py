@@ -29,6 +29,14 @@ def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), with_ids=False)
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_lm import score
+
+    fold = F.crc32(F.col("doc_id").cast("string")) % 7
+    scored = score(_table(spark, sf_dir, "documents"), F.coalesce(fold != 2, F.lit(True)), fold == 3)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import train, with_score
 
