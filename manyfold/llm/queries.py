@@ -37,6 +37,14 @@ def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import decode, encode
+
+    model = tokenizer_file("piece_bpe_32k.model")
+    rows = decode(encode(_table(spark, sf_dir, "documents"), model), model)
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.crc32("decoded").alias("decoded_crc32"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op4_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import train, with_score
 
