@@ -1,19 +1,77 @@
-"""The corpus pipeline: stages that each take (spark, docs, sf_dir) and return a DataFrame."""
+"""The corpus pipeline: toxicity, quality, exact dedup, near-dedup, packing.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``docs``. What a stage drops is gone for the next. Empty tables pass through, rows without an
+identifier are kept where their text is kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from manyfold.llm import queries as q
+from manyfold.llm._common import release, stage
+from manyfold.llm.exact_dedup import exact_dedup
+from manyfold.llm.packing import pack
+from manyfold.llm.quality import fit, with_quality
+from manyfold.llm.simhash import near_dedup
+from manyfold.llm.toxicity import train, with_score
+
+#: A document goes if its toxicity is at least this, or its quality below that.
+TOXIC_FROM, GOOD_FROM = 0.3, 0.3
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents whose text scores as toxic."""
+    model = train(docs, _labels(spark, sf_dir).where(~q.held_out()))
+    return with_score(docs, model, name="__toxicity").where(F.col("__toxicity") < TOXIC_FROM).select(*docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents of low posterior quality."""
+    model = fit(docs, _labels(spark, sf_dir).where(~q.held_out()))
+    scored = with_quality(docs, model, F.col("source"), F.col("lang"), name="__quality")
+    return scored.where(F.col("__quality") >= GOOD_FROM).select(*docs.columns)
+
 
-STAGES: list = []
+def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose identifier is in ``kept``; rows without one are matched as null."""
+    kept = kept.select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, keeps the one with the most code points, then the smallest identifier."""
+    return _keep(docs, exact_dedup(docs).where("kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a group of near duplicates, keeps the document with the smallest identifier."""
+    found = near_dedup(docs)
+    return _keep(docs, found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all remaining documents in sequences of 2048 ids."""
+    return pack(docs, q.tokenizer_file("byte_bpe_50k.json"), with_ids=False)
+
+
+STAGES = [("toxicity", not_toxic), ("quality", good_quality), ("exact_dedup", exact), ("simhash_near_dedup", near), ("packing", packed)]
+
+#: Toxicity and quality are learned, which SQL can't express; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from manyfold.llm._common import stage
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, f) in enumerate(STAGES):
         docs = f(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stage(spark, docs, name)
+            release(spark)
     return docs
