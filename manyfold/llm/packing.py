@@ -58,9 +58,10 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     the key of the origin."""
     n = len(ids)
     doc = np.repeat(np.arange(n), [len(x) for x in ids])
-    all_ids = np.concatenate(ids).astype(np.uint64) if n else np.zeros(0, dtype=np.uint64)
+    all_ids = np.concatenate(ids) if n else np.zeros(0, dtype=np.uint32)
     with np.errstate(over="ignore"):
-        counts = np.bincount(doc * DIMENSIONS + (mix(all_ids) >> np.uint64(54)).astype(np.int64), minlength=n * DIMENSIONS).reshape(n, DIMENSIONS).astype(np.float64)
+        place = (mix(np.arange(int(all_ids.max(initial=0)) + 1, dtype=np.uint64)) >> np.uint64(54)).astype(np.int64)
+        counts = np.bincount(doc * DIMENSIONS + place[all_ids], minlength=n * DIMENSIONS).reshape(n, DIMENSIONS).astype(np.float64)
         signs = np.where(mix(np.arange(DIMENSIONS * AXES, dtype=np.uint64) + np.uint64(1 << 32)) >> np.uint64(63), 1.0, -1.0).reshape(DIMENSIONS, AXES)
     norm = np.sqrt((counts * counts).sum(axis=1))
     at = (counts @ signs) / np.maximum(norm, 1e-12)[:, None]

@@ -2,7 +2,7 @@
 
 The library spends tens of microseconds on a word; texts repeat their words. For the two kinds of
 file below, splitting at single blanks and line feeds never changes the library's result, so a
-worker keeps the ids of the words it has met (bounded; emptied when full) and asks the library
+worker keeps the ids of the words it has met (bounded) and asks the library
 only for new ones, many at a time. Other kinds, and texts with other white space, go to the
 library as they are.
 """
@@ -11,15 +11,21 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 from ._common import worker_threads_off
 
-KEPT_WORDS = 800_000
+#: Words that a worker knows at most, in two generations: what the last one met outlives it.
+KEPT_WORDS = 1_200_000
 _SAFE_BREAK = re.compile(r"(?<=\S)([ \n])(?=\S)")
 _ID = np.dtype("<u4")
+_ENDS = frozenset(".,;:!?")
+#: Byte-level files write a byte that isn't a printable Latin-1 character as one from U+0100 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTES = {b: chr(256 + k) for k, b in enumerate(_HIDDEN)}
 
 
 class Encoder:
@@ -32,9 +38,12 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = _kind(json.loads(self.library.to_str()))
-        self.known: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes | bool] = {}
+        self.older: dict[str, bytes | bool] = {}
         if self.kind == "blank":
-            self.mark = int.from_bytes(self._whole(["a\nb"])[0][4:-4], "little")
+            self.feed = self._whole(["a\nb"])[0][4:-4]
+            self.mark = np.zeros(self.library.get_vocab_size(), dtype=bool)
+            self.mark[[i for w, i in self.library.get_vocab().items() if w.startswith("\u0120")]] = True  # a blank's byte
         elif self.kind == "dropped":
             self.mark = np.zeros(self.library.get_vocab_size(), dtype=bool)
             self.mark[[i for w, i in self.library.get_vocab().items() if w.endswith(self.library.model.end_of_word_suffix)]] = True
@@ -42,16 +51,23 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         if self.kind == "other":
             return self._whole(texts)
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
+        if len(self.known) > KEPT_WORDS // 2:
+            self.known, self.older = {}, self.known
         split = [self._words(t) for t in texts]
-        new = set().union(*split).difference(self.known)
+        found = [list(map(self.known.get, words)) for words in split]
+        gaps = [[i for i, x in enumerate(f) if x is None] for f in found]
+        new = {words[i] for words, g in zip(split, gaps) for i in g}
+        if self.older and (met := new & self.older.keys()):
+            self.known |= {w: self.older[w] for w in met}
+            new -= met
         if new:
             self._learn(new)
-        known, out = self.known, []
-        for text, words in zip(texts, split):
+        out = []
+        for text, words, f, g in zip(texts, split, found, gaps):
+            for i in g:
+                f[i] = self.known[words[i]]
             try:
-                out.append(b"".join(map(known.__getitem__, words)))
+                out.append(b"".join(f))
             except TypeError:  # a word with white space at an end, where a break is not safe
                 out.append(self._pieces(text))
         return out
@@ -70,7 +86,7 @@ class Encoder:
         return out
 
     def _learn(self, new: set[str]) -> None:
-        """Put the ids of ``new`` into ``known``; None where the word must not stand alone."""
+        """Put the ids of ``new`` into ``known``; False where the word must not stand alone."""
         known, blank = self.known, self.kind == "blank"
         if not blank:
             if "" in new:
@@ -79,44 +95,71 @@ class Encoder:
             known.update(self._joined(list(new)))
             return
         odd = [w for w in new if (c := w[1:] if w[:1] == " " else w).strip() != c or not c]
-        known.update(dict.fromkeys(odd))
+        known.update(dict.fromkeys(odd, False))
         new.difference_update(odd)
         if "\n" in odd:
-            known["\n"] = self._whole(["a\nb"])[0][4:-4]
+            known["\n"] = self.feed
         known.update(self._joined(list(new)))
 
     def _joined(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each word, many words to a call. In the kind ``blank`` a line feed between
-        words becomes an id that no word has; in the other, ids that end a word part are counted."""
-        out: dict[str, bytes] = {}
+        """The ids of each word, many words to a call. In the kind ``blank`` a word begins with an
+        id that begins with a blank, and no other id does; in the other kind, ids that end a part
+        of a word are counted."""
+        out = self._plain(words)
+        words = [w for w in words if w not in out]
         if self.kind == "blank":
-            sure, alone = words, [w for w in words if w[:1] != " "]
-            if alone:
-                out |= zip(alone, self._whole(alone))
-                sure = [w for w in words if w not in out]
-            parts, glue = None, "\n"
+            sure, alone, glue = [w for w in words if w[0] == " "], [w for w in words if w[0] != " "], ""
+            parts = [1] * len(sure)
         else:
             parts = [1 if w.isalpha() else 2 if w[:-1].isalpha() and w[-1] in ".,;:!?" else 0 for w in words]
-            if alone := [w for w, n in zip(words, parts) if not n]:
-                out |= zip(alone, self._whole(alone))
-            sure, parts, glue = [w for w, n in zip(words, parts) if n], [n for n in parts if n], " "
+            sure, alone, glue = [w for w, n in zip(words, parts) if n], [w for w, n in zip(words, parts) if not n], " "
+            parts = [n for n in parts if n]
+        out |= zip(alone, self._whole(alone))
         for i in range(0, len(sure), 1024):
             some = sure[i : i + 1024]
-            ids = np.array(self.library.encode(glue.join(some), add_special_tokens=False).ids, dtype=_ID)
-            if parts is None:
-                cut = np.flatnonzero(ids == self.mark)
-                first, last = [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), 4 * len(ids)]
+            ids = np.array(self.library.encode_batch_fast([glue.join(some)], add_special_tokens=False)[0].ids, dtype=_ID)
+            marks, upto = np.flatnonzero(self.mark[ids]), np.cumsum(parts[i : i + 1024])
+            if len(marks) != upto[-1]:  # normalising has split a word; no word has fewer marks than counted
+                out |= zip(some, self._whole(some))
+                continue
+            if self.kind == "blank":
+                first = (4 * marks).tolist()
+                last = [*first[1:], 4 * len(ids)]
             else:
-                ends, upto = np.flatnonzero(self.mark[ids]), np.cumsum(parts[i : i + 1024])
-                if len(ends) != upto[-1]:  # normalising has split a word; no word has fewer parts than counted
-                    out |= zip(some, self._whole(some))
-                    continue
-                last = (4 * ends[upto - 1] + 4).tolist()
+                last = (4 * marks[upto - 1] + 4).tolist()
                 first = [0, *last[:-1]]
             data = ids.tobytes()
             out |= zip(some, [data[a:b] for a, b in zip(first, last)])
         return out
 
+    def _plain(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that are Latin letters with at most a mark of punctuation behind: their
+        parts are known without the library's splitting, so only its model is asked."""
+        model, blank, ends, out = self.library.model.tokenize, self.kind == "blank", {}, {}
+        for w in words:
+            core = w[1:] if blank and w[0] == " " else w
+            end = ""
+            if not core.isalpha():
+                end, core = core[-1:], core[:-1]
+                if end not in _ENDS or not core.isalpha():
+                    continue
+            if not core.isascii():
+                if max(core) > "\u00ff":
+                    continue
+                core = core if blank else core.lower()
+                core = core.encode().decode("latin-1").translate(_BYTES)
+            elif not blank:
+                core = core.lower()
+            if blank and w[0] == " ":
+                core = "\u0120" + core
+            got = array("I", [t.id for t in model(core)]).tobytes()
+            if end:
+                if end not in ends:
+                    ends[end] = self._whole([end])[0]
+                got += ends[end]
+            out[w] = got
+        return out
+
     def _pieces(self, text: str) -> bytes:
         """A text with other white space: broken only between two characters that are not white."""
         if self.kind == "dropped":
@@ -125,10 +168,10 @@ class Encoder:
         out, words = [], [parts[0]]
         for sep, word in zip(parts[1::2], parts[2::2]):
             words += [" " + word] if sep == " " else ["\n", word]
-        alone = [w for w in set(words) if self.known.get(w) is None]
+        alone = [w for w in set(words) if not isinstance(self.known.get(w), bytes)]
         got = dict(zip(alone, self._whole(alone)))
         if "\n" in got:
-            got["\n"] = self._whole(["a\nb"])[0][4:-4]
+            got["\n"] = self.feed
         for w in words:
             out.append(got[w] if w in got else self.known[w])
         return b"".join(out)
