@@ -155,8 +155,8 @@ def with_quality(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarra
         logit = logit + F.col("__x")[i] * float(c)
     rows = rows.withColumn("__p", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))))).drop("__x")
     sites, mean_p = site_posteriors(rows, "__h", "__q", "__p")
-    sites = stage(spark, sites, "sites")
+    sites = stage(spark, sites.select(F.col("h").alias("__sh"), F.col("q").alias("__sq"), F.col("host_prior").alias("__hp"), F.col("path_prior").alias("__qp")), "sites")
     few = sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
-    rows = rows.join(F.broadcast(sites) if few else sites, F.col("__h").eqNullSafe(F.col("h")) & F.col("__q").eqNullSafe(F.col("q")), "left")
-    z = _odds(F.col("__p")) + weight * (_odds(F.col("path_prior")) - _odds(F.lit(mean_p)))
-    return rows.select(*(F.col(f"`{c}`") for c in kept), (1 / (1 + F.exp(-z))).alias(new[0]), F.col("__p").alias(new[1]), F.col("host_prior").alias(new[2]), F.col("path_prior").alias(new[3]))
+    rows = rows.join(F.broadcast(sites) if few else sites, F.col("__h").eqNullSafe(F.col("__sh")) & F.col("__q").eqNullSafe(F.col("__sq")), "left")
+    z = _odds(F.col("__p")) + weight * (_odds(F.col("__qp")) - _odds(F.lit(mean_p)))
+    return rows.select(*(F.col(f"`{c}`") for c in kept), (1 / (1 + F.exp(-z))).alias(new[0]), F.col("__p").alias(new[1]), F.col("__hp").alias(new[2]), F.col("__qp").alias(new[3]))
