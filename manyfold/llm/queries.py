@@ -97,17 +97,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
-_JUMP = """
-j{n} AS (
-  SELECT k, k AS key, CAST(0 AS HUGEINT) AS b, CAST(0 AS HUGEINT) AS j FROM keys
-  UNION ALL
-  SELECT k, key2, j, CAST(floor(CAST(j + 1 AS DOUBLE) * (CAST(2147483648 AS DOUBLE) / CAST(key2 // 8589934592 + 1 AS DOUBLE))) AS HUGEINT)
-  FROM (SELECT k, j, ((key * 2862933555777941757) % 18446744073709551616 + 1) % 18446744073709551616 AS key2 FROM j{n} WHERE j < {n})
-), s{n} AS (SELECT k, CAST(max(j) AS INTEGER) AS s FROM j{n} WHERE j < {n} GROUP BY k)"""
-
-
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_epsilon_grid_join": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, len(embedding) AS d FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.d = b.d AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), r AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+), c AS (SELECT x, min(y) AS c FROM r GROUP BY x), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, c = vec_id AS kept FROM embeddings JOIN c ON vec_id = c.x LEFT JOIN n ON vec_id = n.x""",
         "op8_exact_dedup": """
 WITH r AS (
   SELECT doc_id, coalesce(text, '') AS t, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS h FROM documents
