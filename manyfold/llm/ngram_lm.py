@@ -21,6 +21,7 @@ each occurrence, so no bucket is hot.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,17 +51,29 @@ def unplanes(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts, most of them small, as compressed planes."""
+    return zlib.compress(planes(counts.astype("<u4")), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return unplanes(zlib.decompress(data), "<u4")
+
+
 def tokenised(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct hashes ascending, place of each token's hash, tokens of each text); a text's last
-    token is its end."""
+    """(distinct hashes, the frequent ones first, place of each token's hash, tokens of each text); a
+    text's last token is its end."""
     parts, counts = [], []
     for s in chunks(texts):
         w = Words(texts[s])
         parts.append(np.insert(w.hash, w.word_ends, END))
         counts.append(w.counts + 1)
     hashes = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
-    words, place = np.unique(hashes, return_inverse=True)
-    return words, place.astype(np.uint32), np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
+    words, place, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(words), dtype=np.uint32)
+    rank[order] = np.arange(len(words))
+    return words[order], rank[place], np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
 
 
 class Block:
@@ -68,7 +81,11 @@ class Block:
     word, its context and its pair lie in them (context -1: the start of a text)."""
 
     def __init__(self, words: np.ndarray, place: np.ndarray, counts: np.ndarray):
-        self.words, self.v, n = words, place.astype(np.int64), len(words)
+        n, order = len(words), np.argsort(words)
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.arange(n)
+        self.words, self.v = words[order], rank[place]
+        words = self.words
         self.ends = np.cumsum(counts)
         before = np.empty(len(place), dtype=np.int64)
         before[1:] = self.v[:-1]
@@ -86,7 +103,7 @@ class Block:
         out = {}
         for kind, size in ((1, len(self.words)), (2, len(self.pairs))):
             mine = sorted(r for r in replies if r[0] == kind)
-            out[kind] = tuple(np.concatenate([np.zeros(0, dtype="<u4"), *(unplanes(r[k], "<u4") for r in mine)]).astype(np.float64) for k in (2, 3))
+            out[kind] = tuple(np.concatenate([np.zeros(0, dtype="<u4"), *(unpacked(r[k]) for r in mine)]).astype(np.float64) for k in (2, 3))
             assert len(out[kind][0]) == size
         return out
 
@@ -97,10 +114,11 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _block_of(t: pa.Table | pa.RecordBatch, i: int = 0) -> tuple[Block, dict[str, np.ndarray]]:
-    row = {c: t.column(c)[i].as_py() for c in ("words", "place", "counts", "train", "fold")}
+    row = {c: t.column(c)[i].as_py() for c in ("block", "words", "place", "counts", "train")}
     counts = np.frombuffer(row["counts"], dtype="<i8")
-    flags = {k: np.repeat(np.frombuffer(row[k], dtype=np.uint8), counts).astype(bool) for k in ("train", "fold")}
-    return Block(np.frombuffer(row["words"], dtype="<u8"), np.frombuffer(row["place"], dtype="<u4"), counts), flags
+    train = np.repeat(np.frombuffer(row["train"], dtype=np.uint8), counts).astype(bool)
+    flags = {"train": train, "fold": train & (row["block"] % 2 == 1)}
+    return Block(np.frombuffer(row["words"], dtype="<u8"), unplanes(row["place"], "<u4"), counts), flags
 
 
 def _frequency_bucket(c: np.ndarray) -> np.ndarray:
@@ -139,31 +157,38 @@ def score(docs: DataFrame, training: Column, fold: Column, id_col: str = "doc_id
     ship(spark)
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = number = 0
+        held: dict[bool, list[tuple]] = {False: [], True: []}
+        size, number = {False: 0, True: 0}, 0
 
-        def full() -> pa.RecordBatch:
-            names, texts, train, part = (list(x) for x in zip(*held))
+        def full(in_fold: bool) -> pa.RecordBatch:
+            nonlocal number
+            names, texts, flags, part = (list(x) for x in zip(*held[in_fold]))
             words, place, counts = tokenised(texts)
-            flag = lambda k: pa.array([np.array([bool(x & k) for x in train], dtype=np.uint8).tobytes()], pa.binary())
-            return pa.RecordBatch.from_pydict({"block": pa.array([(part[0] << 32) + number], pa.int64()), "ids": pa.array([names], pa.list_(pa.int64())), "counts": pa.array([counts.astype("<i8").tobytes()], pa.binary()), "train": flag(1), "fold": flag(2), "words": pa.array([words.tobytes()], pa.binary()), "place": pa.array([place.tobytes()], pa.binary()), "tokens": pa.array([int(counts.sum())], pa.int64()), "train_tokens": pa.array([int(counts[[bool(x & 1) for x in train]].sum())], pa.int64()), "train_docs": pa.array([sum(x & 1 for x in train)], pa.int64()), "fold_docs": pa.array([sum(x >> 1 for x in train)], pa.int64()), "fold_tokens": pa.array([int(counts[[bool(x & 2) for x in train]].sum())], pa.int64())})
+            train = np.array([x & 1 for x in flags], dtype=np.uint8)
+            block = ((part[0] << 32) + number) * 2 + in_fold
+            held[in_fold], size[in_fold], number = [], 0, number + 1
+            plain = {"block": block, "tokens": int(counts.sum()), "train_tokens": int(counts[train > 0].sum()), "train_docs": int(train.sum())}
+            data = {"counts": counts.astype("<i8").tobytes(), "train": train.tobytes(), "words": words.tobytes(), "place": planes(place)}
+            return pa.RecordBatch.from_pydict({"ids": pa.array([names], pa.list_(pa.int64()))} | {k: pa.array([v], pa.int64()) for k, v in plain.items()} | {k: pa.array([v], pa.binary()) for k, v in data.items()})
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                held.append(row)
-                size += len(row[1] or "") + 1
-                if size >= BLOCK_BYTES:
-                    yield full()
-                    held, size, number = [], 0, number + 1
-        if held:
-            yield full()
+                in_fold = row[2] > 1
+                held[in_fold].append(row)
+                size[in_fold] += len(row[1] or "") + 1
+                if size[in_fold] >= BLOCK_BYTES:
+                    yield full(in_fold)
+        for in_fold in (False, True):
+            if held[in_fold]:
+                yield full(in_fold)
 
     train = F.coalesce(training, F.lit(False))
     flags = F.when(train, 1 + 2 * F.coalesce(fold, F.lit(False)).cast("int")).otherwise(0)
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), flags.alias("f"), F.spark_partition_id().cast("long").alias("p"))
-    blocks = stage(spark, rows.mapInArrow(blocked, "block long, ids array<long>, counts binary, train binary, fold binary, words binary, place binary, tokens long, train_tokens long, train_docs long, fold_docs long, fold_tokens long"), "lm-blocks")
-    total = [int(x or 0) for x in blocks.agg(*(F.sum(c) for c in ("tokens", "train_tokens", "train_docs", "fold_docs", "fold_tokens"))).first()]
-    tokens, n_train, train_docs, fold_docs, fold_tokens = total
+    blocks = stage(spark, rows.mapInArrow(blocked, "ids array<long>, block long, tokens long, train_tokens long, train_docs long, counts binary, train binary, words binary, place binary"), "lm-blocks")
+    in_fold = F.col("block") % 2 == 1  # a block holds the fold's texts only, or none of them
+    sums = [F.sum(c) for c in ("tokens", "train_tokens", "train_docs")] + [F.sum(F.when(in_fold, F.col(c))) for c in ("train_tokens", "train_docs")]
+    tokens, n_train, train_docs, fold_tokens, fold_docs = (int(x or 0) for x in blocks.agg(*sums).first())
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS), 1)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,17 +201,18 @@ def score(docs: DataFrame, training: Column, fold: Column, id_col: str = "doc_id
                     cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
                     for k in np.flatnonzero(np.diff(cut)):
                         s = slice(cut[k], cut[k + 1])
-                        out.append((int(k), kind, name, planes(np.diff(keys[s], prepend=np.uint64(0))), planes(counts[0][s]), planes(counts[1][s])))
+                        out.append((int(k), kind, name, planes(np.diff(keys[s], prepend=np.uint64(0))), packed(counts[0][s]), packed(counts[1][s]) if name % 2 else b""))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "kind", "block", "keys", "train", "fold"])
 
     def answered(t: pa.Table) -> pa.Table:
         keys = [np.cumsum(unplanes(x, "<u8"), dtype=np.uint64) for x in t.column("keys").to_pylist()]
-        counts = [np.concatenate([unplanes(x, "<u4") for x in t.column(c).to_pylist()]).astype(np.float64) for c in ("train", "fold")]
+        counts = [np.concatenate([unpacked(x) if x else np.zeros(len(k), dtype="<u4") for x, k in zip(t.column(c).to_pylist(), keys)]).astype(np.float64) for c in ("train", "fold")]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         sums = [np.bincount(at, weights=c, minlength=len(distinct)) for c in counts]
         ends = np.cumsum([len(k) for k in keys])
         every = [s[at].astype("<u4") for s in sums]
-        back = [[planes(e[b - len(k) : b]) for k, b in zip(keys, ends)] for e in every]
+        mine = [[True] * len(keys), [b % 2 == 1 for b in t.column("block").to_pylist()]]
+        back = [[packed(e[b - len(k) : b] if m else e[:0]) for k, b, m in zip(keys, ends, ms)] for e, ms in zip(every, mine)]
         one = np.zeros(t.num_rows, dtype=np.int64)
         seen, rest = one.copy(), one.copy()
         if t.column("kind")[0].as_py() == 1:
@@ -194,9 +220,10 @@ def score(docs: DataFrame, training: Column, fold: Column, id_col: str = "doc_id
         return pa.table({"block": t.column("block"), "kind": t.column("kind"), "bucket": t.column("bucket"), "train": pa.array(back[0], pa.binary()), "fold": pa.array(back[1], pa.binary()), "seen": seen, "rest": rest})
 
     # nothing needs the plain texts from here on
-    grams = blocks.select("block", "counts", "train", "fold", "words", "place").mapInArrow(sent, "bucket int, kind int, block long, keys binary, train binary, fold binary")
+    grams = blocks.select("block", "counts", "train", "words", "place").mapInArrow(sent, "bucket int, kind int, block long, keys binary, train binary, fold binary")
     replies = grams.groupBy("kind", "bucket").applyInArrow(answered, "block long, kind int, bucket int, train binary, fold binary, seen long, rest long")
     replies = stage(spark, replies, "lm-counts")
+    del grams
     seen, rest = (int(x or 0) for x in replies.agg(F.sum("seen"), F.sum("rest")).first())
     release(spark)
 
@@ -221,12 +248,13 @@ def score(docs: DataFrame, training: Column, fold: Column, id_col: str = "doc_id
     weights = learn_weights(np.zeros(0, dtype=np.int64), np.zeros((0, 3)), np.zeros(0))
     by_block = lambda df: df.groupBy("block")
     if fold_tokens:
-        cells = by_block(blocks.where("fold_tokens > 0").select("block", "counts", "train", "fold", "words", "place")).cogroup(by_block(replies.select("block", "kind", "bucket", "train", "fold").join(blocks.where("fold_tokens = 0").select("block"), "block", "left_anti"))).applyInArrow(held_out, "b long, p1 long, p2 long, n long")
+        cells = by_block(blocks.where(in_fold).select("block", "counts", "train", "words", "place")).cogroup(by_block(replies.where(in_fold).select("block", "kind", "bucket", "train", "fold"))).applyInArrow(held_out, "b long, p1 long, p2 long, n long")
         # at most BUCKETS times the steps of two quantised logarithms
         got = cells.groupBy("b", "p1", "p2").agg(F.sum("n").alias("n")).toPandas()
         back = lambda s: np.where(s == 1, 0.0, np.exp2(np.minimum(s, 0) / STEPS))
         p = np.column_stack((np.full(len(got), 1 / (rest + 1)), back(got["p1"].to_numpy()), back(got["p2"].to_numpy())))
         weights = learn_weights(got["b"].to_numpy(), p, got["n"].to_numpy(dtype=float))
+        del cells
         release(spark)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -240,4 +268,4 @@ def score(docs: DataFrame, training: Column, fold: Column, id_col: str = "doc_id
         add = lambda x: np.add.reduceat(x, starts)
         return pa.table({"doc_id": left.column("ids").combine_chunks().flatten(), "trained": flag["train"][starts], "n_tokens": b.ends - starts, "n_known": add((count > 0).astype(np.int64)), "train_tokens": np.full(len(starts), n_train), "base_score": add(base), "score": add(value)})
 
-    return by_block(blocks.select("block", "ids", "counts", "train", "fold", "words", "place")).cogroup(by_block(replies.select("block", "kind", "bucket", "train", "fold"))).applyInArrow(scored, "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return by_block(blocks.select("block", "ids", "counts", "train", "words", "place")).cogroup(by_block(replies.select("block", "kind", "bucket", "train", "fold"))).applyInArrow(scored, "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
