@@ -1,17 +1,23 @@
 """SentencePiece encoding by a batched numpy Viterbi, and decoding.
 
-The best segmentation of a text under its pieces' scores. A piece carries its blank in front, so a
-text falls apart before every blank; words of equal length advance together, character by character.
-For each end, the hashes of all substrings that end there come from prefix hashes, probe the sorted
-hashes of the pieces (a bitmap keeps most probes away), and a vectorised maximum over the starts
-stores score and backpointer. Of equal scores the longer last piece wins. A character without a
-piece of its own costs more than any piece and becomes its UTF-8 bytes' pieces.
+A piece carries its blank in front, so a text falls apart before every run of blanks; words of equal
+length advance together, character by character. For each end, the hashes of all substrings that end
+there come from prefix hashes and probe the sorted hashes of the pieces (a bitmap keeps most probes
+away); a vectorised maximum over the starts stores the backpointer. Of equal scores the longer last
+piece wins. A character without a piece of its own becomes its UTF-8 bytes' pieces.
+
+The score depends on the model. A unigram model's is the sum of the pieces' scores. A BPE model's
+ids are those that merging the best pair first gives, and that isn't the best sum. But a sequence of
+pieces is that result exactly if no two neighbours would have merged across their border, which the
+merges inside the two decide. So a piece scores only if it may follow the piece that the best path
+to its start ends with, and every path that survives is what the library gives.
 
 A worker keeps the ids of words it has met (bounded), as a corpus repeats its words.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +33,7 @@ BLANK = "▁"
 KEPT_WORDS = 600_000
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _FILTER_BITS = 20
+_RUN = re.compile(r" *[^ ]+| +")
 #: How much less than the lowest score a character without a piece scores.
 PENALTY = 10.0
 
@@ -41,7 +48,7 @@ class Pieces:
         m = SentencePieceProcessor(model_file=path)
         n = m.get_piece_size()
         self.surface, self.byte_ids = [b""] * n, [m.unk_id()] * 256
-        hashes, ids, scores, lengths = [], [], [], []
+        hashes, ids, scores, lengths, names, raw = [], [], [], [], [], []
         for i in range(n):
             p = m.id_to_piece(i)
             if m.is_control(i) or m.is_unknown(i):
@@ -51,10 +58,13 @@ class Pieces:
                 self.byte_ids[b], self.surface[i] = i, bytes([b])
                 continue
             self.surface[i] = p.replace(BLANK, " ").encode()
-            if BLANK in p[1:]:  # runs of blanks: a text falls apart before each blank
+            if BLANK in p.lstrip(BLANK):  # a text falls apart before each run of blanks
                 continue
+            names.append(p)
             codes = np.array([[ord(c) for c in p]], dtype=np.uint64)
-            hashes.append(_keys(_prefix(codes), len(p), np.array([len(p)]))[0, 0])
+            prefix = _prefix(codes)
+            raw.append(prefix[0, -1])
+            hashes.append(_keys(prefix, len(p), np.array([len(p)]))[0, 0])
             ids.append(i)
             scores.append(m.get_score(i))
             lengths.append(len(p))
@@ -67,6 +77,66 @@ class Pieces:
         self.maybe = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.maybe[(self.keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         self.known: dict[str, bytes] = {}
+        self.raw, self.length = np.array(raw, dtype=np.uint64)[order], np.array(lengths, dtype=np.int64)[order]
+        self.powers = _powers(int(2 * self.longest))
+        self.bpe = _model_type(open(path, "rb").read()) == 2
+        if self.bpe:
+            self._merge_trees([names[k] for k in order])
+
+    def _merge_trees(self, names: list[str]) -> None:
+        """How each piece comes about: the two pieces merged last, and the level down to which
+        merging must have gone by then. Pieces that merging never makes are no candidates."""
+        at = {p: k for k, p in enumerate(names)}
+        score = self.scores.tolist()
+        n = len(names)
+        self.left, self.right, self.level, self.made = np.full(n, -1), np.full(n, -1), np.full(n, np.inf), np.zeros(n, dtype=bool)
+        for k in sorted(range(n), key=lambda k: len(names[k])):
+            parts = list(names[k])
+            while len(parts) > 1:
+                found = [(score[m], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (m := at.get(a + b)) is not None]
+                if not found:
+                    break
+                i = -max(found)[1]
+                pair = parts[i], parts[i + 1]
+                parts[i : i + 2] = [pair[0] + pair[1]]
+            self.made[k] = len(parts) == 1
+            if len(parts) == 1 and len(names[k]) > 1:
+                a, b = at[pair[0]], at[pair[1]]
+                self.left[k], self.right[k], self.level[k] = a, b, min(score[k], self.level[a], self.level[b])
+
+    def _probe(self, key: np.ndarray) -> np.ndarray:
+        """The piece of each hash, or -1."""
+        out = np.full(len(key), -1, dtype=np.int64)
+        at = np.flatnonzero(self.maybe[(key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+        found = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
+        hit = self.keys[found] == key[at]
+        out[at[hit]] = found[hit]
+        return out
+
+    def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether merging the text of pieces a and b leaves a and b. -1: a character without piece.
+
+        The merges are undone, latest first. While the border has a pair whose merge is a piece, that
+        merge must come after the ones that take the pair's two sides away; of equal scores the left
+        one comes first."""
+        ok = np.ones(len(a), dtype=bool)
+        on = np.flatnonzero((a >= 0) & (b >= 0))
+        a, b = a[on], b[on]
+        took_a, took_b = np.full(len(a), -np.inf), np.full(len(a), -np.inf)
+        while len(on):
+            with np.errstate(over="ignore"):
+                n = self.length[a] + self.length[b]
+                key = mix(self.raw[a] * self.powers[self.length[b]] + self.raw[b] + n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            c = self._probe(key)
+            s = np.where(c >= 0, self.scores[c], -np.inf)
+            bad = (c >= 0) & (s > took_a) & (s >= took_b)
+            ok[on[bad]] = False
+            going = ~bad & ((self.left[a] >= 0) | (self.left[b] >= 0))
+            on, a, b, took_a, took_b = on[going], a[going], b[going], took_a[going], took_b[going]
+            from_b = (self.left[b] >= 0) & ((self.left[a] < 0) | (self.level[b] <= self.level[a]))
+            took_b, took_a = np.where(from_b, self.level[b], took_b), np.where(from_b, took_a, self.level[a])
+            a, b = np.where(from_b, a, self.right[a]), np.where(from_b, self.left[b], b)
+        return ok
 
     def viterbi(self, words: list[str]) -> list[bytes]:
         """The ids of words (blanks written as BLANK), all of one length."""
@@ -76,24 +146,27 @@ class Pieces:
         best = np.full((n, length + 1), -np.inf)
         best[:, 0] = 0
         size, piece = np.zeros((n, length + 1), dtype=np.int64), np.full((n, length + 1), -1, dtype=np.int64)
+        last = np.full((n, length + 1), -1, dtype=np.int64)  # as piece, in the order of the keys
         every = np.arange(n)
         for end in range(1, length + 1):
             span = np.arange(min(self.longest, end), 0, -1)  # longest first: argmax takes the first of equals
             keys = _keys(prefix, end, span)
-            at = np.flatnonzero(self.maybe[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-            key = keys.ravel()[at]
-            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[found] == key
-            at, found = at[hit], found[hit]
+            found = self._probe(keys.ravel())
+            at = np.flatnonzero(found >= 0)
+            found = found[at]
+            if self.bpe:
+                fits = self.made[found] & self.may_follow(last[at // len(span), end - span[at % len(span)]], found)
+                at, found = at[fits], found[fits]
             row, k = at // len(span), at % len(span)
             score = np.full((n, len(span)), -np.inf)
             score[row, k] = best[row, end - span[k]] + self.scores[found]
             which = np.full((n, len(span)), -1, dtype=np.int64)
-            which[row, k] = self.ids_of[found]
-            alone = which[:, -1] < 0
+            which[row, k] = found
+            alone = ~np.isfinite(score).any(axis=1) if self.bpe else which[:, -1] < 0
             score[alone, -1] = best[alone, end - 1] + self.unknown
             top = score.argmax(axis=1)
-            best[:, end], size[:, end], piece[:, end] = score[every, top], span[top], which[every, top]
+            last[:, end] = which[every, top]
+            best[:, end], size[:, end], piece[:, end] = score[every, top], span[top], np.where(last[:, end] >= 0, self.ids_of[last[:, end]], -1)
         steps, at = [], np.full(n, length)
         while (at > 0).any():
             steps.append(np.where(at > 0, piece[every, at], -2))
@@ -134,16 +207,22 @@ class Pieces:
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
     def _words(self, text: str) -> list[str]:
-        """A text with the blank that is put before it, cut before every blank and around line feeds."""
+        """A text with the blank that is put before it, cut before every run of blanks and around
+        line feeds."""
         if not text:
             return []
         out: list[str] = []
-        for k, line in enumerate(text.replace(BLANK, " ").split("\n")):
-            first, *rest = line.split(" ")
+        text = " " + text.replace(BLANK, " ")
+        runs = "  " in text
+        for k, line in enumerate(text.split("\n")):
             if k:
                 out.append("\n")
-            if not k or first:
-                out.append(first if k else " " + first)
+            if runs and "  " in line:
+                out += _RUN.findall(line)
+                continue
+            first, *rest = line.split(" ")
+            if first:
+                out.append(first)
             out += [" " + w for w in rest]
         return out
 
@@ -162,10 +241,47 @@ def _prefix(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=64)
+def _powers(n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(n, _P))))
+
+
+def _model_type(data: bytes) -> int:
+    """The model type (1 unigram, 2 BPE) in a model file: field 3 of the trainer's settings, which
+    are field 2 of the file."""
+
+    def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+        i = 0
+
+        def number() -> int:
+            nonlocal i
+            out = shift = 0
+            while True:
+                b = data[i]
+                i += 1
+                out |= (b & 127) << shift
+                shift += 7
+                if b < 128:
+                    return out
+
+        while i < len(data):
+            tag = number()
+            if tag & 7 == 0:
+                yield tag >> 3, number()
+            else:
+                n = {1: 8, 5: 4}.get(tag & 7) or number()
+                yield tag >> 3, data[i : i + n]
+                i += n
+
+    trainer = next((v for k, v in fields(data) if k == 2), b"")
+    return next((v for k, v in fields(trainer) if k == 3), 1)
+
+
 def _keys(prefix: np.ndarray, end: int, span: np.ndarray) -> np.ndarray:
     """Hashes of the substrings of each row that end at ``end`` and have the lengths ``span``."""
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(int(span.max()), _P))))[span]
+        power = _powers(int(span.max()))[span]
         return mix(prefix[:, end][:, None] - prefix[:, end - span] * power[None, :] + span.astype(np.uint64)[None, :] * np.uint64(0xC2B2AE3D27D4EB4F))
 
 

@@ -45,6 +45,28 @@ def _ids(name, text, end):
     return np.array([*ENCODERS[name].library.encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")
 
 
+MODEL = q.tokenizer_file("piece_bpe_32k.model")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(ODD, st.text("aehint r\n", max_size=30), st.text(max_size=15)), max_size=4))
+def test_viterbi_gives_the_librarys_ids(texts):
+    import sentencepiece
+
+    global _library
+    _library = globals().get("_library") or (sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.pieces(MODEL))
+    texts = [t.encode("utf-8", "ignore").decode().replace("\0", "") for t in texts]
+    got = [np.frombuffer(x, dtype="<u4") for x in _library[1].ids(texts)]
+    assert [x.tolist() for x in got] == _library[0].encode(texts)
+    assert [_library[1].text(x) for x in got] == [t.replace(pieces.BLANK, " ") for t in texts]
+
+
+def test_pieces_odd_rows(odd, rows):
+    out = [r.asDict() for r in pieces.decode(pieces.encode(odd, MODEL), MODEL).collect()]
+    assert sorted(((str(r["doc_id"]), r["decoded"]) for r in out)) == sorted((str(i), t or "") for i, t, *_ in rows)
+    assert all((len(r["ids"]) > 0) == (len(r["text"]) > 0) for r in out)
+
+
 def test_token_files_odd_rows(odd, rows):
     files = token_files.write_token_files(odd, q.tokenizer_file(FILES[1]), image_bytes=2000)
     got = [tuple(r) for r in token_files.read_token_files(files).collect()]
