@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import os
 import tempfile
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 _shipped: set[str] = set()
+_roots: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -48,12 +51,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, lost
-    executors lose nothing, and what follows sees one fixed result."""
-    path = f"{shared_dir(spark)}/staged-{name}-{uuid.uuid4().hex}"
+    executors lose nothing, and what follows sees one fixed result. Results are lazy and may read
+    it at any time, so it stays until ``clean`` or the end of the application."""
+    root = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(clean, spark)
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has staged; lazy results that read it are void from then on."""
+    with contextlib.suppress(Exception):  # at the end of the application the session may be gone
+        root = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _roots.discard(root)
+
+
 def text_of(name: str = "text") -> Column:
     """A text column where null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

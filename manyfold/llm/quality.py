@@ -30,39 +30,36 @@ TRAIN_ROWS = 20_000
 BROADCAST_SITES = 50_000
 FEATURES = ("log_words", "distinct", "repeat", "top", "upper", "punct", "pipe", "digit", "mean_len", "line_repeat", "bang", "empty")
 
-_UPPER = np.zeros(256, dtype=bool)
-_UPPER[65:91] = True
-_ALPHA = np.zeros(256, dtype=bool)
-_ALPHA[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_PUNCT = np.array([33 <= c < 127 and not chr(c).isalnum() and chr(c) not in ".,'-" for c in range(256)])
+#: What a byte counts as: letters (bytes beyond ASCII too), blanks and control characters are 0.
+UPPER, PIPE, BANG, PUNCT, DIGIT, MARK = range(1, 7)
+_KIND = np.zeros(256, dtype=np.uint8)
+for _c in range(33, 127):
+    _KIND[_c] = UPPER if 65 <= _c <= 90 else 0 if 97 <= _c <= 122 else DIGIT if 48 <= _c <= 57 else PIPE if chr(_c) == "|" else BANG if chr(_c) == "!" else MARK if chr(_c) in ".,'-" else PUNCT
 
 
 def statistics(texts: list[str | None]) -> np.ndarray:
     """A row of FEATURES for each text, all from the whole text; all but ``empty`` are 0 for none."""
     w = Words(texts)
-    raw = np.frombuffer(w.raw, dtype=np.uint8)
     n, m = len(texts), w.counts.astype(np.float64)
-    first = np.concatenate(([0], w.text_ends[:-1])) if n else np.zeros(0, dtype=np.int64)
-
-    def count(mask: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(mask.astype(np.int64), first).astype(np.float64) if n else np.zeros(0)
-
     per = lambda a, b: np.divide(a, b, out=np.zeros(n), where=b > 0)
-    size = count(raw > 32)
-    order = np.lexsort((w.hash, w.text))
-    h, t = w.hash[order], w.text[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-    runs = np.diff(np.append(np.flatnonzero(new), len(h)))
+    kind = _KIND[np.frombuffer(w.raw, dtype=np.uint8)]
+    at = np.flatnonzero(kind)
+    k = np.bincount(np.searchsorted(w.text_ends, at, side="right") * 8 + kind[at], minlength=8 * n).reshape(n, 8).astype(np.float64)
+    size = np.bincount(w.text, weights=w.size, minlength=n)
+    # words sorted within each text: 24 bits of the text's number and 40 of the word's hash
+    key = np.sort(w.text.astype(np.uint64) << np.uint64(40) | w.hash >> np.uint64(24))
+    new = np.flatnonzero(np.diff(key, prepend=key[:1] ^ np.uint64(1)))
+    runs, of = np.diff(np.append(new, len(key))), (key[new] >> np.uint64(40)).astype(np.int64)
     top = np.zeros(n)
-    np.maximum.at(top, t[new], runs)
-    same = np.zeros(n)
-    if len(w.hash) > 1:
-        np.add.at(same, w.text[1:][(w.hash[1:] == w.hash[:-1]) & (w.text[1:] == w.text[:-1])], 1)
-    lines = [(len(x), len(x) - len(set(x))) for x in ([s for s in (v or "").split("\n") if s.strip()] for v in texts)]
-    lines = np.array(lines, dtype=np.float64).reshape(n, 2)
-    letters = count(_ALPHA[raw])
-    return np.column_stack((np.log1p(m), per(np.bincount(t[new], minlength=n).astype(float), m), per(same, m), per(top, m), per(count(_UPPER[raw]), letters), per(count(_PUNCT[raw]), size), per(count(raw == 124), m), per(count((raw >= 48) & (raw < 58)), size), per(size, m), per(lines[:, 1], lines[:, 0]), per(count(raw == 33), m), (m == 0).astype(float)))
+    np.maximum.at(top, of, runs)
+    same = np.bincount(w.text[1:][(w.hash[1:] == w.hash[:-1]) & (w.text[1:] == w.text[:-1])], minlength=n).astype(np.float64)
+    lines = np.zeros((n, 2))
+    for i, t in enumerate(texts):
+        if t and "\n" in t:
+            x = [s for s in t.split("\n") if s and not s.isspace()]
+            lines[i] = len(x), len(x) - len(set(x))
+    letters = size - k[:, PIPE:].sum(axis=1)
+    return np.column_stack((np.log1p(m), per(np.bincount(of, minlength=n).astype(float), m), per(same, m), per(top, m), per(k[:, UPPER], letters), per(k[:, [PIPE, BANG, PUNCT]].sum(axis=1), size), per(k[:, PIPE], m), per(k[:, DIGIT], size), per(size, m), per(lines[:, 1], lines[:, 0]), per(k[:, BANG], m), (m == 0).astype(float)))
 
 
 def with_statistics(docs: DataFrame, text_col: str, name: str) -> DataFrame:
