@@ -26,30 +26,10 @@ def load_sources(catalog: Catalog, sources: list[str], table: str, workers: int
     return file_entries(catalog.spark, [(ns, k, *f) for k, (ns, files) in enumerate(zip(sources, found)) for f in files])
 
 
-def _types(catalog: Catalog, now: DataFrame, columns: list[dict]) -> dict[tuple[str, int], str]:
-    """The type of each source's column, from the newest file that has it. One footer per distinct
-    such file is read by Spark's schema reader."""
-    spark = catalog.spark
-    cols = planner.file_columns(now).where("has_data")
-    newest = cols.groupBy("source_id", "field_id").agg(F.max_by("file_path", F.struct("modified", "file_path")).alias("p"), F.max_by("name", F.struct("modified", "file_path")).alias("name")).collect()
-    schemas = {p: {f.name: f.dataType.simpleString() for f in spark.read.parquet(_plain(p)).schema.fields} for p in {r["p"] for r in newest}}
-    return {(r["source_id"], r["field_id"]): schemas[r["p"]][r["name"]] for r in newest}
-
-
-def _plain(path: str) -> str:
-    from urllib.parse import unquote
-
-    return unquote(path)
-
-
-def _first_schema(catalog: Catalog, now: DataFrame) -> list[dict]:
-    """The first source's columns, in file order, whether they hold data or not."""
-    first = now.orderBy("source_ordinal", F.desc("modified"), F.desc("file_path")).select("file_path", "column_stats").first()
-    if first is None:
-        return []
-    kinds = {f.name: f.dataType.simpleString() for f in catalog.spark.read.parquet(_plain(first["file_path"])).schema.fields}
-    by_name = {c["name"]: c["field_id"] for c in first["column_stats"]}
-    return [{"id": by_name[n], "name": n, "type": t} for n, t in kinds.items()]
+def _first_schema(now: DataFrame) -> list[dict]:
+    """The first source's columns, in the order of its newest file, whether they hold data or not."""
+    first = now.orderBy("source_ordinal", F.desc("modified"), F.desc("file_path")).select("column_stats").first()
+    return [{"id": c["field_id"], "name": c["name"], "type": c["kind"]} for c in (first or [[]])[0]]
 
 
 def register_table(catalog: Catalog, table: str, config: Config, sources: list[str] | None = None) -> dict:
@@ -70,18 +50,21 @@ def _register_once(catalog: Catalog, table: str, config: Config, sources: list[s
     now = load_sources(catalog, sources, table, config.source_workers).cache()
     held = catalog.manifest(ns, table)
     try:
-        fields = base.schema or reserve(_first_schema(catalog, now), config.source_id_column)
-        columns = [r.asDict() for r in planner.source_columns(now).collect()]
-        plan = planner.assign(columns, _types(catalog, now, columns) if columns else {}, fields, base.registry, config.source_id_column)
-        remaps = spark.createDataFrame([(s, i, t, (s, i) in plan.rewrites) for (s, i), (t, _) in sorted(plan.remaps.items())], "source_id string, field_id int, target_id int, collides boolean")
-        # per file: how its ids map, and whether it has to be rewritten
-        mapped = planner.file_columns(now).where("has_data").join(F.broadcast(remaps), ["source_id", "field_id"]).groupBy("source_id", "file_path")
-        mapped = mapped.agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("field_id", "target_id")))).alias("field_map"), F.max("collides").alias("collides"))
-        rewrites = mapped.where("collides")
-        fresh = planner.new_files(now, held).join(mapped, ["source_id", "file_path"], "left")
+        fields = base.schema or reserve(_first_schema(now), config.source_id_column)
+        columns = sorted((r.asDict() for r in planner.source_columns(now).collect()), key=lambda c: (c["source_ordinal"], c["field_id"]))
+        plan = planner.assign(columns, fields, base.registry, config.source_id_column)
+        fresh, rewrites = planner.new_files(now, held), None
+        if plan.remaps:
+            remaps = spark.createDataFrame([(s, i, t, (s, i) in plan.rewrites) for (s, i), (t, _) in sorted(plan.remaps.items())], "source_id string, field_id int, target_id int, collides boolean")
+            # per file: how its ids map, and whether it has to be rewritten
+            mapped = planner.file_columns(now).where("has_data").join(F.broadcast(remaps), ["source_id", "field_id"]).groupBy("source_id", "file_path")
+            mapped = mapped.agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("field_id", "target_id")))).alias("field_map"), F.max("collides").alias("collides"))
+            rewrites, fresh = mapped.where("collides"), fresh.join(mapped, ["source_id", "file_path"], "left")
+        else:
+            fresh = fresh.withColumns({"field_map": F.lit(None).cast("map<int,int>"), "collides": F.lit(False)})
         state = {r["source_id"]: r.asDict() for r in planner.status(now, held, sources, rewrites).collect()}
         add = lambda k: sum(r[k] for r in state.values())
-        spliced = fresh.where(~F.coalesce("collides", F.lit(False))).select("file_path", "file_format", "source_id", "record_count", "file_size_in_bytes", F.transform("column_stats", lambda c: c).alias("column_stats"), F.lit("spliced").alias("origin"), F.lit(None).cast("string").alias("rewrite_of"), F.col("field_map"))
+        spliced = fresh.where(~F.coalesce("collides", F.lit(False))).select("file_path", "file_format", "source_id", "record_count", "file_size_in_bytes", "column_stats", F.lit("spliced").alias("origin"), F.lit(None).cast("string").alias("rewrite_of"), F.col("field_map"))
         gone = planner.orphans(now, held, sources)
         written = _rewrite(catalog, ns, table, plan, fresh.where("collides")) if add("rewrite_files") else None
         added = spliced if written is None else spliced.unionByName(written)

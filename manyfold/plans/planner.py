@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .schema import SchemaError, find, known_ids, widen
@@ -17,7 +17,7 @@ from .schema import SchemaError, find, known_ids, widen
 def file_columns(now: DataFrame) -> DataFrame:
     """One row for each column of each file that holds a value that isn't null."""
     cols = now.select("source_id", "source_ordinal", "file_path", "modified", "record_count", F.explode("column_stats").alias("c"))
-    return cols.select("source_id", "source_ordinal", "file_path", "modified", F.col("c.field_id").alias("field_id"), F.col("c.name").alias("name"), F.col("c.nested").alias("nested"), (F.col("c.null_count") < F.col("record_count")).alias("has_data"))
+    return cols.select("source_id", "source_ordinal", "file_path", "modified", F.col("c.field_id").alias("field_id"), F.col("c.name").alias("name"), F.col("c.kind").alias("kind"), F.col("c.nested").alias("nested"), (F.col("c.null_count") < F.col("record_count")).alias("has_data"))
 
 
 def drift(now: DataFrame, known: set[int]) -> DataFrame:
@@ -33,12 +33,11 @@ def drift_report(now: DataFrame, known: set[int]) -> DataFrame:
 
 
 def source_columns(now: DataFrame) -> DataFrame:
-    """Each source's columns with data, the newest file's name for each id, first in source order.
-    The number of rows is sources times columns, whatever the number of files."""
+    """Each source's columns with data, with the newest file's name and type for each id. The number
+    of rows is sources times columns, whatever the number of files."""
     cols = file_columns(now).where("has_data")
-    newest = cols.groupBy("source_id", "source_ordinal", "field_id").agg(F.max_by("name", F.struct("modified", "file_path")).alias("name"), F.max("nested").alias("nested"))
-    owner = F.row_number().over(Window.partitionBy("field_id").orderBy("source_ordinal"))
-    return newest.withColumn("order", owner).orderBy("source_ordinal", "field_id")
+    newest = F.max_by(F.struct("name", "kind"), F.struct("modified", "file_path")).alias("c")
+    return cols.groupBy("source_id", "source_ordinal", "field_id").agg(newest, F.max("nested").alias("nested")).select("source_id", "source_ordinal", "field_id", "c.name", "c.kind", "nested")
 
 
 def new_files(now: DataFrame, held: DataFrame) -> DataFrame:
@@ -57,15 +56,22 @@ def orphans(now: DataFrame, held: DataFrame, sources: list[str]) -> DataFrame:
     return mine.join(current, ["source_id", "origin_path"], "left_anti").drop("origin_path")
 
 
-def status(now: DataFrame, held: DataFrame, sources: list[str], rewrites: DataFrame) -> DataFrame:
-    """Per source: files and rows spliced, already registered, pending rewrite and orphaned."""
+def status(now: DataFrame, held: DataFrame, sources: list[str], rewrites: DataFrame | None = None) -> DataFrame:
+    """Per source: files and rows spliced, already registered, pending rewrite and orphaned; one
+    join. ``rewrites`` has the files (source_id, file_path) whose columns collide."""
     key = ["source_id", "file_path"]
-    fresh = new_files(now, held).select(*key, "record_count").join(rewrites.select(*key).distinct().withColumn("r", F.lit(True)), key, "left")
-    kinds = fresh.select("source_id", F.when(F.col("r"), "rewrite").otherwise("spliced").alias("kind"), "record_count")
-    kinds = kinds.unionByName(registered_files(now, held).select("source_id", F.lit("already").alias("kind"), "record_count"))
-    kinds = kinds.unionByName(orphans(now, held, sources).select("source_id", F.lit("orphaned").alias("kind"), "record_count"))
-    sums = [x for k in ("spliced", "already", "rewrite", "orphaned") for x in (F.sum((F.col("kind") == k).cast("long")).alias(f"{k}_files"), F.sum(F.when(F.col("kind") == k, F.col("record_count")).otherwise(0)).alias(f"{k}_rows"))]
-    return kinds.groupBy("source_id").agg(*sums).orderBy("source_id")
+    here = now.select(*key, F.col("record_count").alias("now_rows"))
+    if rewrites is None:
+        here = here.withColumn("collides", F.lit(False))
+    else:
+        here = here.join(rewrites.select(*key, F.lit(True).alias("collides")).distinct(), key, "left")
+    there = held.where(F.col("source_id").isin(sources)).select("source_id", F.coalesce("rewrite_of", "file_path").alias("file_path"), F.col("record_count").alias("held_rows"))
+    both = here.join(there, key, "full_outer")
+    fresh = F.col("held_rows").isNull()
+    kind = F.when(F.col("now_rows").isNull(), "orphaned").when(fresh & F.coalesce("collides", F.lit(False)), "rewrite").when(fresh, "spliced").otherwise("already")
+    both = both.select("source_id", kind.alias("kind"), F.coalesce("now_rows", "held_rows").alias("n"))
+    sums = [x for k in ("spliced", "already", "rewrite", "orphaned") for x in (F.sum((F.col("kind") == k).cast("long")).alias(f"{k}_files"), F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"{k}_rows"))]
+    return both.groupBy("source_id").agg(*sums)
 
 
 @dataclass
@@ -82,7 +88,7 @@ class Assignment:
     rewrites: set[tuple[str, int]] = field(default_factory=set)
 
 
-def assign(columns: list[dict], types: dict[tuple[str, int], str], fields: list[dict], registry: list[dict], source_column: str) -> Assignment:
+def assign(columns: list[dict], fields: list[dict], registry: list[dict], source_column: str) -> Assignment:
     """Give every source's column its target column.
 
     ``columns`` comes from source_columns in source order, so the first source in the configured
@@ -99,7 +105,7 @@ def assign(columns: list[dict], types: dict[tuple[str, int], str], fields: list[
             raise SchemaError(f"column {name} of {source} has no field id")
         if name == source_column:
             raise SchemaError(f"{source} has a column {name}, which is the bookkeeping column's name")
-        kind = types[source, i]
+        kind = c["kind"]
         if known := had.get((source, i)):
             if known["type"] != kind:
                 raise SchemaError(f"column {name} of {source} was {known['type']} and is {kind}")

@@ -90,8 +90,7 @@ def source_status(spark, sf_dir):
     """What a run would do after a copy-on-write update, seen from the version before it."""
     w = world(spark, sf_dir, "F5")
     now, held = load_sources(w.catalog, list(TENANTS), "customer"), w.catalog.manifest(w.config.target_namespace, "customer", version=1)
-    none = spark.createDataFrame([], "source_id string, file_path string")
-    return planner.status(now, held, list(TENANTS), none)
+    return planner.status(now, held, list(TENANTS))
 
 
 def duplicates(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ def columns(**kinds: T.DataType) -> T.StructType:
 
 
 _S, _L, _I = T.StringType(), T.LongType(), T.IntegerType()
-STATS = T.ArrayType(columns(field_id=_I, name=_S, value_count=_L, null_count=_L, lower=_S, upper=_S, nested=T.BooleanType()))
+STATS = T.ArrayType(columns(field_id=_I, name=_S, kind=_S, value_count=_L, null_count=_L, lower=_S, upper=_S, nested=T.BooleanType()))
 LISTED = columns(source_id=_S, source_ordinal=_I, file_path=_S, file_size_in_bytes=_L, modified=_L)
 ENTRY = columns(source_id=_S, source_ordinal=_I, file_path=_S, file_format=_S, file_size_in_bytes=_L, modified=_L, record_count=_L, column_stats=STATS)
 
@@ -28,12 +29,14 @@ def _footer(path: str) -> tuple[int, list[dict]]:
         columns: dict[str, dict] = {}
         arrow = meta.schema.to_arrow_schema()
         ids = {field.name: int((field.metadata or {}).get(b"PARQUET:field_id", -1)) for field in arrow}
+        kinds = _kinds(arrow, (meta.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata"))
+        blank = lambda n: {"field_id": ids[n], "name": n, "kind": kinds[n], "value_count": 0, "null_count": 0, "lower": None, "upper": None, "nested": pa.types.is_nested(arrow.field(n).type)}
         for g in range(meta.num_row_groups):
             for c in range(meta.num_columns):
                 col = meta.row_group(g).column(c)
                 top = col.path_in_schema.split(".")[0]
                 nested = "." in col.path_in_schema
-                x = columns.setdefault(top, {"field_id": ids.get(top, -1), "name": top, "value_count": 0, "null_count": 0, "lower": None, "upper": None, "nested": nested})
+                x = columns.setdefault(top, blank(top))
                 s = col.statistics
                 # a column without a null count may hold anything: count no nulls, so that it drifts
                 nulls = s.null_count if s is not None and s.has_null_count and not nested else 0
@@ -44,8 +47,16 @@ def _footer(path: str) -> tuple[int, list[dict]]:
                     x["lower"] = low if x["lower"] is None or low < x["lower"] else x["lower"]
                     x["upper"] = high if x["upper"] is None or high > x["upper"] else x["upper"]
         for field in arrow:
-            columns.setdefault(field.name, {"field_id": ids[field.name], "name": field.name, "value_count": 0, "null_count": 0, "lower": None, "upper": None, "nested": pa.types.is_nested(field.type)})
-        return meta.num_rows, list(columns.values())
+            columns.setdefault(field.name, blank(field.name))
+        return meta.num_rows, [columns[field.name] for field in arrow]
+
+
+def _kinds(arrow: pa.Schema, written: bytes | None) -> dict[str, str]:
+    """Each column's Spark type: as Spark noted it in the file, else as Arrow's type maps to one."""
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    noted = {f.name: f.dataType.simpleString() for f in T.StructType.fromJson(json.loads(written))} if written else {}
+    return {f.name: noted.get(f.name) or from_arrow_type(f.type, prefer_timestamp_ntz=True).simpleString() for f in arrow}
 
 
 def file_entries(spark: SparkSession, listed: list[tuple]) -> DataFrame:
@@ -68,6 +79,6 @@ def file_entries(spark: SparkSession, listed: list[tuple]) -> DataFrame:
 _ARROW = pa.schema(
     [
         ("source_id", pa.string()), ("source_ordinal", pa.int32()), ("file_path", pa.string()), ("file_format", pa.string()), ("file_size_in_bytes", pa.int64()), ("modified", pa.int64()), ("record_count", pa.int64()),
-        ("column_stats", pa.list_(pa.struct([("field_id", pa.int32()), ("name", pa.string()), ("value_count", pa.int64()), ("null_count", pa.int64()), ("lower", pa.string()), ("upper", pa.string()), ("nested", pa.bool_())]))),
+        ("column_stats", pa.list_(pa.struct([("field_id", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("value_count", pa.int64()), ("null_count", pa.int64()), ("lower", pa.string()), ("upper", pa.string()), ("nested", pa.bool_())]))),
     ]
 )
