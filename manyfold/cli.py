@@ -21,6 +21,7 @@ def summary(r: dict) -> str:
     for t, x in r["results"].items():
         lines += [f"{t}: new column {w['name']} (id {w['id']}) from {w['source']}" for w in x["widened"]]
         lines += [f"{t}: {n['source']} calls {n['from']} now {n['to']}; the table keeps {n['from']}" for n in x["renamed"]]
+        lines += [f"{t}: {s} is registered and no longer a source; its rows stay" for s in x["unlisted"]]
     lines.append("slowest: " + ", ".join(f"{t} {s} s" for t, s in r["slowest"]))
     return "\n".join(lines)
 

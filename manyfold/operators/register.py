@@ -74,7 +74,7 @@ def _register_once(catalog: Catalog, table: str, config: Config, sources: list[s
         version = base.version
         if operation != "none":
             version = catalog.commit(ns, table, base, operation, added if new else None, gone if orphaned else None, plan.fields, plan.registry, config.source_id_column).version
-        return {"table": table, "version": version, "operation": operation, "spliced_files": add("spliced_files"), "spliced_rows": add("spliced_rows"), "rewritten_files": add("rewrite_files"), "rewritten_rows": add("rewrite_rows"), "already_files": add("already_files"), "orphaned_files": orphaned, "orphaned_rows": add("orphaned_rows"), "widened": plan.widened, "renamed": plan.renamed, "sources": state, "elapsed": time.time() - began}
+        return {"table": table, "version": version, "operation": operation, "spliced_files": add("spliced_files"), "spliced_rows": add("spliced_rows"), "rewritten_files": add("rewrite_files"), "rewritten_rows": add("rewrite_rows"), "already_files": add("already_files"), "orphaned_files": orphaned, "orphaned_rows": add("orphaned_rows"), "widened": plan.widened, "renamed": plan.renamed, "unlisted": sorted(set(state) - set(sources)), "sources": state, "elapsed": time.time() - began}
     finally:
         now.unpersist()
 

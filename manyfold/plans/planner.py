@@ -58,17 +58,18 @@ def orphans(now: DataFrame, held: DataFrame, sources: list[str]) -> DataFrame:
 
 def status(now: DataFrame, held: DataFrame, sources: list[str], rewrites: DataFrame | None = None) -> DataFrame:
     """Per source: files and rows spliced, already registered, pending rewrite and orphaned; one
-    join. ``rewrites`` has the files (source_id, file_path) whose columns collide."""
+    join. ``rewrites`` has the files (source_id, file_path) whose columns collide. A source that is
+    registered and no longer listed has a row of zeros: its files stay as they are."""
     key = ["source_id", "file_path"]
     here = now.select(*key, F.col("record_count").alias("now_rows"))
     if rewrites is None:
         here = here.withColumn("collides", F.lit(False))
     else:
         here = here.join(rewrites.select(*key, F.lit(True).alias("collides")).distinct(), key, "left")
-    there = held.where(F.col("source_id").isin(sources)).select("source_id", F.coalesce("rewrite_of", "file_path").alias("file_path"), F.col("record_count").alias("held_rows"))
+    there = held.select("source_id", F.coalesce("rewrite_of", "file_path").alias("file_path"), F.col("record_count").alias("held_rows"))
     both = here.join(there, key, "full_outer")
     fresh = F.col("held_rows").isNull()
-    kind = F.when(F.col("now_rows").isNull(), "orphaned").when(fresh & F.coalesce("collides", F.lit(False)), "rewrite").when(fresh, "spliced").otherwise("already")
+    kind = F.when(~F.col("source_id").isin(sources), "unlisted").when(F.col("now_rows").isNull(), "orphaned").when(fresh & F.coalesce("collides", F.lit(False)), "rewrite").when(fresh, "spliced").otherwise("already")
     both = both.select("source_id", kind.alias("kind"), F.coalesce("now_rows", "held_rows").alias("n"))
     sums = [x for k in ("spliced", "already", "rewrite", "orphaned") for x in (F.sum((F.col("kind") == k).cast("long")).alias(f"{k}_files"), F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"{k}_rows"))]
     return both.groupBy("source_id").agg(*sums)

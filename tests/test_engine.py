@@ -125,6 +125,15 @@ def test_all_null_column_is_no_drift(spark, tmp_path, sf_dir):
     assert r["spliced_files"] == 1 and not r["widened"]
 
 
+def test_source_that_is_no_longer_listed_stays(spark, tmp_path, sf_dir):
+    w, df = _world(spark, tmp_path, sf_dir)
+    w.register()
+    w.config = Config("tenant_consolidated", fx.SOURCE, fx.TENANTS[:2])
+    r = w.register()
+    assert r["unlisted"] == ["tenant_2"] and r["operation"] == "none"
+    assert read(w.catalog, "tenant_consolidated", "customer").count() == df.count()
+
+
 def test_too_few_sources(spark, tmp_path, sf_dir):
     w, _ = _world(spark, tmp_path, sf_dir)
     with pytest.raises(ConfigError, match="at least two"):
