@@ -1,8 +1,10 @@
 """Embedding near-dedup by an epsilon grid order join.
 
-1. Equal vectors form a class; only classes take part, weighted by their size.
-2. The corpus' covariance, summed up on the executors, gives leading principal dimensions. Unit
-   vectors with cosine >= c are within epsilon = sqrt(2 - 2c), in any of these dimensions too.
+1. Equal vectors form a class; only classes take part, weighted by their size. Vectors of one
+   length are compared with one another, each length on dimensions and in intervals of its own.
+2. The covariance of a length's vectors, summed up on the executors, gives leading principal
+   dimensions. Unit vectors with cosine >= c are within epsilon = sqrt(2 - 2c), in any of these
+   dimensions too. A length of one interval at most has nothing to skip and takes its first ones.
 3. Classes are sorted by their grid cells of width epsilon on these dimensions (epsilon grid order,
    Boehm et al., 2001) and cut into sequence intervals of INTERVAL classes.
 4. Pairs of intervals whose boxes are within epsilon become tiles; a tile halves its intervals again
@@ -30,12 +32,12 @@ LEAF = 512
 DOUBT = 1e-4
 
 
-def clean(cells: list, dims: int | None) -> list[bytes | None]:
-    """Each vector as little-endian doubles; None where it is null, zero, of another length, or
-    holds null or non-finite components."""
+def clean(cells: list) -> list[bytes | None]:
+    """Each vector as little-endian doubles; None where it is null, empty, zero, or holds null or
+    non-finite components."""
     out: list[bytes | None] = []
     for v in cells:
-        ok = v is not None and len(v) > 0 and (dims is None or len(v) == dims) and None not in v
+        ok = v is not None and len(v) > 0 and None not in v
         a = np.array(v, dtype="<f8") if ok else None
         out.append((a + 0.0).tobytes() if ok and np.isfinite(a).all() and np.any(a) and np.isfinite(a @ a) and a @ a > 0 else None)
     return out
@@ -132,36 +134,40 @@ def join_tile(a: tuple, b: tuple, same: bool, basis: np.ndarray, cosine: float)
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
-    Vectors that are null, zero, or hold null or non-finite components link with nothing; neither do
-    those whose length isn't the commonest one (the longer of two), and rows without an identifier,
-    whose component_id is null. Copies link with one another. An empty table gives an empty result.
+    Vectors link with vectors of their length. Those that are null, empty, zero, or hold null or
+    non-finite components link with nothing; neither do rows without an identifier, whose
+    component_id is null. Copies link with one another. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     ship(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("e"))
-    common = rows.where("e is not null and vec_id is not null").groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    dims = int(common[0]) if common and common[0] else 1
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean(batch.column(1).to_pylist(), dims), pa.binary())], names=["vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean(batch.column(1).to_pylist()), pa.binary())], names=["vec_id", "v"])
 
     rows = rows.mapInArrow(cleaned, "vec_id long, v binary")
     rows = rows.withColumn("h", F.when(F.col("vec_id").isNotNull(), F.unhex(F.sha2("v", 256))))
     rows = stage(spark, rows, "vectors")
-    classes = stage(spark, rows.where("h is not null").groupBy("h").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v")), "classes")
-    basis = principal_axes(classes, dims)
+    classes = stage(spark, rows.where("h is not null").groupBy("h").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v")).withColumn("d", (F.octet_length("v") / 8).cast("int")), "classes")
+    lengths = {r["d"]: r["count"] for r in classes.groupBy("d").count().collect()}
+    bases = {d: principal_axes(classes.where(F.col("d") == d), d) for d, c in sorted(lengths.items()) if c > INTERVAL}
+    basis_of = lambda d: bases[d] if d in bases else np.eye(d, min(AXES, d))
     width = float(np.sqrt(2 - 2 * cosine))
 
     def gridded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = _units(b"".join(batch.column(2).to_pylist()), dims)[2] @ basis
-            cell = np.floor((p + 1) / width).clip(0, 65535).astype(">u2")
-            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in cell], pa.binary()), *batch.columns], names=["cell", "id", "n", "v"])
-
-    n = partitions_for(spark, classes.count(), 16 * INTERVAL)
-    grid = classes.select("id", "n", "v").mapInArrow(gridded, "cell binary, id long, n long, v binary")
-    grid = grid.repartitionByRange(n, "cell", "id").sortWithinPartitions("cell", "id").select("cell", "id", "n", "v", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row"))
+            v, ds, cells = batch.column(3).to_pylist(), batch.column(0).to_numpy(), [b""] * batch.num_rows
+            for d in np.unique(ds).tolist():
+                at = np.flatnonzero(ds == d).tolist()
+                p = _units(b"".join([v[i] for i in at]), d)[2] @ basis_of(d)
+                for i, c in zip(at, np.floor((p + 1) / width).clip(0, 65535).astype(">u2")):
+                    cells[i] = c.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.binary()), *batch.columns], names=["cell", "d", "id", "n", "v"])
+
+    n = partitions_for(spark, sum(lengths.values()), 16 * INTERVAL)
+    grid = classes.select("d", "id", "n", "v").mapInArrow(gridded, "cell binary, d int, id long, n long, v binary")
+    grid = grid.repartitionByRange(n, "d", "cell", "id").sortWithinPartitions("d", "cell", "id").select("cell", "d", "id", "n", "v", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row"))
     grid = stage(spark, grid, "grid-order")
     parts = grid.groupBy("part").agg(F.count("*").alias("c"))
     parts = parts.select(F.col("part").alias("p"), (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))
@@ -169,28 +175,28 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
 
     def packed(t: pa.Table) -> pa.Table:
         t = t.sort_by([("cell", "ascending"), ("id", "ascending")])
-        blob = b"".join(t.column("v").to_pylist())
-        p = _units(blob, dims)[2] @ basis
+        blob, d = b"".join(t.column("v").to_pylist()), t.column("d")[0].as_py()
+        p = _units(blob, d)[2] @ basis_of(d)
         as_bytes = lambda c: t.column(c).to_numpy().astype("<i8").tobytes()
-        return pa.table({"interval": t.column("interval").slice(0, 1), "ids": pa.array([as_bytes("id")], pa.binary()), "sizes": pa.array([as_bytes("n")], pa.binary()), "vectors": pa.array([blob], pa.binary()), "lo": pa.array([p.min(axis=0).tolist()], pa.list_(pa.float64())), "hi": pa.array([p.max(axis=0).tolist()], pa.list_(pa.float64()))})
+        return pa.table({"d": t.column("d").slice(0, 1), "interval": t.column("interval").slice(0, 1), "ids": pa.array([as_bytes("id")], pa.binary()), "sizes": pa.array([as_bytes("n")], pa.binary()), "vectors": pa.array([blob], pa.binary()), "lo": pa.array([p.min(axis=0).tolist()], pa.list_(pa.float64())), "hi": pa.array([p.max(axis=0).tolist()], pa.list_(pa.float64()))})
 
-    blocks = grid.select("interval", "cell", "id", "n", "v").groupBy("interval").applyInArrow(packed, "interval long, ids binary, sizes binary, vectors binary, lo array<double>, hi array<double>")
+    blocks = grid.select("d", "interval", "cell", "id", "n", "v").groupBy("d", "interval").applyInArrow(packed, "d int, interval long, ids binary, sizes binary, vectors binary, lo array<double>, hi array<double>")
     blocks = stage(spark, blocks, "intervals")
-    tiles = interval_pairs(blocks.select("interval", "lo", "hi"), width)
+    tiles = interval_pairs(blocks.select("d", "interval", "lo", "hi"), width)
 
     def tiled(t: pa.Table) -> pa.Table:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        d, i, j = (t.column(c)[0].as_py() for c in ("d", "i", "j"))
         got = {}
         for r in t.select(["interval", "ids", "sizes", "vectors"]).to_pylist():
-            got[r["interval"]] = (*_units(r["vectors"], dims), np.frombuffer(r["ids"], dtype="<i8"), np.frombuffer(r["sizes"], dtype="<i8"))
+            got[r["interval"]] = (*_units(r["vectors"], d), np.frombuffer(r["ids"], dtype="<i8"), np.frombuffer(r["sizes"], dtype="<i8"))
         a, b = got[i], got[j]
-        na, nb, x, y = join_tile(a, b, i == j, basis, cosine)
+        na, nb, x, y = join_tile(a, b, i == j, basis_of(d), cosine)
         ia, ib = np.flatnonzero(na), np.flatnonzero(nb)
         return pa.table({"x": np.concatenate((a[3][ia], b[3][ib], x)), "y": np.concatenate((na[ia], nb[ib], y)), "link": np.concatenate((np.zeros(len(ia) + len(ib), dtype=bool), np.ones(len(x), dtype=bool)))})
 
-    members = tiles.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("k"))
-    found = members.join(blocks.select("interval", "ids", "sizes", "vectors"), F.col("k") == F.col("interval")).drop("k")
-    found = stage(spark, found.groupBy("i", "j").applyInArrow(tiled, "x long, y long, link boolean"), "tiles")
+    members = tiles.select("d", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("k"))
+    found = members.join(blocks.select(F.col("d").alias("bd"), "interval", "ids", "sizes", "vectors"), (F.col("d") == F.col("bd")) & (F.col("k") == F.col("interval"))).drop("k", "bd")
+    found = stage(spark, found.groupBy("d", "i", "j").applyInArrow(tiled, "x long, y long, link boolean"), "tiles")
     counts = found.where("not link").groupBy(F.col("x").alias("ci")).agg(F.sum("y").alias("links"))
     parts = connected_components(found.where("link").select(F.col("x").alias("a"), F.col("y").alias("b")))
     known = classes.select("h", "id", "n").join(counts, F.col("id") == F.col("ci"), "left").join(parts, F.col("id") == F.col("node"), "left")
@@ -201,12 +207,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
 
 
 def interval_pairs(boxes: DataFrame, width: float) -> DataFrame:
-    """(i, j), i <= j, of intervals whose boxes are within ``width``. Boxes meet by the stripes of
+    """(d, i, j), i <= j, of intervals of length d whose boxes are within ``width``. Boxes meet by the stripes of
     the first dimension: one goes to the stripes it covers, the other to those next to it too; a
     pair is taken in the first stripe that both have."""
     stripe = lambda c, d: (F.floor(F.col(c)[0] / width) + d).cast("long")
-    a = boxes.select(F.col("interval").alias("i"), F.col("lo").alias("la"), F.col("hi").alias("ha"), stripe("lo", 0).alias("fa"), F.explode(F.sequence(stripe("lo", 0), stripe("hi", 0))).alias("s"))
-    b = boxes.select(F.col("interval").alias("j"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), stripe("lo", -1).alias("fb"), F.explode(F.sequence(stripe("lo", -1), stripe("hi", 1))).alias("sb"))
+    a = boxes.select("d", F.col("interval").alias("i"), F.col("lo").alias("la"), F.col("hi").alias("ha"), stripe("lo", 0).alias("fa"), F.explode(F.sequence(stripe("lo", 0), stripe("hi", 0))).alias("s"))
+    b = boxes.select(F.col("d").alias("db"), F.col("interval").alias("j"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), stripe("lo", -1).alias("fb"), F.explode(F.sequence(stripe("lo", -1), stripe("hi", 1))).alias("sb"))
     gaps = F.transform(F.arrays_zip("la", "ha", "lb", "hb"), lambda x: F.greatest(F.lit(0.0), x["la"] - x["hb"], x["lb"] - x["ha"]))
     near = F.aggregate(gaps, F.lit(0.0), lambda acc, x: acc + x * x) <= width * width + 1e-9
-    return a.join(b, (F.col("s") == F.col("sb")) & (F.col("i") <= F.col("j")) & (F.col("s") == F.greatest("fa", "fb")) & near).select("i", "j")
+    return a.join(b, (F.col("d") == F.col("db")) & (F.col("s") == F.col("sb")) & (F.col("i") <= F.col("j")) & (F.col("s") == F.greatest("fa", "fb")) & near).select("d", "i", "j")

@@ -1,6 +1,6 @@
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -96,6 +96,31 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_embeddings_of_several_lengths(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "INTERVAL", 60)
+    monkeypatch.setattr(embedding_dedup, "LEAF", 16)
+    rng = np.random.default_rng(8)
+    v = [[]] * 300  # the commonest length
+    for d, n in ((16, 170), (24, 110), (3, 20), (1, 4)):
+        c = rng.normal(size=(6, d))
+        x = c[rng.integers(0, 6, n)] + rng.normal(size=(n, d)) * rng.choice([0.05, 0.1, 0.3], n)[:, None]
+        x[: n // 4] = x[0]
+        v += x.astype(np.float32).tolist()
+    v = [v[k] for k in rng.permutation(len(v))]
+    links = []
+    for d in {len(a) for a in v} - {0}:
+        at = [k for k, a in enumerate(v) if len(a) == d]
+        x = np.array([v[k] for k in at])
+        x /= np.sqrt((x * x).sum(axis=1))[:, None]
+        near = (x @ x.T >= 0.95) & ~np.eye(len(at), dtype=bool)
+        assert near.any()
+        links += [(at[a], at[b]) for a, b in zip(*(i.tolist() for i in np.nonzero(near)))]
+    roots, n = components(len(v), links), Counter(a for a, _ in links)
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in embedding_dedup.near_vectors(df).collect()]
+    assert sorted(got) == [(k, n[k], roots[k], roots[k] == k) for k in range(len(v))]
+
+
 @pytest.mark.parametrize("f", [exact_dedup, simhash.near_dedup])
 def test_empty_table(none, f):
     assert f(none).count() == 0
