@@ -1,8 +1,8 @@
 """The corpus pipeline: toxicity, quality, exact dedup, near-dedup, packing.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``docs``. What a stage drops is gone for the next. Empty tables pass through, rows without an
-identifier are kept where their text is kept.
+``docs``. What a stage drops is gone for the next. Empty tables pass through. The dedup stages decide
+by row: exactly one row of a group stays, whether identifiers are missing or repeated or not.
 """
 
 from __future__ import annotations
@@ -39,21 +39,27 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.where(F.col("__quality") >= GOOD_FROM).select(*docs.columns)
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose identifier is in ``kept``; rows without one are matched as null."""
-    kept = kept.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with a key for each row, written so that all that follows sees the same keys."""
+    return stage(spark, docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
+def _keep(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``found`` keeps, by their keys, which are left out."""
+    kept = found.where("kept").select(F.col("row").alias("__kept"))
+    return docs.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, keeps the one with the most code points, then the smallest identifier."""
-    return _keep(docs, exact_dedup(docs).where("kept"))
+    docs = _numbered(spark, docs)
+    return _keep(docs, exact_dedup(docs, row_col="__row"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of a group of near duplicates, keeps the document with the smallest identifier."""
-    found = near_dedup(docs)
-    return _keep(docs, found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+    docs = _numbered(spark, docs)
+    return _keep(docs, near_dedup(docs, row_col="__row"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

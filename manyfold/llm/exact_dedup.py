@@ -21,17 +21,19 @@ from ._common import SPACE_CLASS, stage, text_of
 KEY = ("digest", "n_bytes", "check_hash")
 
 
-def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, points (code points of the text as given), the key and the run of each row."""
+def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, points (code points of the text as given), the key and the run of each row, and
+    ``row`` where a row key is given."""
     text = text_of(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select("doc_id", F.length("t").cast("long").alias("points"), F.regexp_replace("t", SPACE_CLASS + "+", "").alias("n")).select(
-        "doc_id", "points", F.unhex(F.sha2("n", 256)).alias("digest"), F.octet_length("n").cast("long").alias("n_bytes"), F.xxhash64("n").alias("check_hash"), F.spark_partition_id().alias("run")
+    row = [F.col(row_col).alias("row")] if row_col else []
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), *row).select("doc_id", *(["row"] if row else []), F.length("t").cast("long").alias("points"), F.regexp_replace("t", SPACE_CLASS + "+", "").alias("n")).select(
+        "doc_id", *(["row"] if row else []), "points", F.unhex(F.sha2("n", 256)).alias("digest"), F.octet_length("n").cast("long").alias("n_bytes"), F.xxhash64("n").alias("check_hash"), F.spark_partition_id().alias("run")
     )
 
 
 def merge_runs(rows: DataFrame, runs: int, fan_in: int = 8) -> DataFrame:
-    """One row for each key: best (struct whose last field is the identifier that stays) and size."""
-    entry = F.struct((-F.col("points")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id")
+    """One row for each key: best (struct with the identifier, and row key if any, that stays) and size."""
+    entry = F.struct((-F.col("points")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", *(["row"] if "row" in rows.columns else []))
     level = rows.select(*KEY, "run", entry.alias("best"), F.lit(1).cast("long").alias("size"))
     while True:
         level = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
@@ -41,19 +43,22 @@ def merge_runs(rows: DataFrame, runs: int, fan_in: int = 8) -> DataFrame:
             return level.drop("run")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8, row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after deleting ASCII white space. Of equal texts the row with
     the most code points in the text as given stays, then the one with the smallest identifier.
     A null text is empty, and all empty texts are one group. A null identifier comes last; such a
     row is kept only if its group has no identifier at all. Rows that repeat identifier and text
-    share a fate. An empty table gives an empty result; further columns are not looked at.
+    share a fate, unless ``row_col`` names a unique key of the rows: then the smallest key breaks
+    ties, exactly one row of a group is kept, and the key is returned too, as ``row``. An empty
+    table gives an empty result; further columns are not looked at.
     """
     spark = docs.sparkSession
-    rows = stage(spark, digest_rows(docs, id_col, text_col), "digests")
+    rows = stage(spark, digest_rows(docs, id_col, text_col, row_col), "digests")
     runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
-    groups = merge_runs(rows, runs, fan_in).where("size > 1").select(*(F.col(k).alias(f"g_{k}") for k in KEY), F.col("best.doc_id").alias("best_id"), "size")
+    groups = merge_runs(rows, runs, fan_in).where("size > 1").select(*(F.col(k).alias(f"g_{k}") for k in KEY), F.col("best.doc_id").alias("best_id"), *([F.col("best.row").alias("best_row")] if row_col else []), "size")
     same = [rows[k] == groups[f"g_{k}"] for k in KEY]
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("best_id"))
-    return rows.join(groups, same, "left").select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    kept = F.coalesce(F.col("best_row") == F.col("row"), F.lit(True)) if row_col else keep.eqNullSafe(F.col("doc_id"))
+    return rows.join(groups, same, "left").select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *(["row"] if row_col else []))

@@ -216,19 +216,24 @@ def fingerprint_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return rows.repartition(n, "cell").sortWithinPartitions("cell", "visits").mapInArrow(joined, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (long), component_id.
 
     Texts without a word, null ones too, have fingerprint 0 and link like any other. component_id
     is the smallest identifier reachable over links; null identifiers don't count, and a component
-    of such rows alone has null. An empty table gives an empty result.
+    of such rows alone has null. With ``row_col``, a unique key of the rows, there are also ``row``
+    (the key) and ``kept``: true for one row of a component, the one with the smallest identifier,
+    then the smallest key; a null identifier comes last. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    rows = stage(spark, with_fingerprint(rows, "t").select("doc_id", "fp"), "fingerprints")
-    prints = stage(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"), *([F.col(row_col).alias("row")] if row_col else []))
+    rows = stage(spark, with_fingerprint(rows, "t").drop("t"), "fingerprints")
+    first, more = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"), ["first"] if row_col else []
+    least = [F.min("doc_id").alias("least"), *([F.min(first).alias("first")] if row_col else [])]
+    prints = stage(spark, rows.groupBy("fp").agg(*least), "distinct")
     found = connected_components(fingerprint_links(prints, distance)).select(F.col("node"), F.col("component").alias("root"))
-    prints = prints.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = prints.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
-    prints = prints.join(roots, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    return rows.join(prints, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    prints = prints.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", *more, F.coalesce("root", "fp").alias("root"))
+    roots = prints.groupBy("root").agg(F.min("least").alias("component_id"), *(F.min(c).alias("kept_row") for c in more)).withColumnRenamed("root", "r")
+    prints = prints.join(roots, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id", *(F.col("kept_row.row").alias("kept_row") for _ in more))
+    kept = ["row", (F.col("row") == F.col("kept_row")).alias("kept")] if row_col else []
+    return rows.join(prints, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id", *kept)

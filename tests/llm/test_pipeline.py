@@ -74,6 +74,17 @@ def test_odd_and_empty_tables(spark, sf_dir, odd, none, rows):
     assert out.select("doc_id").distinct().count() == len({i for i, *_ in rows})
 
 
+def test_dedup_stages_keep_one_row_of_a_group(spark, sf_dir):
+    t = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcdef"]
+    rows = [(1, t[0]), (1, t[0]), (1, t[0]), (2, t[1] + " "), (3, t[1]), (3, t[2]), (None, t[3]), (None, t[0]), (None, t[4]), (None, t[4]), (5, t[5])]
+    want = [(1, t[0]), (2, t[1] + " "), (3, t[2]), (5, t[5]), (None, t[3]), (None, t[4])]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for f in (cp.exact, cp.near):
+        out = f(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_embedding_sql(spark, sf_dir):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
