@@ -3,8 +3,8 @@
 The library spends tens of microseconds on a word; texts repeat their words. For the two kinds of
 file below, splitting at single blanks and line feeds never changes the library's result, so a
 worker keeps the ids of the words it has met (bounded) and asks the library
-only for new ones, many at a time. Other kinds, and texts with other white space, go to the
-library as they are.
+only for new ones, many at a time. Other kinds, texts with other white space, and texts that hold
+the string of an added token go to the library as they are.
 """
 
 from __future__ import annotations
@@ -36,8 +36,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = _kind(json.loads(self.library.to_str()))
+        spec = json.loads(self.library.to_str())
+        self.kind = _kind(spec)
+        self.added = [x["content"] for x in spec.get("added_tokens") or []]
         self.known: dict[str, bytes | bool] = {}
         self.older: dict[str, bytes | bool] = {}
         if self.kind == "blank":
@@ -51,6 +52,10 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         if self.kind == "other":
             return self._whole(texts)
+        if whole := {t for t in texts if any(a in t for a in self.added)}:
+            rest = iter(self.ids([t for t in texts if t not in whole]))
+            got = dict(zip(whole, self._whole(list(whole))))
+            return [got[t] if t in whole else next(rest) for t in texts]
         if len(self.known) > KEPT_WORDS // 2:
             self.known, self.older = {}, self.known
         split = [self._words(t) for t in texts]
@@ -184,6 +189,8 @@ def _kind(spec: dict) -> str:
     """blank: byte-level words that carry the blank before them; dropped: white space is dropped
     and only splits; other: anything else."""
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+    if any(norm and x["normalized"] or re.search(r"\s", x["content"]) for x in spec.get("added_tokens") or []):
+        return "other"  # the string in a text doesn't tell, or words side by side may make one
     if spec["model"]["type"] != "BPE" or spec.get("post_processor") and spec["post_processor"]["type"] != "ByteLevel":
         return "other"
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from manyfold.llm import packing, pieces, queries as q, token_files
 from manyfold.llm.sharding import jump, shard
@@ -23,6 +24,14 @@ def test_cached_ids_are_the_librarys(texts):
         assert e.ids(texts) == [np.array(x.ids, dtype="<u4").tobytes() for x in e.library.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_added_tokens_in_texts_are_the_librarys(name):
+    fresh = Tokenizer.from_file(q.tokenizer_file(name))
+    texts = ["hello <|endoftext|> world", "plain words", "a<|startoftext|>b\nc", "<|ENDOFTEXT|> <|endof text|>", "x  <|endoftext|><|endoftext|>\t", "", "hello <|endoftext|> world"]
+    assert ENCODERS[name].kind != "other"
+    assert ENCODERS[name].ids(texts) == [np.array(fresh.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=700), st.sampled_from([50.0, 90.0, 100.0]))
 def test_blocks_round_trip(ids, percentile):
