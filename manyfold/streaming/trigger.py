@@ -21,7 +21,7 @@ def register_available(catalog: Catalog, config: Config, table: str, checkpoint:
     binary = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
     stream = None
     for ns in source_names(catalog, config):
-        one = spark.readStream.format("binaryFile").schema(binary).option("pathGlobFilter", "*.parquet").load(catalog.path(ns, table)).select("path")
+        one = spark.readStream.format("binaryFile").schema(binary).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(catalog.path(ns, table)).select("path")
         stream = one if stream is None else stream.union(one)
 
     def arrived(batch: DataFrame, _: int) -> None:

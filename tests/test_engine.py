@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from manyfold import cli, fixtures as fx, job
 from manyfold.functions import glob_matches, glob_regex
-from manyfold.operators import read, register_table
+from manyfold.operators import read, register_table, verify
 from manyfold.operators.discovery import source_names
 from manyfold.plans.schema import SchemaError, find, reserve, widen
 from manyfold.sources import Catalog, CommitConflict, Config, ConfigError, from_environment, load_config
@@ -134,6 +134,18 @@ def test_source_that_is_no_longer_listed_stays(spark, tmp_path, sf_dir):
     assert read(w.catalog, "tenant_consolidated", "customer").count() == df.count()
 
 
+def test_files_in_sub_folders(spark, tmp_path, sf_dir):
+    w, df = _world(spark, tmp_path, sf_dir)
+    for k, at in ((0, "data"), (1, "a/b")):
+        fx.with_ids(fx.copies(df, k), None).coalesce(1).write.parquet(f"{w.catalog.path(fx.TENANTS[k], 'customer')}/{at}")
+    w.register()
+    assert read(w.catalog, "tenant_consolidated", "customer").count() == 60 + fx.copies(df, 0).count() + fx.copies(df, 1).count()
+    assert w.register()["operation"] == "none" and verify(w.catalog, w.config, ["customer"])[1]
+    fx.with_ids(fx.copies(df, 2), None).coalesce(1).write.parquet(f"{w.catalog.path(fx.TENANTS[2], 'customer')}/day=1")
+    with pytest.raises(ValueError, match="partition folder"):
+        w.register()
+
+
 def test_too_few_sources(spark, tmp_path, sf_dir):
     w, _ = _world(spark, tmp_path, sf_dir)
     with pytest.raises(ConfigError, match="at least two"):
