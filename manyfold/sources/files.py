@@ -19,11 +19,17 @@ LISTED = columns(source_id=_S, source_ordinal=_I, file_path=_S, file_size_in_byt
 ENTRY = columns(source_id=_S, source_ordinal=_I, file_path=_S, file_format=_S, file_size_in_bytes=_L, modified=_L, record_count=_L, column_stats=STATS)
 
 
+def _address(path: str) -> str:
+    """The address by which pyarrow knows a file: Hadoop's s3a and s3n are its s3."""
+    scheme, sep, rest = path.partition("://")
+    return f"s3://{rest}" if sep and scheme.lower() in ("s3a", "s3n") else path
+
+
 def _footer(path: str) -> tuple[int, list[dict]]:
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    store, at = fs.FileSystem.from_uri(path)
+    store, at = fs.FileSystem.from_uri(_address(path))
     with store.open_input_file(at) as f:
         meta = pq.ParquetFile(f).metadata
         columns: dict[str, dict] = {}

@@ -1,4 +1,5 @@
-"""Folders and small files by Hadoop's file system interface, so any store that Spark reads will do."""
+"""Folders and small files by Hadoop's file system interface: any store that Spark reads. Footers of
+source files are read by pyarrow (``files.py``), so sources must be in a store that it reads too."""
 
 from __future__ import annotations
 

@@ -146,6 +146,12 @@ def test_files_in_sub_folders(spark, tmp_path, sf_dir):
         w.register()
 
 
+def test_addresses_of_footers():
+    from manyfold.sources.files import _address
+
+    assert [_address(p) for p in ("s3a://b/k%20x.parquet", "s3n://b/k", "s3://b/k", "file:///s3a://k", "/a/b")] == ["s3://b/k%20x.parquet", "s3://b/k", "s3://b/k", "file:///s3a://k", "/a/b"]
+
+
 def test_too_few_sources(spark, tmp_path, sf_dir):
     w, _ = _world(spark, tmp_path, sf_dir)
     with pytest.raises(ConfigError, match="at least two"):
