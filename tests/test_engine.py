@@ -152,6 +152,11 @@ def test_addresses_of_footers():
     assert [_address(p) for p in ("s3a://b/k%20x.parquet", "s3n://b/k", "s3://b/k", "file:///s3a://k", "/a/b")] == ["s3://b/k%20x.parquet", "s3://b/k", "s3://b/k", "file:///s3a://k", "/a/b"]
 
 
+def test_spliced_vectors_keep_their_values(spark, sf_dir):
+    got = read(fx.world(spark, sf_dir, "F14").catalog, "tenant_consolidated", "embeddings").select("vec_id", "embedding")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, fx.base(spark, sf_dir, "embeddings").select("vec_id", "embedding").collect()))
+
+
 def test_too_few_sources(spark, tmp_path, sf_dir):
     w, _ = _world(spark, tmp_path, sf_dir)
     with pytest.raises(ConfigError, match="at least two"):
