@@ -249,8 +249,14 @@ def _vectors(spark, sf_dir, w):
     w.register("embeddings")
 
 
+def _folders(spark, sf_dir, w):
+    df = _plain(spark, sf_dir, w)
+    with_ids(copies(df, 1)).coalesce(1).write.parquet(f"{w.catalog.path(TENANTS[1], 'customer')}/data/2024")
+    w.register()
+
+
 _BUILD: dict[str, Callable] = {
-    "F1": _f1, "F2": _new_column(1), "F3": _new_column(0), "F3b": _late, "F4": _collision, "F4again": _collision_again, "F4b": _collision_later, "F4c": _collision_nulls, "F4d": _same_name, "F4e": _two_columns, "F5": _cow, "F6": _soft, "F7": _cycles, "F8": _switch, "F9": _rename, "F10": _discovery, "F11": _doubled, "F12": _several, "F14": _vectors,
+    "F1": _f1, "F2": _new_column(1), "F3": _new_column(0), "F3b": _late, "F4": _collision, "F4again": _collision_again, "F4b": _collision_later, "F4c": _collision_nulls, "F4d": _same_name, "F4e": _two_columns, "F5": _cow, "F6": _soft, "F7": _cycles, "F8": _switch, "F9": _rename, "F10": _discovery, "F11": _doubled, "F12": _several, "F14": _vectors, "F15": _folders,
 }
 
 __all__ = ["OFFSET", "SOURCE", "TENANTS", "World", "base", "copies", "hued", "put", "struct", "tenant", "with_ids", "world"]

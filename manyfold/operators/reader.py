@@ -11,14 +11,10 @@ from pyspark.sql import functions as F
 from ..plans.schema import find, struct
 from ..sources import Catalog
 
-#: Above this many files a scan's path map is cut into several scans.
-FILES_PER_SCAN = 5_000
-
-
 def by_field_id(spark: SparkSession) -> None:
     """Let Spark resolve Parquet columns by the ids in the requested schema. A schema without ids
     is still resolved by name."""
-    for k, v in (("spark.sql.parquet.fieldId.read.enabled", "true"), ("spark.sql.parquet.fieldId.write.enabled", "true"), ("spark.sql.sources.parallelPartitionDiscovery.threshold", "10000")):
+    for k, v in (("spark.sql.parquet.fieldId.read.enabled", "true"), ("spark.sql.parquet.fieldId.write.enabled", "true"), ("spark.sql.sources.parallelPartitionDiscovery.threshold", "256")):
         if spark.conf.get(k) != v:
             spark.conf.set(k, v)
 
@@ -32,16 +28,20 @@ def scan_files(spark: SparkSession, fields: list[dict], paths: list[str]) -> Dat
     return spark.read.schema(schema).parquet(*[unquote(p) for p in paths])
 
 
-def _source_of(pairs: list[tuple[str, str]]) -> Column:
-    """The source of the row's file: constant for a file, so a filter on it prunes files."""
-    if len({s for _, s in pairs}) == 1:
-        return F.lit(pairs[0][1])
-    # two literals whatever the number of files; neither an address nor a name has a line feed
-    paths, names = F.lit("\n".join(p for p, _ in pairs)), F.lit("\n".join(s for _, s in pairs))
-    return F.element_at(F.map_from_arrays(F.split(paths, "\n"), F.split(names, "\n")), F.col("_metadata.file_path"))
+def source_of(catalog: Catalog, path: str, names: set[str]) -> Column:
+    """The source of the row's file: the folders behind ``path`` in its address, whatever the number
+    of files. It is constant for a file, so a filter on it prunes files."""
+    first = address(path).count("/") + 2
+    parts = [F.split_part(F.col("_metadata.file_path"), F.lit("/"), F.lit(first + k)) for k in range(catalog.levels)]
+    found = parts[0] if len(parts) == 1 else F.concat_ws(".", *parts)
+    # the few names that an address writes otherwise
+    odd = {e: n for n in names if (e := catalog.storage.qualified(f"{catalog.warehouse}/{n}").rpartition("/")[2]) != n}
+    if not odd:
+        return found
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in sorted(odd.items()) for x in pair)), found), found)
 
 
-def _address(path: str) -> str:
+def address(path: str) -> str:
     """An address as ``_metadata.file_path`` has it."""
     return "file:" + path[len("file://") :] if path.startswith("file:///") else path
 
@@ -58,23 +58,24 @@ def read(catalog: Catalog, namespace: str, table: str, version: int | None = Non
         raise ValueError(f"no table {namespace}.{table}")
     by_field_id(spark)
     held = catalog.manifest(namespace, table, version).select("file_path", "source_id", F.to_json("field_map").alias("m"), "origin")
-    groups: dict[tuple[str, bool], list[tuple[str, str]]] = {}
-    for path, source, mapping, origin in held.orderBy("file_path").collect():
-        groups.setdefault((mapping or "{}", origin == "rewritten"), []).append((path, source))
+    groups: dict[tuple[str, bool], list[str]] = {}
+    names: set[str] = set()
+    for path, source, mapping, origin in held.collect():
+        groups.setdefault((mapping or "{}", origin == "rewritten"), []).append(path)
+        names.add(source)
     source_field = find(snap.schema, snap.partition_column)
     data = [f for f in snap.schema if f is not source_field]
     parts = []
-    for (mapping, rewritten), pairs in sorted(groups.items()):
+    for (mapping, rewritten), paths in sorted(groups.items()):
         to = {int(k): int(v) for k, v in json.loads(mapping).items()}
         back = {v: k for k, v in to.items()}
         # a mapped id reads from the file's own id; the id that the file uses otherwise isn't the target's
         fields = [{**f, "id": back.get(f["id"], f["id"])} for f in data if f["id"] in back or f["id"] not in to]
-        for i in range(0, len(pairs), FILES_PER_SCAN):
-            some = pairs[i : i + FILES_PER_SCAN]
-            df = scan_files(spark, fields, [p for p, _ in some])
-            names = {f["name"] for f in fields}
-            cols = [F.col(f"`{f['name']}`") if f["name"] in names else F.lit(None).cast(f["type"]).alias(f["name"]) for f in data]
-            parts.append(df.select(*cols, _source_of([(_address(p), s) for p, s in some]).alias(snap.partition_column)))
+        df = scan_files(spark, fields, sorted(paths))
+        there = {f["name"] for f in fields}
+        cols = [F.col(f"`{f['name']}`") if f["name"] in there else F.lit(None).cast(f["type"]).alias(f["name"]) for f in data]
+        top = f"{catalog.path(namespace, table)}/data" if rewritten else catalog.warehouse
+        parts.append(df.select(*cols, source_of(catalog, top, names).alias(snap.partition_column)))
     if not parts:
         return spark.createDataFrame([], struct(snap.schema))
     out = parts[0]

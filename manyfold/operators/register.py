@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
 import time
 import uuid
@@ -14,16 +15,20 @@ from ..plans import planner
 from ..plans.schema import find, reserve, struct
 from ..sources import Catalog, CommitConflict, Config, file_entries
 from .discovery import common_tables, source_names
-from .reader import by_field_id, scan_files
+from .reader import address, by_field_id, scan_files
 
 log = logging.getLogger(__name__)
 
+#: The folders in which a rewrite keeps its origins apart are named by this and the origin's hash.
+ORIGIN = "_origin"
 
-def load_sources(catalog: Catalog, sources: list[str], table: str, workers: int = 8) -> DataFrame:
-    """Entries of all current files of all sources of a table."""
+
+def load_sources(catalog: Catalog, sources: list[str], table: str, workers: int = 8, held: DataFrame | None = None) -> DataFrame:
+    """Entries of all current files of all sources of a table; ``held``, the target's manifest,
+    spares the footers of files that it knows."""
     with ThreadPoolExecutor(min(workers, max(1, len(sources)))) as pool:
         found = list(pool.map(lambda ns: catalog.source_files(ns, table), sources))
-    return file_entries(catalog.spark, [(ns, k, *f) for k, (ns, files) in enumerate(zip(sources, found)) for f in files])
+    return file_entries(catalog.spark, [(ns, k, *f) for k, (ns, files) in enumerate(zip(sources, found)) for f in files], held)
 
 
 def _first_schema(now: DataFrame) -> list[dict]:
@@ -47,8 +52,9 @@ def _register_once(catalog: Catalog, table: str, config: Config, sources: list[s
     by_field_id(spark)
     catalog.ensure_namespace(ns)
     base = catalog.latest(ns, table)
-    now = load_sources(catalog, sources, table, config.source_workers).cache()
     held = catalog.manifest(ns, table)
+    now = load_sources(catalog, sources, table, config.source_workers, held if base.version else None).cache()
+    outs: list[str] = []
     try:
         fields = base.schema or reserve(_first_schema(now), config.source_id_column)
         columns = sorted((r.asDict() for r in planner.source_columns(now).collect()), key=lambda c: (c["source_ordinal"], c["field_id"]))
@@ -66,7 +72,7 @@ def _register_once(catalog: Catalog, table: str, config: Config, sources: list[s
         add = lambda k: sum(r[k] for r in state.values())
         spliced = fresh.where(~F.coalesce("collides", F.lit(False))).select("file_path", "file_format", "source_id", "record_count", "file_size_in_bytes", "column_stats", F.lit("spliced").alias("origin"), F.lit(None).cast("string").alias("rewrite_of"), F.col("field_map"))
         gone = planner.orphans(now, held, sources)
-        written = _rewrite(catalog, ns, table, plan, fresh.where("collides")) if add("rewrite_files") else None
+        written = _rewrite(catalog, ns, table, plan, fresh.where("collides"), outs) if add("rewrite_files") else None
         added = spliced if written is None else spliced.unionByName(written)
         orphaned, new = add("orphaned_files"), add("spliced_files") + add("rewrite_files")
         changed = plan.fields != base.schema or plan.registry != base.registry
@@ -75,44 +81,53 @@ def _register_once(catalog: Catalog, table: str, config: Config, sources: list[s
         if operation != "none":
             version = catalog.commit(ns, table, base, operation, added if new else None, gone if orphaned else None, plan.fields, plan.registry, config.source_id_column).version
         return {"table": table, "version": version, "operation": operation, "spliced_files": add("spliced_files"), "spliced_rows": add("spliced_rows"), "rewritten_files": add("rewrite_files"), "rewritten_rows": add("rewrite_rows"), "already_files": add("already_files"), "orphaned_files": orphaned, "orphaned_rows": add("orphaned_rows"), "widened": plan.widened, "renamed": plan.renamed, "unlisted": sorted(set(state) - set(sources)), "sources": state, "elapsed": time.time() - began}
+    except CommitConflict:
+        for out in outs:  # another writer was first; what was rewritten for this plan is no one's
+            catalog.storage.delete(out)
+        raise
     finally:
         now.unpersist()
 
 
-def _rewrite(catalog: Catalog, ns: str, table: str, plan: planner.Assignment, files: DataFrame) -> DataFrame:
+def _rewrite(catalog: Catalog, ns: str, table: str, plan: planner.Assignment, files: DataFrame, outs: list[str]) -> DataFrame:
     """Write the rows of colliding files under the target's ids, each file once, all its rows.
 
-    Files of a source with the same ids are one scan and one write; their origins stay apart, as
-    each is written to a folder of its own name by partitioning on the origin."""
+    Files of a source with the same ids are one scan and one write, into a folder of the source that
+    goes into ``outs``. An origin's rows stay apart from the others', in a folder of their own, so
+    that it can be retired alone."""
     spark, storage = catalog.spark, catalog.storage
-    groups: dict[tuple, list[str]] = {}
-    for r in files.select("source_id", "file_path", F.sort_array(F.transform("column_stats", lambda c: F.struct(c["field_id"], c["name"]))).alias("c")).collect():
-        groups.setdefault((r["source_id"], tuple((c[0], c[1]) for c in r["c"])), []).append(r["file_path"])
+    columns = F.sort_array(F.transform("column_stats", lambda c: F.struct(c["field_id"], c["name"])))
+    groups = files.groupBy("source_id", columns.alias("c")).agg(F.sort_array(F.collect_list("file_path")).alias("paths")).collect()
     source_field = plan.fields[[f["id"] for f in plan.fields].index(100_000)]
     data = [f for f in plan.fields if f is not source_field]
+    schema = struct([*data, source_field])
     listed: list[tuple] = []
-    origins: dict[str, str] = {}
-    for (source, columns), paths in sorted(groups.items()):
-        to = {i: plan.remaps.get((source, i), (i, n))[0] for i, n in columns}
+    origins: list[tuple[str, str]] = []
+    for group in sorted(groups, key=lambda g: (g["source_id"], g["paths"])):
+        source, paths = group["source_id"], group["paths"]
+        to = {i: plan.remaps.get((source, i), (i, n))[0] for i, n in group["c"]}
         own = [{**find(data, t), "id": i} for i, t in to.items() if find(data, t)]
-        for path in paths:  # an origin's rows stay apart from the others', so that it can be retired alone
-            out = f"{catalog.path(ns, table)}/data/rewritten-{uuid.uuid4().hex[:12]}"
-            rows = scan_files(spark, own, [path])
-            names = {f["name"] for f in own}
-            cols = [F.col(f"`{f['name']}`") if f["name"] in names else F.lit(None).cast(f["type"]).alias(f["name"]) for f in data]
-            rows = rows.select(*cols, F.lit(source).alias(source_field["name"]))
-            schema = struct([*data, source_field])
-            rows = rows.select(*(F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) for f in schema.fields))
-            rows.write.parquet(out)
-            for n, folder, size, modified, at in storage.listed(out):
-                if n.endswith(".parquet"):
-                    listed.append((source, 0, at, size, modified))
-                    origins[at] = path
+        out = f"{catalog.path(ns, table)}/data/{source}/rewritten-{uuid.uuid4().hex[:12]}"
+        outs.append(out)
+        names = {f["name"] for f in own}
+        cols = [F.col(f"`{f['name']}`") if f["name"] in names else F.lit(None).cast(f["type"]).alias(f["name"]) for f in data]
+        rows = scan_files(spark, own, paths).select(*cols, F.lit(source).alias(source_field["name"]), F.sha1("_metadata.file_path").alias(ORIGIN))
+        rows = rows.select(*(F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) for f in schema.fields), ORIGIN)
+        rows.write.partitionBy(ORIGIN).parquet(out)
+        of = {hashlib.sha1(address(p).encode()).hexdigest(): p for p in paths}
+        for at, size, modified in storage.walk(out):
+            listed.append((source, 0, at, size, modified))
+            origins.append((at, of[at.rsplit(f"/{ORIGIN}=", 1)[1].split("/")[0]]))
     entries = file_entries(spark, listed)
-    pairs = spark.createDataFrame(sorted(origins.items()), "file_path string, rewrite_of string")
+    pairs = spark.createDataFrame(sorted(origins), "file_path string, rewrite_of string")
     return entries.join(pairs, "file_path").select("file_path", "file_format", "source_id", "record_count", "file_size_in_bytes", "column_stats", F.lit("rewritten").alias("origin"), "rewrite_of", F.lit(None).cast("map<int,int>").alias("field_map"))
 
 
+def slowest(times: DataFrame, most: int = 5) -> DataFrame:
+    """(table_name, seconds): of (table_name, elapsed), the tables that took longest, to a tenth."""
+    return times.orderBy(F.desc("elapsed"), "table_name").limit(most).select("table_name", F.round("elapsed", 1).alias("seconds"))
+
+
 def run(catalog: Catalog, config: Config, tables: list[str] | None = None) -> dict:
     """All tables, ``table_workers`` at a time, each a Spark job of its own. A failure is raised
     after the other tables have ended; their versions stay."""
@@ -132,7 +147,7 @@ def run(catalog: Catalog, config: Config, tables: list[str] | None = None) -> di
     if failed:
         raise failed[0]
     add = lambda k: sum(r[k] for r in done)
-    slowest = sorted(done, key=lambda r: -r["elapsed"])[:5]
-    return {"tables": len(done), "sources": len(sources), "spliced_rows": add("spliced_rows"), "rewritten_rows": add("rewritten_rows"), "grand_total": add("spliced_rows") + add("rewritten_rows"), "orphaned_files": add("orphaned_files"), "orphaned_rows": add("orphaned_rows"), "slowest": [(r["table"], round(r["elapsed"], 1)) for r in slowest], "seconds": round(time.time() - began, 1), "results": {r["table"]: r for r in done}}
+    times = catalog.spark.createDataFrame([(r["table"], r["elapsed"]) for r in done], "table_name string, elapsed double")
+    return {"tables": len(done), "sources": len(sources), "spliced_rows": add("spliced_rows"), "rewritten_rows": add("rewritten_rows"), "grand_total": add("spliced_rows") + add("rewritten_rows"), "orphaned_files": add("orphaned_files"), "orphaned_rows": add("orphaned_rows"), "slowest": [tuple(r) for r in slowest(times).collect()], "seconds": round(time.time() - began, 1), "results": {r["table"]: r for r in done}}
 
 

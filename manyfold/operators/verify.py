@@ -1,4 +1,4 @@
-"""Independent checks of a consolidated table: it shares only names and listings with registration."""
+"""Independent checks of a consolidated table: it shares only names with registration."""
 
 from __future__ import annotations
 
@@ -9,28 +9,29 @@ from pyspark.sql import functions as F
 
 from ..sources import Catalog, Config
 from .discovery import common_tables, source_names
-from .reader import read
+from .reader import by_field_id, read, source_of
 
 log = logging.getLogger(__name__)
 
 
 def row_counts(catalog: Catalog, config: Config, table: str, sources: list[str]) -> DataFrame:
-    """(source_id, source_rows, target_rows, matches), counted from data on both sides."""
-    spark, parts = catalog.spark, []
+    """(source_id, source_rows, target_rows, matches), counted from data on both sides. The sources'
+    files are listed by Spark's own reader, in all sub-folders, in one scan: what registration
+    has overlooked is counted here."""
+    spark, there = catalog.spark, []
     for ns in sources:
-        if not catalog.storage.exists(catalog.path(ns, table)):
+        if catalog.storage.exists(catalog.path(ns, table)):
+            there.append(ns)
+        else:
             log.warning("%s has no table %s; it is left out", ns, table)
-            continue
-        paths = [p for p, *_ in catalog.source_files(ns, table)]
-        n = spark.read.parquet(*paths).agg(F.count(F.lit(1)).alias("source_rows")) if paths else spark.range(1).select(F.lit(0).cast("long").alias("source_rows"))
-        parts.append(n.select(F.lit(ns).alias("source_id"), "source_rows"))
-    if not parts:
+    if not there:
         return spark.createDataFrame([], "source_id string, source_rows long, target_rows long, matches boolean")
-    there = parts[0]
-    for p in parts[1:]:
-        there = there.unionByName(p)
+    by_field_id(spark)
+    # no column is read, so which one is named doesn't matter
+    rows = spark.read.schema("c int").option("recursiveFileLookup", "true").parquet(*(catalog.path(ns, table) for ns in there))
+    rows = rows.groupBy(source_of(catalog, catalog.warehouse, set(there)).alias("source_id")).agg(F.count(F.lit(1)).alias("source_rows"))
     here = read(catalog, config.target_namespace, table).groupBy(F.col(f"`{config.source_id_column}`").alias("source_id")).agg(F.count(F.lit(1)).alias("target_rows"))
-    both = there.join(here, "source_id", "left").fillna(0, ["target_rows"])
+    both = spark.createDataFrame([(n,) for n in there], "source_id string").join(rows, "source_id", "left").join(here, "source_id", "left").fillna(0, ["source_rows", "target_rows"])
     return both.select("source_id", "source_rows", "target_rows", (F.col("source_rows") == F.col("target_rows")).alias("matches"))
 
 
@@ -47,22 +48,16 @@ def pruning(catalog: Catalog, config: Config, table: str, source: str) -> tuple[
 
 
 def planned_files(df: DataFrame) -> int:
-    """The files that the scans of a query read, after pruning."""
-    plan = df._jdf.queryExecution().executedPlan()
-    df._jdf.queryExecution().toRdd().count()
-    total, todo = 0, [plan]
+    """The files that the scans of a query plan to read, after pruning; nothing is read."""
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
     while todo:
         node = todo.pop()
-        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
-            todo.append(node.executedPlan())
-            continue
         name = node.getClass().getSimpleName()
-        if name in ("ShuffleQueryStageExec", "BroadcastQueryStageExec"):
-            todo.append(node.plan())
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
             continue
-        metrics = node.metrics()
-        if "FileSourceScan" in name and metrics.contains("numFiles"):
-            total += metrics.apply("numFiles").value()
+        if "FileSourceScan" in name:
+            total += node.selectedPartitions().totalNumberOfFiles()
         kids = node.children()
         todo += [kids.apply(i) for i in range(kids.size())]
     return int(total)

@@ -7,8 +7,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
 def columns(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
 
@@ -49,11 +51,12 @@ def _footer(path: str) -> tuple[int, list[dict]]:
                 x["value_count"] += meta.row_group(g).num_rows if not nested else 0
                 x["null_count"] += nulls
                 if s is not None and s.has_min_max and not nested:
-                    low, high = str(s.min), str(s.max)
-                    x["lower"] = low if x["lower"] is None or low < x["lower"] else x["lower"]
-                    x["upper"] = high if x["upper"] is None or high > x["upper"] else x["upper"]
+                    # compared as values, written as text at the end
+                    x["lower"] = s.min if x["lower"] is None or s.min < x["lower"] else x["lower"]
+                    x["upper"] = s.max if x["upper"] is None or s.max > x["upper"] else x["upper"]
         for field in arrow:
-            columns.setdefault(field.name, blank(field.name))
+            x = columns.setdefault(field.name, blank(field.name))
+            x.update({k: None if x[k] is None else str(x[k]) for k in ("lower", "upper")})
         return meta.num_rows, [columns[field.name] for field in arrow]
 
 
@@ -65,8 +68,12 @@ def _kinds(arrow: pa.Schema, written: bytes | None) -> dict[str, str]:
     return {f.name: noted.get(f.name) or from_arrow_type(f.type, prefer_timestamp_ntz=True).simpleString() for f in arrow}
 
 
-def file_entries(spark: SparkSession, listed: list[tuple]) -> DataFrame:
-    """ENTRY rows of (source, ordinal, path, bytes, modified) tuples; footers are read in parallel."""
+def file_entries(spark: SparkSession, listed: list[tuple], held: DataFrame | None = None) -> DataFrame:
+    """ENTRY rows of (source, ordinal, path, bytes, modified) tuples; footers are read in parallel.
+
+    ``held``, a manifest, spares the footers of files that it has at the same size. A rewritten
+    file's origin has no columns then: the manifest knows those of the rewrite, and what the
+    origin's were is in the registry."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,8 +85,16 @@ def file_entries(spark: SparkSession, listed: list[tuple]) -> DataFrame:
 
     if not listed:
         return spark.createDataFrame([], ENTRY)
+    every = spark.createDataFrame(listed, LISTED)
     slices = max(1, min(len(listed) // 16, 4 * spark.sparkContext.defaultParallelism))
-    return spark.createDataFrame(listed, LISTED).repartition(slices).mapInArrow(f, ENTRY)
+    if held is None:
+        return every.repartition(slices).mapInArrow(f, ENTRY)
+    rewritten, key = F.col("rewrite_of").isNotNull(), ["source_id", "file_path"]
+    there = held.select("source_id", F.coalesce("rewrite_of", "file_path").alias("file_path"), "file_format", "record_count", F.when(rewritten, F.array().cast(STATS)).otherwise(F.col("column_stats")).alias("column_stats"), F.when(~rewritten, F.col("file_size_in_bytes")).alias("size"))
+    both = every.join(there.dropDuplicates(key), key, "left")
+    same = F.col("record_count").isNotNull() & F.coalesce(F.col("size") == F.col("file_size_in_bytes"), F.lit(True))
+    opened = both.where(~same).select(*LISTED.names).repartition(slices).mapInArrow(f, ENTRY)
+    return both.where(same).select(*ENTRY.names).unionByName(opened)
 
 
 _ARROW = pa.schema(

@@ -3,10 +3,11 @@ source files are read by pyarrow (``files.py``), so sources must be in a store t
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -49,18 +50,43 @@ class Storage:
         finally:
             stream.close()
 
+    def walk(self, path: str) -> list[tuple[str, int, int]]:
+        """(address, bytes, modified) of all files below a folder, hidden ones left out."""
+        p, fs = self._at(path)
+        found, files = [], fs.listFiles(p, True)
+        while files.hasNext():
+            s = files.next()
+            if not s.getPath().getName().startswith((".", "_")):
+                found.append((s.getPath().toUri().toString(), s.getLen(), s.getModificationTime()))
+        return sorted(found)
+
     def create(self, path: str, text: str) -> bool:
-        """Write a new file; False if one is there already, which then stays as it is."""
+        """Publish a new file, whole or not at all; False if one is there already, which then stays
+        as it is. The text is written under another name, which no reader looks at. On a local file
+        system a link to it takes the name, in HDFS a rename, and both fail where the name is taken.
+        Object stores have no such step: there, one writer at a time must be seen to."""
         p, fs = self._at(path)
-        try:
-            stream = fs.create(p, False)
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" in str(e) or "already exists" in str(e):
-                return False
-            raise
+        if fs.exists(p):
+            return False
+        part = self.jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{uuid.uuid4().hex}.tmp")
+        stream = fs.create(part, False)
         stream.write(bytearray(text.encode()))
         stream.close()
-        return True
+        try:
+            if fs.getUri().getScheme() != "file":
+                return bool(fs.rename(part, p))
+            local = lambda x: unquote(urlparse(fs.makeQualified(x).toUri().toString()).path)
+            try:
+                os.link(local(part), local(p))
+            except FileExistsError:
+                return False
+            return True
+        finally:
+            fs.delete(part, False)
+
+    def move(self, path: str, to: str) -> None:
+        p, fs = self._at(path)
+        fs.rename(p, self.jvm.org.apache.hadoop.fs.Path(to))
 
     def delete(self, path: str) -> None:
         p, fs = self._at(path)
@@ -69,6 +95,8 @@ class Storage:
 
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder that all executors see: under spark.checkpoint.dir, or on this machine where
-    that is unset."""
+    that is unset and all executors are on it."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{shared or 'file://' + tempfile.mkdtemp(prefix='manyfold-')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -186,3 +186,142 @@ def test_stream_registers_what_has_arrived(spark, tmp_path, sf_dir):
     go()
     assert read(w.catalog, "tenant_consolidated", "customer").count() == 60 + 20
     assert w.catalog.latest("tenant_consolidated", "customer").version == 2
+
+
+def _meta(w):
+    return w.catalog._meta("tenant_consolidated", "customer")
+
+
+def test_torn_version_is_no_version(spark, tmp_path, sf_dir):
+    w, df = _world(spark, tmp_path, sf_dir)
+    w.register()
+    for torn in ("", '{"version": 2, "oper'):
+        at = tmp_path / "wh/tenant_consolidated/customer/_meta" / f"{w.catalog.latest('tenant_consolidated', 'customer').version + 1:08d}.json"
+        at.write_text(torn)
+        assert read(w.catalog, "tenant_consolidated", "customer").count() == w.catalog.manifest("tenant_consolidated", "customer").agg(F.sum("record_count")).first()[0]
+        fx.put(w, "tenant_2", fx.copies(df, 2))
+        assert w.register()["spliced_files"] == 1
+    assert read(w.catalog, "tenant_consolidated", "customer").count() == 60 + 40
+
+
+def test_a_version_is_published_whole_and_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from manyfold.sources.storage import Storage
+
+    s, at = Storage(spark), f"file://{tmp_path}/v 1/00000001.json"
+    s.mkdirs(f"file://{tmp_path}/v 1")
+    texts = [json.dumps({"writer": k, "filling": "x" * 200_000}) for k in range(8)]
+    seen, ended = [], []
+
+    def watch():
+        while not ended:
+            if s.versions(f"file://{tmp_path}/v 1"):
+                seen.append(json.loads(s.read_text(at)))
+
+    with ThreadPoolExecutor(9) as pool:
+        watching = pool.submit(watch)
+        won = list(pool.map(lambda t: s.create(at, t), texts))
+        ended.append(1)
+        watching.result()
+    assert sum(won) == 1 and s.read_text(at) == texts[won.index(True)]
+    assert all(x == json.loads(texts[won.index(True)]) for x in seen)
+    assert [p.name for p in (tmp_path / "v 1").iterdir() if not p.name.endswith(".crc")] == ["00000001.json"]
+
+
+def test_no_footer_is_read_twice(spark, tmp_path, sf_dir, monkeypatch):
+    from manyfold.operators.register import load_sources
+
+    w, df = _world(spark, tmp_path, sf_dir)
+    w.register()
+    for p in (tmp_path / "wh").glob("tenant_[0-2]/customer/*.parquet"):
+        size = p.stat().st_size
+        p.write_bytes(b"\0" * size)  # a footer that is opened fails
+    for p in (tmp_path / "wh").glob("tenant_[0-2]/customer/.*.crc"):
+        p.unlink()
+    r = w.register()
+    assert (r["operation"], r["already_files"], r["already_rows"] if "already_rows" in r else 60) == ("none", 3, 60)
+    fx.put(w, "tenant_1", fx.hued(fx.copies(df, 1)))
+    assert w.register()["widened"] == [{"id": 6, "name": "hue", "source": "tenant_1"}]
+    held = w.catalog.manifest("tenant_consolidated", "customer")
+    now = load_sources(w.catalog, list(fx.TENANTS), "customer", held=held)
+    assert now.agg(F.sum("record_count")).first()[0] == 80 and now.where("size(column_stats) >= 5").count() == 4
+
+
+def test_bounds_are_compared_as_values(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from manyfold.sources.files import _footer
+
+    at = tmp_path / "f.parquet"
+    pq.write_table(pa.table({"n": [9, 10, 100, 2], "s": ["9", "10", "100", "2"], "d": [9.5, -10.0, 1e3, None], "none": pa.nulls(4, pa.int32())}), at, row_group_size=1)
+    got = {c["name"]: (c["lower"], c["upper"], c["null_count"]) for c in _footer(f"file://{at}")[1]}
+    assert got == {"n": ("2", "100", 0), "s": ("10", "9", 0), "d": ("-10.0", "1000.0", 1), "none": (None, None, 4)}
+
+
+def test_one_rewrite_for_many_files(spark, tmp_path, sf_dir):
+    w, df = _world(spark, tmp_path, sf_dir)
+    w.register()
+    fx.put(w, "tenant_0", fx.hued(fx.copies(df, 0)))
+    fx.put(w, "tenant_1", fx.hued(fx.copies(df, 1), "shade"), files=4)
+    r = w.register()
+    assert r["rewritten_files"] == 4
+    held = w.catalog.manifest("tenant_consolidated", "customer").where("origin = 'rewritten'").collect()
+    assert len({h["file_path"].split("/rewritten-")[1].split("/")[0] for h in held}) == 1 and len({h["rewrite_of"] for h in held}) == 4
+    gone = next(p for p in (tmp_path / "wh/tenant_1/customer").glob("*.parquet") if p.name in {h["rewrite_of"].rsplit("/", 1)[1] for h in held})
+    rows = spark.read.parquet(f"file://{gone}").count()
+    gone.unlink()
+    assert w.register()["orphaned_rows"] == rows
+    assert read(w.catalog, "tenant_consolidated", "customer").where(F.col(fx.SOURCE) == "tenant_1").count() == 20 + 20 - rows
+
+
+def test_lost_race_leaves_no_rewritten_files(spark, tmp_path, sf_dir, monkeypatch):
+    w, df = _world(spark, tmp_path, sf_dir)
+    w.register()
+    fx.put(w, "tenant_0", fx.hued(fx.copies(df, 0)))
+    fx.put(w, "tenant_1", fx.hued(fx.copies(df, 1), "shade"))
+    real, raced = Catalog.commit, []
+
+    def late(self, *a, **b):
+        if not raced:
+            raced.append(1)
+            raise CommitConflict("another writer")
+        return real(self, *a, **b)
+
+    monkeypatch.setattr(Catalog, "commit", late)
+    w.register()
+    data = tmp_path / "wh/tenant_consolidated/customer/data/tenant_1"
+    assert raced and len(list(data.iterdir())) == 1
+    (data / "rewritten-of-a-crash").mkdir()
+    (tmp_path / "wh/tenant_consolidated/customer/_meta/data/00000009-dead").mkdir()
+    before = sorted(map(str, read(w.catalog, "tenant_consolidated", "customer").collect()))
+    assert not w.catalog.clean_up("tenant_consolidated", "customer")
+    assert len(w.catalog.clean_up("tenant_consolidated", "customer", older_than=-5)) == 2
+    assert sorted(map(str, read(w.catalog, "tenant_consolidated", "customer").collect())) == before
+
+
+def test_namespaces_of_several_levels(spark, tmp_path, sf_dir):
+    df = fx.base(spark, sf_dir, "customer").where("c_custkey < 60")
+    names = ["eu.a b", "eu.b", "us.a+c%d"]
+    w = fx.World(Catalog(spark, f"file://{tmp_path}/wh", levels=2), Config("all.one", fx.SOURCE, source_namespace_pattern="[eu]*"))
+    for k, ns in enumerate(names):
+        fx.put(w, ns, fx.tenant(df, k))
+    assert source_names(w.catalog, w.config) == names
+    w.register()
+    got = read(w.catalog, "all.one", "customer").groupBy(fx.SOURCE).count().collect()
+    assert sorted(map(tuple, got)) == [(n, 20) for n in names]
+    checks, well = verify(w.catalog, w.config, ["customer"])
+    assert well
+    for n in names:
+        assert read(w.catalog, "all.one", "customer").where(F.col(fx.SOURCE) == n).count() == 20
+
+
+def test_verification_sees_what_registration_overlooked(spark, tmp_path, sf_dir, monkeypatch):
+    w, df = _world(spark, tmp_path, sf_dir)
+    fx.with_ids(fx.copies(df, 0)).coalesce(1).write.parquet(f"{w.catalog.path('tenant_0', 'customer')}/deep")
+    real = Catalog.source_files
+    monkeypatch.setattr(Catalog, "source_files", lambda self, ns, t: [f for f in real(self, ns, t) if "/deep/" not in f[0]])
+    w.register()
+    checks, well = verify(w.catalog, w.config, ["customer"])
+    assert not well and "tenant_0: 40 and 20" in [r["detail"] for r in checks.collect() if not r["ok"]][0]

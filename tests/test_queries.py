@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from manyfold import queries as q
+from manyfold.fixtures import world
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -27,6 +28,6 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
     assert got == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=str)
 
 
-def test_slowest_tables(spark, sf_dir):
-    rows = q.queries()["slowest_tables"](spark, sf_dir).collect()
-    assert len(rows) == 3 and [r["seconds"] for r in rows] == sorted((r["seconds"] for r in rows), reverse=True)
+def test_slowest_tables_of_a_run(spark, sf_dir):
+    slow = world(spark, sf_dir, "F12").runs[-1]["slowest"]
+    assert len(slow) == 3 and [t for _, t in slow] == sorted((t for _, t in slow), reverse=True)
