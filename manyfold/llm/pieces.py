@@ -12,7 +12,14 @@ pieces is that result exactly if no two neighbours would have merged across thei
 merges inside the two decide. So a piece scores only if it may follow the piece that the best path
 to its start ends with, and every path that survives is what the library gives.
 
-A worker keeps the ids of words it has met (bounded), as a corpus repeats its words.
+A long word without blanks is cut first. Where no piece holds two neighbouring characters, no piece
+and no merge crosses, so the parts stand alone. What is still longer than WINDOW is, for a BPE
+model, encoded in windows that overlap and advance together; two windows are joined at a place where
+both have a border and whose neighbours may follow each other, which by the rule above gives the
+library's ids. Windows without such a place are encoded as one.
+
+A worker keeps the ids of words it has met, in two generations of bounded bytes, as a corpus repeats
+its words; whether pieces may follow each other is kept in a table of fixed size.
 """
 
 from __future__ import annotations
@@ -26,11 +33,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ship, text_of, worker_threads_off
-from ._words import mix
+from pyspark.sql import types as T
+
+from ._common import ship, text_of, with_field, worker_threads_off
+from ._words import chunks, mix
 
 BLANK = "▁"
-KEPT_WORDS = 600_000
+#: Bytes of the words that a worker keeps, about, and what a word costs beside its characters and ids.
+KEPT_BYTES, WORD_BYTES = 128 << 20, 200
+#: Characters of a window of a long word, and how far windows overlap.
+WINDOW, OVERLAP = 256, 64
+#: Characters that advance together at most, and words that are looked for at once.
+VITERBI_CHARS, WORDS_AT_ONCE = 200_000, 400_000
+_MEMO_BITS = 20
+#: Characters of the texts that a worker turns into one batch, about.
+BATCH_CHARS = 2 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _FILTER_BITS = 20
 _RUN = re.compile(r" *[^ ]+| +")
@@ -47,17 +64,15 @@ class Pieces:
 
         m = SentencePieceProcessor(model_file=path)
         n = m.get_piece_size()
-        self.surface, self.byte_ids = [b""] * n, [m.unk_id()] * 256
+        self.surface, self.byte_ids = _surfaces(m), [m.unk_id()] * 256
         hashes, ids, scores, lengths, names, raw = [], [], [], [], [], []
         for i in range(n):
             p = m.id_to_piece(i)
             if m.is_control(i) or m.is_unknown(i):
                 continue
             if m.is_byte(i):
-                b = int(p[3:5], 16)
-                self.byte_ids[b], self.surface[i] = i, bytes([b])
+                self.byte_ids[int(p[3:5], 16)] = i
                 continue
-            self.surface[i] = p.replace(BLANK, " ").encode()
             if BLANK in p.lstrip(BLANK):  # a text falls apart before each run of blanks
                 continue
             names.append(p)
@@ -74,9 +89,14 @@ class Pieces:
         self.ids_of, self.scores = np.array(ids)[order], np.array(scores, dtype=np.float64)[order]
         self.longest = max(lengths, default=1)
         self.unknown = self.scores.min(initial=0.0) - PENALTY
-        self.maybe = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        self.maybe[(self.keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        top = (self.keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+        self.first = np.searchsorted(top, np.arange((1 << _FILTER_BITS) + 1)).astype(np.int32)
+        self.crowd = int(np.diff(self.first).max(initial=0))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+        self.spanned = np.unique(np.array([a << 21 | b for p in names for a, b in zip(map(ord, p), map(ord, p[1:]))], dtype=np.int64))
+        self.memo = np.full(1 << _MEMO_BITS, -1, dtype=np.int64)
         self.raw, self.length = np.array(raw, dtype=np.uint64)[order], np.array(lengths, dtype=np.int64)[order]
         self.powers = _powers(int(2 * self.longest))
         self.bpe = _model_type(open(path, "rb").read()) == 2
@@ -105,14 +125,39 @@ class Pieces:
                 self.left[k], self.right[k], self.level[k] = a, b, min(score[k], self.level[a], self.level[b])
 
     def _probe(self, key: np.ndarray) -> np.ndarray:
-        """The piece of each hash, or -1."""
+        """The piece of each hash, or -1. The sorted keys are indexed by their leading bits, so a
+        probe looks at the few keys that share them, most often none."""
         out = np.full(len(key), -1, dtype=np.int64)
-        at = np.flatnonzero(self.maybe[(key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-        found = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
-        hit = self.keys[found] == key[at]
-        out[at[hit]] = found[hit]
+        top = (key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+        place, end = self.first[top], self.first[top + 1]
+        at = np.flatnonzero(place < end)
+        place, end, key = place[at], end[at], key[at]
+        for _ in range(self.crowd):
+            hit = self.keys[place] == key
+            out[at[hit]] = place[hit]
+            place = place + 1
+            on = ~hit & (place < end)
+            if not on.any():
+                break
+            at, place, end, key = at[on], place[on], end[on], key[on]
         return out
 
+    def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``may_follow``, with the pairs met before looked up in a table, where later pairs
+        replace earlier ones."""
+        code = (a * len(self.keys) + b) * 2
+        slot = (mix(code.view(np.uint64)) >> np.uint64(64 - _MEMO_BITS)).astype(np.int64)
+        held = self.memo[slot]
+        ok = (held & 1).astype(bool) | (a < 0) | (b < 0)
+        new = np.flatnonzero((held >> 1 != code >> 1) & (a >= 0) & (b >= 0))
+        if len(new):
+            distinct, which = np.unique(code[new], return_inverse=True)
+            at = new[np.unique(which, return_index=True)[1]]
+            got = self.may_follow(a[at], b[at])
+            self.memo[slot[at]] = distinct + got
+            ok[new] = got[which]
+        return ok
+
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the text of pieces a and b leaves a and b. -1: a character without piece.
 
@@ -138,73 +183,159 @@ class Pieces:
             a, b = np.where(from_b, a, self.right[a]), np.where(from_b, self.left[b], b)
         return ok
 
-    def viterbi(self, words: list[str]) -> list[bytes]:
-        """The ids of words (blanks written as BLANK), all of one length."""
+    def paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of words of one length: for each place in a word, the length of the piece that the best
+        path ends there with (0 where it has no border) and that piece (-1: a character without)."""
         n, length = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(n, length).astype(np.uint64)
         prefix = _prefix(codes)
         best = np.full((n, length + 1), -np.inf)
         best[:, 0] = 0
-        size, piece = np.zeros((n, length + 1), dtype=np.int64), np.full((n, length + 1), -1, dtype=np.int64)
-        last = np.full((n, length + 1), -1, dtype=np.int64)  # as piece, in the order of the keys
+        size, last = np.zeros((n, length + 1), dtype=np.int32), np.full((n, length + 1), -1, dtype=np.int32)
         every = np.arange(n)
         for end in range(1, length + 1):
             span = np.arange(min(self.longest, end), 0, -1)  # longest first: argmax takes the first of equals
-            keys = _keys(prefix, end, span)
-            found = self._probe(keys.ravel())
+            found = self._probe(_keys(prefix, end, span).ravel())
             at = np.flatnonzero(found >= 0)
             found = found[at]
             if self.bpe:
-                fits = self.made[found] & self.may_follow(last[at // len(span), end - span[at % len(span)]], found)
+                made = self.made[found]
+                at, found = at[made], found[made]
+                fits = self.follows(last[at // len(span), end - span[at % len(span)]].astype(np.int64), found)
                 at, found = at[fits], found[fits]
             row, k = at // len(span), at % len(span)
             score = np.full((n, len(span)), -np.inf)
             score[row, k] = best[row, end - span[k]] + self.scores[found]
-            which = np.full((n, len(span)), -1, dtype=np.int64)
+            which = np.full((n, len(span)), -1, dtype=np.int32)
             which[row, k] = found
             alone = ~np.isfinite(score).any(axis=1) if self.bpe else which[:, -1] < 0
             score[alone, -1] = best[alone, end - 1] + self.unknown
             top = score.argmax(axis=1)
             last[:, end] = which[every, top]
-            best[:, end], size[:, end], piece[:, end] = score[every, top], span[top], np.where(last[:, end] >= 0, self.ids_of[last[:, end]], -1)
-        steps, at = [], np.full(n, length)
+            best[:, end], size[:, end] = score[every, top], span[top]
+        border, at = np.zeros((n, length + 1), dtype=bool), np.full(n, length)
         while (at > 0).any():
-            steps.append(np.where(at > 0, piece[every, at], -2))
-            at = at - np.where(at > 0, size[every, at], 0)
-        ids = np.stack(steps[::-1], axis=1)
-        out = []
-        real = ids != -2
-        counts = real.sum(axis=1)
-        if (ids != -1).all():
-            data = ids[real].astype("<u4").tobytes()
-            ends = (4 * np.cumsum(counts)).tolist()
-            return [data[a:b] for a, b in zip([0, *ends], ends)]
-        for w, row in zip(words, ids):
-            got, i = [], 0
-            for p in row[row != -2].tolist():
-                if p >= 0:
-                    got.append(p)
-                    i += len(self.surface[p].decode())
-                else:
-                    got += [self.byte_ids[b] for b in w[i].encode("utf-8", "replace")]
-                    i += 1
-            out.append(np.array(got, dtype="<u4").tobytes())
+            on = np.flatnonzero(at > 0)
+            border[on, at[on]] = True
+            at[on] -= size[on, at[on]]
+        return np.where(border, size, 0)[:, 1:], last[:, 1:]
+
+    def viterbi(self, words: list[str]) -> list[bytes]:
+        """The ids of words (blanks written as BLANK), all of one length."""
+        size, last = self.paths(words)
+        real = size > 0
+        got, counts = last[real], real.sum(axis=1)
+        ends = np.cumsum(counts).tolist()
+        data = np.where(got >= 0, self.ids_of[got], 0).astype("<u4").tobytes()
+        out = [data[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+        for k in np.flatnonzero((real & (last < 0)).any(axis=1)).tolist():
+            at = np.flatnonzero(real[k])
+            out[k] = self._spelled(words[k], at, last[k, at])
         return out
 
+    def _spelled(self, word: str, ends: np.ndarray, found: np.ndarray) -> bytes:
+        """The ids of pieces that end behind the places ``ends``, characters without one by bytes."""
+        got: list[int] = []
+        for i, p in zip(ends.tolist(), found.tolist()):
+            got += [int(self.ids_of[p])] if p >= 0 else [self.byte_ids[b] for b in word[i].encode("utf-8", "replace")]
+        return np.array(got, dtype="<u4").tobytes()
+
+    def _long(self, word: str) -> bytes:
+        """The ids of a word of more than WINDOW characters."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        two = codes[:-1] << 21 | codes[1:]
+        found = np.minimum(np.searchsorted(self.spanned, two), max(0, len(self.spanned) - 1))
+        cuts = np.flatnonzero(self.spanned[found] != two) + 1 if len(self.spanned) else np.arange(1, len(word))
+        ends = [*cuts.tolist(), len(word)]
+        parts = [word[a:b] for a, b in zip([0, *ends], ends)]
+        out, by_length = {}, {}
+        for p in set(parts):
+            if len(p) <= WINDOW or not self.bpe:
+                by_length.setdefault(len(p), []).append(p)
+            else:
+                out[p] = self._windows(p)
+        for length, some in by_length.items():
+            step = max(1, VITERBI_CHARS // length)
+            for i in range(0, len(some), step):
+                out |= zip(some[i : i + step], self.viterbi(some[i : i + step]))
+        return b"".join(out[p] for p in parts)
+
+    def _windows(self, word: str) -> bytes:
+        """The ids of a word from windows that overlap. Where the pieces repeat with a period, borders
+        may never meet; then windows begin at every place that a border must fall on. A word that
+        can't be joined so either advances alone."""
+        for variants in (1, self.longest):
+            if (found := self._joined(word, variants)) is not None:
+                return self._spelled(word, *found)
+        size, last = self.paths([word])
+        return self._spelled(word, np.flatnonzero(size[0]), last[0][size[0] > 0])
+
+    def _joined(self, word: str, variants: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """(last character, piece) of a word's pieces; None if two windows have no place in common."""
+        bases = range(WINDOW - OVERLAP, len(word) - OVERLAP, WINDOW - OVERLAP)
+        by_length: dict[int, set[str]] = {}
+        for a in (0, *(b + j for b in bases for j in range(variants))):
+            by_length.setdefault(min(WINDOW, len(word) - a), set()).add(word[a : a + WINDOW])
+        found = {}
+        for length, distinct in by_length.items():
+            some = list(distinct)
+            for i in range(0, len(some), VITERBI_CHARS // WINDOW):
+                part = some[i : i + VITERBI_CHARS // WINDOW]
+                for w, s, p in zip(part, *self.paths(part)):
+                    found[w] = np.concatenate(([0], np.flatnonzero(s) + 1)), p[s > 0].astype(np.int64)
+        ends, got = found[word[:WINDOW]]
+        out, ends = [], ends[1:]
+        for a in bases:
+            for j in range(a, a + variants):
+                e, p = found[word[j : j + WINDOW]]
+                both = np.intersect1d(ends[:-1], e[:-1] + j)
+                both = both[np.argsort(np.abs(both - (a + OVERLAP // 2)), kind="stable")]
+                i, k = np.searchsorted(ends, both), np.searchsorted(e, both - j)
+                fit = np.flatnonzero(self.follows(got[i], p[k]))
+                if len(fit):
+                    i, k = int(i[fit[0]]), int(k[fit[0]])
+                    out.append((ends[: i + 1], got[: i + 1]))
+                    ends, got = e[k + 1 :] + j, p[k:]
+                    break
+            else:
+                return None
+        out.append((ends, got))
+        return np.concatenate([x for x, _ in out]) - 1, np.concatenate([x for _, x in out])
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit bytes; an empty text has none."""
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        split = [self._words(t) for t in texts]
-        by_length: dict[int, list[str]] = {}
-        for w in set().union(*split).difference(self.known):
-            by_length.setdefault(len(w), []).append(w)
+        out, split, words = [], [], 0
+        for text in texts:
+            split.append(self._words(text))
+            words += len(split[-1])
+            if words >= WORDS_AT_ONCE:
+                out += self._ids_of_words(split)
+                split, words = [], 0
+        return out + self._ids_of_words(split)
+
+    def _ids_of_words(self, split: list[list[str]]) -> list[bytes]:
+        if self.held > KEPT_BYTES // 2:
+            self.known, self.older, self.held = {}, self.known, 0
+        known, older, by_length = self.known, self.older, {}
+        for w in set().union(*split).difference(known):
+            if (ids := older.get(w)) is not None:
+                self._keep(w, ids)
+            elif len(w) > WINDOW:
+                self._keep(w, self._long(w.replace(" ", BLANK)))
+            else:
+                by_length.setdefault(len(w), []).append(w)
         for length, words in by_length.items():
-            step = max(1, 200_000 // length)
+            step = max(1, VITERBI_CHARS // length)
             for i in range(0, len(words), step):
                 some = words[i : i + step]
-                self.known |= zip(some, self.viterbi([w.replace(" ", BLANK) for w in some]))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+                got = self.viterbi([w.replace(" ", BLANK) for w in some])
+                known.update(zip(some, got))
+                self.held += (WORD_BYTES + 2 * length) * len(some) + sum(map(len, got))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.known[word] = ids
+        self.held += WORD_BYTES + 2 * len(word) + len(ids)
 
     def _words(self, text: str) -> list[str]:
         """A text with the blank that is put before it, cut before every run of blanks and around
@@ -228,8 +359,29 @@ class Pieces:
 
     def text(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
-        out = b"".join(map(self.surface.__getitem__, ids.tolist()))
-        return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
+        return text_of_ids(self.surface, ids)
+
+
+def text_of_ids(surface: list[bytes], ids: np.ndarray) -> str:
+    out = b"".join(map(surface.__getitem__, ids.tolist()))
+    return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
+
+
+def _surfaces(m: object) -> list[bytes]:
+    """What each id stands for in a text."""
+    out = []
+    for i in range(m.get_piece_size()):
+        p = m.id_to_piece(i)
+        out.append(b"" if m.is_control(i) or m.is_unknown(i) else bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace(BLANK, " ").encode())
+    return out
+
+
+@lru_cache(maxsize=2)
+def surfaces(path: str) -> list[bytes]:
+    """One for each file and worker process, for decoding alone."""
+    from sentencepiece import SentencePieceProcessor
+
+    return _surfaces(SentencePieceProcessor(model_file=path))
 
 
 def _prefix(codes: np.ndarray) -> np.ndarray:
@@ -291,35 +443,39 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, ids (little-endian unsigned 32-bit bytes) of each row; a null text is empty
-    and has no ids. Line order, equal and null identifiers don't matter."""
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, text, ids (little-endian unsigned 32-bit bytes) of each row, and, if asked for, decoded,
+    the text of these ids, from the same worker. A null text is empty and has no ids. Line order, equal
+    and null identifiers and further columns don't matter; an empty table gives an empty result."""
     ship(docs.sparkSession)
+    names = ["doc_id", "text", "ids", *(["decoded"] if decoded else [])]
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = pieces(model)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made.ids(part.column(1).to_pylist()), pa.binary())], names=["doc_id", "text", "ids"])
+            for s in chunks(batch.column(1).to_pylist(), BATCH_CHARS):
+                part = batch.slice(s.start, s.stop - s.start)
+                ids = made.ids(part.column(1).to_pylist())
+                new = [pa.array(ids, pa.binary())]
+                if decoded:
+                    new.append(pa.array([made.text(np.frombuffer(x, dtype="<u4")) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(f, "doc_id long, text string, ids binary")
+    kind = "doc_id long, text string, ids binary" + (", decoded string" if decoded else "")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(f, kind)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """``encoded`` with a column ``decoded``, the text of its column ``ids`` (null: of none)."""
-    from pyspark.sql import types as T
-
-    from ._common import with_field
-
+    """``encoded`` with a column ``decoded``, the text of its column ``ids`` (null: of none). A column
+    of that name that is there already is replaced. The worker holds the pieces' texts alone."""
     ship(encoded.sparkSession)
-    encoded = encoded.select(*(c for c in encoded.columns if c != "decoded"))
+    encoded = encoded.select(*(F.col(f"`{c}`") for c in encoded.columns if c != "decoded"))
     at = encoded.columns.index("ids")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = pieces(model)
+        surface = surfaces(model)
         for batch in batches:
-            texts = [made.text(np.frombuffer(x or b"", dtype="<u4")) for x in batch.column(at).to_pylist()]
+            texts = [text_of_ids(surface, np.frombuffer(x or b"", dtype="<u4")) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(f, with_field(encoded.schema, "decoded", T.StringType()))

@@ -38,10 +38,9 @@ def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pieces import decode, encode
+    from .pieces import encode
 
-    model = tokenizer_file("piece_bpe_32k.model")
-    rows = decode(encode(_table(spark, sf_dir, "documents"), model), model)
+    rows = encode(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), decoded=True)
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.crc32("decoded").alias("decoded_crc32"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 

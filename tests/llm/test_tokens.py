@@ -70,10 +70,36 @@ def test_viterbi_gives_the_librarys_ids(texts):
     assert [_library[1].text(x) for x in got] == [t.replace(pieces.BLANK, " ") for t in texts]
 
 
+def test_long_words_give_the_librarys_ids():
+    import random
+    import time
+
+    import sentencepiece
+
+    r, library, mine = random.Random(4), sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.pieces(MODEL)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    make = [lambda n: "".join(r.choice(letters) for _ in range(n)), lambda n: "a" * n, lambda n: ("ab" * n)[:n], lambda n: "=" * n + "-" * n, lambda n: " " * n, lambda n: "".join(r.choice("etaoin") for _ in range(n)), lambda n: "".join(r.choice(["the", "日本", "é", "ing"]) for _ in range(n // 2))]
+    texts = [f(n) for f in make for n in (256, 257, 300, 449, 700, 2000)]
+    got = mine.ids(texts)
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == library.encode(texts)
+    began = time.process_time()
+    assert np.frombuffer(mine.ids([make[0](20_000)])[0], dtype="<u4").size
+    assert time.process_time() - began < 2
+
+
+def test_words_kept_are_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 40_000)
+    p, fresh = pieces.Pieces(MODEL), pieces.pieces(MODEL)
+    texts = [f"one two w{k} x{k * k} three" for k in range(2000)]
+    assert [x for i in range(0, 2000, 50) for x in p.ids(texts[i : i + 50])] == fresh.ids(texts)
+    assert len(p.known) + len(p.older) < 500
+
+
 def test_pieces_odd_rows(odd, rows):
     out = [r.asDict() for r in pieces.decode(pieces.encode(odd, MODEL), MODEL).collect()]
     assert sorted(((str(r["doc_id"]), r["decoded"]) for r in out)) == sorted((str(i), t or "") for i, t, *_ in rows)
     assert all((len(r["ids"]) > 0) == (len(r["text"]) > 0) for r in out)
+    assert sorted(map(str, out)) == sorted(str(r.asDict()) for r in pieces.encode(odd, MODEL, decoded=True).collect())
 
 
 def test_token_files_odd_rows(odd, rows):
