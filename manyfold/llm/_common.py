@@ -8,7 +8,9 @@ import gc
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +22,9 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 _shipped: set[str] = set()
 _roots: set[str] = set()
+#: Folders that were staged, in order, and those of the tables that still have a name.
+_staged: list[str] = []
+_at: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def ship(spark: SparkSession) -> None:
@@ -38,10 +43,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is
-    unset (a local session, tests), a temporary folder of this machine."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset in
+    a local session, as in tests, a temporary folder of this machine. On a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -59,7 +66,40 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
         atexit.register(clean, spark)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _staged.append(path)
+    _at[out] = path
+    return out
+
+
+def mark() -> int:
+    """A point in what this application has staged, for ``drop``."""
+    return len(_staged)
+
+
+def drop(spark: SparkSession, since: int, keep: Iterable[DataFrame] = (), until: int | None = None) -> None:
+    """Delete what was staged from one mark to another, but for ``keep``: when all that reads it has
+    been written."""
+    until = len(_staged) if until is None else until
+    kept = {_at.get(df) for df in keep}
+    for k in range(since, until):
+        if _staged[k] and _staged[k] not in kept:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged[k])
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _staged[k] = ""
+
+
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name``, or a longer one that no column has in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def clean(spark: SparkSession) -> None:
@@ -73,7 +113,7 @@ def clean(spark: SparkSession) -> None:
 
 def text_of(name: str = "text") -> Column:
     """A text column where null counts as empty."""
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+    return F.coalesce(quoted(name).cast("string"), F.lit(""))
 
 
 def partitions_for(spark: SparkSession, rows: int, each: int) -> int:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import ship, stage, with_field
+from ._common import quoted, ship, stage, unused, with_field
 from ._words import Words, chunks
 
 TRAIN_ROWS = 20_000
@@ -80,9 +80,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ``most`` with the smallest hash of their identifier; rows without label or identifier teach
     nothing. With no labelled row, all coefficients are 0."""
     ship(docs.sparkSession)
-    some = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y is not null")
+    some = labels.select(quoted(id_col).cast("long").alias("i"), quoted(label_col).cast("int").alias("y")).where("i is not null and y is not null")
     some = some.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i", F.lit(seed)), "i").limit(most)
-    texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
+    texts = docs.select(quoted(id_col).cast("long").alias("d"), quoted(text_col).alias("t"))
     # the sample's size is bounded by ``most``, and a row of it is a dozen numbers
     got = with_statistics(texts.join(F.broadcast(some), F.col("d") == F.col("i")).select("y", "t"), "t", "x").select("y", "x").toPandas()
     k = len(FEATURES)
@@ -120,7 +120,8 @@ def _shrink(sites: DataFrame, prior: Column, least: float = 5.0) -> float:
 
 def site_posteriors(docs: DataFrame, host: str = "host", path: str = "path", p: str = "p") -> tuple[DataFrame, float]:
     """(host, path, prior) for each pair, nulls being a site of their own, and the corpus' mean."""
-    paths = docs.groupBy(F.col(host).alias("h"), F.col(path).alias("q")).agg(F.count("*").cast("double").alias("n"), F.sum(p).alias("s"), F.sum(F.col(p) * F.col(p)).alias("s2"))
+    paths = docs.groupBy(quoted(host).alias("h"), quoted(path).alias("q")).agg(F.count("*").cast("double").alias("n"), F.sum(quoted(p)).alias("s"), F.sum(quoted(p) * quoted(p)).alias("s2"))
+    paths = stage(docs.sparkSession, paths, "site-sums")  # a row per site, so that texts are read once
     paths = paths.withColumn("v", F.greatest(F.lit(0.0), F.col("s2") - F.col("s") * F.col("s") / F.col("n")))
     total = paths.agg(F.sum("s"), F.sum("n")).first()
     mean = float(total[0] / total[1]) if total[1] else 0.5
@@ -132,28 +133,35 @@ def site_posteriors(docs: DataFrame, host: str = "host", path: str = "path", p:
     return paths.select("h", "q", "host_prior", ((F.col("s") + k * F.col("host_prior")) / (F.col("n") + k)).alias("path_prior")), mean
 
 
-def with_quality(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], host: Column, path: Column, text_col: str = "text", name: str = "quality_score", weight: float = 0.25) -> DataFrame:
+def with_quality(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], host: Column, path: Column, text_col: str = "text", name: str = "quality_score", weight: float = 0.25, keep_text: bool = True) -> DataFrame:
     """``docs`` with four columns: ``name`` (posterior probability of good quality), ``name`` +
     _evidence (from the text alone), _host and _path (the sites' posterior means).
 
     ``weight`` is how much of the site's shift in log odds a document takes. A null text is an
-    empty one; a null host or path is a site of its own. Columns of these names are replaced.
+    empty one; a null host or path is a site of its own. Columns of these names are replaced; others
+    of any name stay as they are. Without ``keep_text`` the text is left out, and is then read once:
+    the rows with their evidence are staged.
     """
     spark = docs.sparkSession
     ship(spark)
     mean, scale, w = model
     new = [name, f"{name}_evidence", f"{name}_host", f"{name}_path"]
     kept = [c for c in docs.columns if c not in new]
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept), host.cast("string").alias("__h"), path.cast("string").alias("__q"))
-    rows = with_statistics(rows, text_col, "__x")
+    h, q, x, p, sh, sq, hp, qp = (unused([*docs.columns, *new], c) for c in ("_host", "_path", "_x", "_p", "_site_host", "_site_path", "_host_prior", "_path_prior"))
+    rows = docs.select(*map(quoted, kept), host.cast("string").alias(h), path.cast("string").alias(q))
+    rows = with_statistics(rows, text_col, x)
     coef = w[:-1] / scale
     logit = F.lit(float(w[-1] - (coef * mean).sum()))
     for i, c in enumerate(coef):
-        logit = logit + F.col("__x")[i] * float(c)
-    rows = rows.withColumn("__p", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))))).drop("__x")
-    sites, mean_p = site_posteriors(rows, "__h", "__q", "__p")
-    sites = stage(spark, sites.select(F.col("h").alias("__sh"), F.col("q").alias("__sq"), F.col("host_prior").alias("__hp"), F.col("path_prior").alias("__qp")), "sites")
+        logit = logit + F.col(x)[i] * float(c)
+    if not keep_text:
+        kept = [c for c in kept if c != text_col]
+    rows = rows.select(*map(quoted, kept), h, q, (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))))).alias(p))
+    if not keep_text:
+        rows = stage(spark, rows, "evidence")
+    sites, mean_p = site_posteriors(rows, h, q, p)
+    sites = stage(spark, sites.select(F.col("h").alias(sh), F.col("q").alias(sq), F.col("host_prior").alias(hp), F.col("path_prior").alias(qp)), "sites")
     few = sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
-    rows = rows.join(F.broadcast(sites) if few else sites, F.col("__h").eqNullSafe(F.col("__sh")) & F.col("__q").eqNullSafe(F.col("__sq")), "left")
-    z = _odds(F.col("__p")) + weight * (_odds(F.col("__qp")) - _odds(F.lit(mean_p)))
-    return rows.select(*(F.col(f"`{c}`") for c in kept), (1 / (1 + F.exp(-z))).alias(new[0]), F.col("__p").alias(new[1]), F.col("__hp").alias(new[2]), F.col("__qp").alias(new[3]))
+    rows = rows.join(F.broadcast(sites) if few else sites, F.col(h).eqNullSafe(F.col(sh)) & F.col(q).eqNullSafe(F.col(sq)), "left")
+    z = _odds(F.col(p)) + weight * (_odds(F.col(qp)) - _odds(F.lit(mean_p)))
+    return rows.select(*map(quoted, kept), (1 / (1 + F.exp(-z))).alias(new[0]), F.col(p).alias(new[1]), F.col(hp).alias(new[2]), F.col(qp).alias(new[3]))

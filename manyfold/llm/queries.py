@@ -82,7 +82,7 @@ def op9_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit, with_quality
 
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), _table(spark, sf_dir, "labels")
-    scored = with_quality(docs, fit(docs, labels.where(~held_out())), F.col("source"), F.col("lang"), name="score")
+    scored = with_quality(docs, fit(docs, labels.where(~held_out())), F.col("source"), F.col("lang"), name="score", keep_text=False)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("score_evidence").alias("evidence"), F.col("score_host").alias("host_prior"), F.col("score_path").alias("path_prior"))
 
 
