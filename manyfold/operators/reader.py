@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.schema import find, struct
@@ -28,24 +28,6 @@ def scan_files(spark: SparkSession, fields: list[dict], paths: list[str]) -> Dat
     return spark.read.schema(schema).parquet(*[unquote(p) for p in paths])
 
 
-def source_of(catalog: Catalog, path: str, names: set[str]) -> Column:
-    """The source of the row's file: the folders behind ``path`` in its address, whatever the number
-    of files. It is constant for a file, so a filter on it prunes files."""
-    first = address(path).count("/") + 2
-    parts = [F.split_part(F.col("_metadata.file_path"), F.lit("/"), F.lit(first + k)) for k in range(catalog.levels)]
-    found = parts[0] if len(parts) == 1 else F.concat_ws(".", *parts)
-    # the few names that an address writes otherwise
-    odd = {e: n for n in names if (e := catalog.storage.qualified(f"{catalog.warehouse}/{n}").rpartition("/")[2]) != n}
-    if not odd:
-        return found
-    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in sorted(odd.items()) for x in pair)), found), found)
-
-
-def address(path: str) -> str:
-    """An address as ``_metadata.file_path`` has it."""
-    return "file:" + path[len("file://") :] if path.startswith("file:///") else path
-
-
 def read(catalog: Catalog, namespace: str, table: str, version: int | None = None) -> DataFrame:
     """All rows of all sources, each with its source; ``version`` gives an earlier state.
 
@@ -74,8 +56,9 @@ def read(catalog: Catalog, namespace: str, table: str, version: int | None = Non
         df = scan_files(spark, fields, sorted(paths))
         there = {f["name"] for f in fields}
         cols = [F.col(f"`{f['name']}`") if f["name"] in there else F.lit(None).cast(f["type"]).alias(f["name"]) for f in data]
-        top = f"{catalog.path(namespace, table)}/data" if rewritten else catalog.warehouse
-        parts.append(df.select(*cols, source_of(catalog, top, names).alias(snap.partition_column)))
+        at = F.col("_metadata.file_path")
+        source = catalog.folders_of(f"{catalog.path(namespace, table)}/data", names, at, 1) if rewritten else catalog.source_of(table, names, at)
+        parts.append(df.select(*cols, source.alias(snap.partition_column)))
     if not parts:
         return spark.createDataFrame([], struct(snap.schema))
     out = parts[0]

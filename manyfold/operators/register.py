@@ -15,7 +15,7 @@ from ..plans import planner
 from ..plans.schema import find, reserve, struct
 from ..sources import Catalog, CommitConflict, Config, file_entries
 from .discovery import common_tables, source_names
-from .reader import address, by_field_id, scan_files
+from .reader import by_field_id, scan_files
 
 log = logging.getLogger(__name__)
 
@@ -80,7 +80,7 @@ def _register_once(catalog: Catalog, table: str, config: Config, sources: list[s
         version = base.version
         if operation != "none":
             version = catalog.commit(ns, table, base, operation, added if new else None, gone if orphaned else None, plan.fields, plan.registry, config.source_id_column).version
-        return {"table": table, "version": version, "operation": operation, "spliced_files": add("spliced_files"), "spliced_rows": add("spliced_rows"), "rewritten_files": add("rewrite_files"), "rewritten_rows": add("rewrite_rows"), "already_files": add("already_files"), "orphaned_files": orphaned, "orphaned_rows": add("orphaned_rows"), "widened": plan.widened, "renamed": plan.renamed, "unlisted": sorted(set(state) - set(sources)), "sources": state, "elapsed": time.time() - began}
+        return {"table": table, "version": version, "operation": operation, "spliced_files": add("spliced_files"), "spliced_rows": add("spliced_rows"), "rewritten_files": add("rewrite_files"), "rewritten_rows": add("rewrite_rows"), "already_files": add("already_files"), "orphaned_files": orphaned, "orphaned_rows": add("orphaned_rows"), "widened": plan.widened, "renamed": plan.renamed, "collisions": [{"source": s, "id": i, "name": plan.remaps[s, i][1]} for s, i in sorted(plan.rewrites)] if add("rewrite_files") else [], "unlisted": sorted(set(state) - set(sources)), "sources": state, "elapsed": time.time() - began}
     except CommitConflict:
         for out in outs:  # another writer was first; what was rewritten for this plan is no one's
             catalog.storage.delete(out)
@@ -114,7 +114,7 @@ def _rewrite(catalog: Catalog, ns: str, table: str, plan: planner.Assignment, fi
         rows = scan_files(spark, own, paths).select(*cols, F.lit(source).alias(source_field["name"]), F.sha1("_metadata.file_path").alias(ORIGIN))
         rows = rows.select(*(F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) for f in schema.fields), ORIGIN)
         rows.write.partitionBy(ORIGIN).parquet(out)
-        of = {hashlib.sha1(address(p).encode()).hexdigest(): p for p in paths}
+        of = {hashlib.sha1(catalog.address(p).encode()).hexdigest(): p for p in paths}
         for at, size, modified in storage.walk(out):
             listed.append((source, 0, at, size, modified))
             origins.append((at, of[at.rsplit(f"/{ORIGIN}=", 1)[1].split("/")[0]]))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources import Catalog, Config
 from .discovery import common_tables, source_names
-from .reader import by_field_id, read, source_of
+from .reader import by_field_id, read
 
 log = logging.getLogger(__name__)
 
@@ -20,7 +20,7 @@ def row_counts(catalog: Catalog, config: Config, table: str, sources: list[str])
     has overlooked is counted here."""
     spark, there = catalog.spark, []
     for ns in sources:
-        if catalog.storage.exists(catalog.path(ns, table)):
+        if catalog.has_source(ns, table):
             there.append(ns)
         else:
             log.warning("%s has no table %s; it is left out", ns, table)
@@ -28,8 +28,8 @@ def row_counts(catalog: Catalog, config: Config, table: str, sources: list[str])
         return spark.createDataFrame([], "source_id string, source_rows long, target_rows long, matches boolean")
     by_field_id(spark)
     # no column is read, so which one is named doesn't matter
-    rows = spark.read.schema("c int").option("recursiveFileLookup", "true").parquet(*(catalog.path(ns, table) for ns in there))
-    rows = rows.groupBy(source_of(catalog, catalog.warehouse, set(there)).alias("source_id")).agg(F.count(F.lit(1)).alias("source_rows"))
+    rows = spark.read.schema("c int").option("recursiveFileLookup", "true").parquet(*(catalog.source_location(ns, table) for ns in there))
+    rows = rows.groupBy(catalog.source_of(table, set(there), F.col("_metadata.file_path")).alias("source_id")).agg(F.count(F.lit(1)).alias("source_rows"))
     here = read(catalog, config.target_namespace, table).groupBy(F.col(f"`{config.source_id_column}`").alias("source_id")).agg(F.count(F.lit(1)).alias("target_rows"))
     both = spark.createDataFrame([(n,) for n in there], "source_id string").join(rows, "source_id", "left").join(here, "source_id", "left").fillna(0, ["source_rows", "target_rows"])
     return both.select("source_id", "source_rows", "target_rows", (F.col("source_rows") == F.col("target_rows")).alias("matches"))

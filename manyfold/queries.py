@@ -150,6 +150,12 @@ def vectors_prefix(spark, sf_dir):
     return _of("F14", "embeddings")(spark, sf_dir).select("vec_id", "label", SOURCE, F.size("embedding").alias("dims"))
 
 
+def vector_values(spark, sf_dir):
+    """Every component of every spliced array, in its place."""
+    rows = _of("F14", "embeddings")(spark, sf_dir)
+    return rows.select("vec_id", SOURCE, F.posexplode("embedding").alias("place", "component")).withColumn("component", F.col("component").cast("double"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "splice_customer": _of("F1"), "source_filter": source_filter, "rows_per_source": rows_per_source, "manifest_rows": manifest_rows,
@@ -160,7 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "two_cycles": _of("F7"), "rename_switch": _of("F8"), "true_rename": _of("F9"), "rename_report": rename_report, "rerun_noop": rerun_noop,
         "snapshot_ops": snapshot_ops, "source_status": source_status, "verify_counts": verify_counts, "duplicate_files": duplicates, "prune_check": prune_check,
         "verify_all": verify_all, "run_summary": run_summary, "slowest_tables": slowest_tables, "consolidated_revenue": consolidated_revenue,
-        "time_travel": time_travel, "time_travel_rows": time_travel_rows, "splice_vectors": vectors_prefix, "splice_subfolders": splice_subfolders,
+        "time_travel": time_travel, "time_travel_rows": time_travel_rows, "splice_vectors": vectors_prefix, "splice_vector_values": vector_values, "splice_subfolders": splice_subfolders,
     }
 
 
@@ -229,6 +235,7 @@ def oracle_sql() -> dict[str, str]:
         "splice_subfolders": f"SELECT {_COLS}, {_T} FROM customer UNION ALL SELECT {_COPY}, 'tenant_1' FROM customer WHERE c_custkey % 3 = 1 AND c_custkey < 100",
         "time_travel_rows": _ALL,
         "time_travel": f"SELECT v AS version, ({count} customer) AS n_rows, n AS n_files FROM (VALUES (1, CAST(3 AS BIGINT)), (2, CAST(4 AS BIGINT))) t(v, n)",
+        "splice_vector_values": f"SELECT vec_id, 'tenant_' || (vec_id % 3) AS {SOURCE}, CAST(i - 1 AS INTEGER) AS place, CAST(embedding[i] AS DOUBLE) AS component FROM embeddings, generate_series(1, len(embedding)) g(i)",
         "splice_vectors": f"SELECT vec_id, label, 'tenant_' || (vec_id % 3) AS {SOURCE}, CAST(len(embedding) AS INTEGER) AS dims FROM embeddings",
     }
 

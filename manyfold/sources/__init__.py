@@ -3,5 +3,6 @@
 from .catalog import Catalog, CommitConflict, Snapshot
 from .config import Config, ConfigError, from_environment, load_config
 from .files import file_entries
+from .tables import TableCatalog
 
-__all__ = ["Catalog", "CommitConflict", "Config", "ConfigError", "Snapshot", "file_entries", "from_environment", "load_config"]
+__all__ = ["Catalog", "CommitConflict", "Config", "ConfigError", "Snapshot", "TableCatalog", "file_entries", "from_environment", "load_config"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Mapping
+from collections.abc import Mapping, MutableMapping
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -90,6 +90,25 @@ def load_config(path: str | os.PathLike) -> Config:
     return Config(**{"target_namespace": "", "source_id_column": ""} | {k: v for k, v in got.items() if v is not None})
 
 
+def load_env(path: str | os.PathLike = ".env", env: MutableMapping[str, str] | None = None) -> dict[str, str]:
+    """Read a file of KEY=value lines, if it is there: what the environment has already stays. Keys
+    that begin with ``spark.`` (a store's credentials, ``spark.hadoop.fs.s3a.access.key``) are
+    returned, as settings of the session."""
+    env, spark = os.environ if env is None else env, {}
+    for line in Path(path).read_text().splitlines() if Path(path).is_file() else ():
+        key, sep, value = line.strip().removeprefix("export ").partition("=")
+        if not sep or key.startswith("#"):
+            continue
+        key, value = key.strip(), value.strip()
+        if value[:1] in ("'", '"') and value[-1:] == value[:1]:
+            value = value[1:-1]
+        if key.startswith("spark."):
+            spark[key] = value
+        else:
+            env.setdefault(key, value)
+    return spark
+
+
 def from_environment(env: Mapping[str, str] | None = None) -> Config:
     """From TARGET_NAMESPACE, SOURCE_ID_COLUMN, SOURCE_NAMESPACES (commas between) or
     SOURCE_NAMESPACE_PATTERN, TABLE_WORKERS and SOURCE_WORKERS."""

@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,11 +28,15 @@ def _address(path: str) -> str:
     return f"s3://{rest}" if sep and scheme.lower() in ("s3a", "s3n") else path
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of an address and the file's name in it, for executors."""
+    return fs.FileSystem.from_uri(_address(path))
+
+
 def _footer(path: str) -> tuple[int, list[dict]]:
     import pyarrow.parquet as pq
-    from pyarrow import fs
 
-    store, at = fs.FileSystem.from_uri(_address(path))
+    store, at = store_of(path)
     with store.open_input_file(at) as f:
         meta = pq.ParquetFile(f).metadata
         columns: dict[str, dict] = {}

@@ -175,6 +175,29 @@ def test_command_line_and_job(spark, tmp_path, sf_dir, capsys):
     assert job.handler({"tables": ["customer"]}, spark, env)["grand_total"] == 0
 
 
+def test_env_file(tmp_path):
+    from manyfold.sources.config import load_env
+
+    (tmp_path / ".env").write_text("# c\nA=1\nexport B = 'x=y'\nC=\"q\"\nnothing\nspark.hadoop.fs.s3a.access.key=k\n")
+    env = {"A": "old"}
+    assert load_env(tmp_path / ".env", env) == {"spark.hadoop.fs.s3a.access.key": "k"}
+    assert env == {"A": "old", "B": "x=y", "C": "q"} and load_env(tmp_path / "none", env) == {}
+
+
+def test_summary_says_why_rows_were_rewritten(spark, tmp_path, sf_dir):
+    w, df = _world(spark, tmp_path, sf_dir)
+    w.register()
+    fx.put(w, "tenant_0", fx.hued(fx.copies(df, 0)))
+    fx.put(w, "tenant_1", fx.hued(fx.copies(df, 1), "shade"))
+    r = w.register()
+    assert r["collisions"] == [{"source": "tenant_1", "id": 6, "name": "shade"}]
+    whole = {"tables": 1, "sources": 3, "seconds": 1, "slowest": [], "results": {"customer": r}} | {k: r[k] for k in ("spliced_rows", "rewritten_rows", "orphaned_files", "orphaned_rows")}
+    said = cli.summary(whole | {"grand_total": 0})
+    assert "its column shade has id 6" in said and "rewrites in every run" in said
+    r = w.register()
+    assert not r["collisions"] and "rewrit" not in cli.summary(whole | {"rewritten_rows": 0, "results": {"customer": r}, "grand_total": 0}).replace("rewritten 0", "")
+
+
 def test_stream_registers_what_has_arrived(spark, tmp_path, sf_dir):
     from manyfold.streaming import register_available
 
@@ -325,3 +348,29 @@ def test_verification_sees_what_registration_overlooked(spark, tmp_path, sf_dir,
     w.register()
     checks, well = verify(w.catalog, w.config, ["customer"])
     assert not well and "tenant_0: 40 and 20" in [r["detail"] for r in checks.collect() if not r["ok"]][0]
+
+
+def test_tables_of_the_sessions_catalog(spark, tmp_path, sf_dir):
+    from manyfold.sources import TableCatalog
+
+    df = fx.base(spark, sf_dir, "customer").where("c_custkey < 60")
+    w = fx.World(TableCatalog(spark, f"file://{tmp_path}/wh"), Config("joined", fx.SOURCE, source_namespace_pattern="crm_?"))
+    spark.conf.set("spark.sql.parquet.fieldId.write.enabled", "true")
+    try:
+        for k, ns in enumerate(("crm_0", "crm_1", "crm_2")):
+            at = {"crm_0": "a/crm_0.db", "crm_1": "b/elsewhere", "crm_2": "c/crm_2.db"}[ns]
+            spark.sql(f"CREATE DATABASE {ns} LOCATION 'file://{tmp_path}/{at}'")
+            fx.with_ids(fx.tenant(df, k)).write.format("parquet").saveAsTable(f"{ns}.customer")
+        assert source_names(w.catalog, w.config) == ["crm_0", "crm_1", "crm_2"]
+        w.register()
+        fx.with_ids(fx.hued(fx.copies(df, 0))).write.format("parquet").saveAsTable("crm_0.more")
+        fx.with_ids(fx.hued(fx.copies(df, 1))).write.format("parquet").mode("append").save(f"file://{tmp_path}/b/elsewhere/customer")
+        r = w.register()
+        assert r["spliced_files"] >= 1 and [x["name"] for x in r["widened"]] == ["hue"]
+        got = read(w.catalog, "joined", "customer").groupBy(fx.SOURCE).count().collect()
+        assert sorted(map(tuple, got)) == [("crm_0", 20), ("crm_1", 40), ("crm_2", 20)]
+        assert read(w.catalog, "joined", "customer").where(F.col(fx.SOURCE) == "crm_1").where("hue IS NOT NULL").count() == 20
+        assert verify(w.catalog, w.config)[1]
+    finally:
+        for ns in ("crm_0", "crm_1", "crm_2"):
+            spark.sql(f"DROP DATABASE IF EXISTS {ns} CASCADE")
