@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stage
+from ._common import drop, mark, stage
 
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,6 +39,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     spark = links.sparkSession
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
+    began = mark()
     edges, before = stage(spark, edges, "links"), None
     for _ in range(rounds):
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
@@ -52,4 +53,5 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, F.col("hi") == F.col("w"))
         small = small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(low.select("w", "m")).distinct()
         edges = stage(spark, small, "stars")
+        drop(spark, began, keep=[edges])
     raise RuntimeError("components did not settle; raise the number of rounds")

@@ -1,15 +1,17 @@
 """SimHash near-dedup by a segment-popcount embedding.
 
-A fingerprint is cut into 16 segments of 4 bits, and each segment is mapped to its number of set
-bits: a point with 16 coordinates from 0 to 4. Flipping a bit moves one coordinate by one, so the
+A fingerprint is cut into 32 segments of 2 bits, and each segment is mapped to its number of set
+bits: a point with 32 coordinates from 0 to 2. Flipping a bit moves one coordinate by one, so the
 Manhattan distance of two points is a lower bound of their fingerprints' Hamming distance. Within
-distance 3 of 16 coordinates, one half of the coordinates is within distance 1 (if both were at 2
+distance 3 of 32 coordinates, one half of the coordinates is within distance 1 (if both were at 2
 or more, the sum would exceed 3). So the range join runs on two grids, one for each half, whose
-cells are the half's 8 coordinates: pairs in one cell or in cells that differ by one in one
+cells are the half's 16 coordinates: pairs in one cell or in cells that differ by one in one
 coordinate are compared exactly. A fingerprint goes to its own cell and to its upper neighbours.
+Of random pairs about 7 in a million meet in a cell.
 
 Only distinct fingerprints take part, and what leaves a task is a spanning forest of the links it
-found, never all pairs of a group.
+found, never all pairs of a group. Cells that many fingerprints share are cut into blocks, and pairs of
+blocks go to tasks of their own.
 """
 
 from __future__ import annotations
@@ -21,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import partitions_for, ship, stage, text_of
+from ._common import partitions_for, quoted, ship, stage
 from ._graph import connected_components, local_roots
-from ._words import chunks
+from ._words import chunks, mix
 
 DISTANCE = 3
 SEED = 42
 #: Cells with more fingerprints are joined around pivots, smaller ones many at a time.
 SMALL_CELL = 512
+#: Fingerprints at home in a cell that one task joins, at most (or a thousandth of all).
+CELL_ROWS = 100_000
 _PAIRS_AT_ONCE = 2_000_000
 
 _SPREAD = np.zeros(256, dtype=np.uint64)
@@ -68,27 +72,61 @@ def fingerprints(texts: list[str | None], words: int = 3) -> np.ndarray:
     return out
 
 
+def homes(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, its coordinates, packed in 2 bits each) of each fingerprint: a row for each half."""
+    at, packed = [], []
+    for half in (0, 1):
+        bits = (prints >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
+        ones = (bits - ((bits >> np.uint64(1)) & np.uint64(0x55555555))).astype(np.int64)
+        home = np.full(len(prints), half * 3**16, dtype=np.int64)
+        for k in range(16):
+            home += (ones >> (2 * k) & 3) * 3**k
+        at.append(home)
+        packed.append(ones)
+    return np.stack(at), np.stack(packed)
+
+
 def cells(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(cell, index of the fingerprint, True if it only visits): each goes to its cell in both
     grids and to the cells one higher in one coordinate."""
     at, index, visits = [], [], []
-    for half in (0, 1):
-        bits = (prints >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
-        home = np.full(len(prints), half * 5**8, dtype=np.int64)
-        for k in range(8):
-            c = np.bitwise_count((bits >> np.uint64(4 * k)) & np.uint64(15)).astype(np.int64)
-            home += c * 5**k
-            up = np.flatnonzero(c < 4)
-            index.append(up)
-            at.append((up, 5**k))
-            visits.append(np.ones(len(up), dtype=bool))
-        at[-8:] = [home[up] + step for up, step in at[-8:]]
+    for home, ones in zip(*homes(prints)):
         at.append(home)
         index.append(np.arange(len(prints)))
         visits.append(np.zeros(len(prints), dtype=bool))
+        for k in range(16):
+            up = np.flatnonzero((ones >> (2 * k) & 3) < 2)
+            at.append(home[up] + 3**k)
+            index.append(up)
+            visits.append(np.ones(len(up), dtype=bool))
     return np.concatenate(at), np.concatenate(index), np.concatenate(visits)
 
 
+def blocked(cell: np.ndarray, index: np.ndarray, visits: np.ndarray, fp: np.ndarray, heavy: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, part, index, visits) with the rows of ``heavy`` cells (ascending) dealt to parts.
+
+    A cell of n blocks has a part for each pair of blocks i <= j: at home in it are the rows of
+    block i, its visitors are those of block j; visitors of the cell go to every part i = j."""
+    where = np.minimum(np.searchsorted(heavy, cell), max(0, len(heavy) - 1))
+    hot = heavy[where] == cell if len(heavy) else np.zeros(len(cell), dtype=bool)
+    out = [(cell[~hot], np.zeros((~hot).sum(), dtype=np.int64), index[~hot], visits[~hot])]
+    for c in np.unique(cell[hot]):
+        n = int(blocks[np.searchsorted(heavy, c)])
+        at = np.flatnonzero(cell == c)
+        i = index[at]
+        own = (mix(fp[i] + np.uint64(1)) % np.uint64(n)).astype(np.int64)
+        for k in range(n):
+            mine, far = ~visits[at] & (own == k), ~visits[at] & (own > k)
+            first = np.flatnonzero(mine | visits[at])
+            out.append((np.full(len(first), c), np.full(len(first), k * n + k), i[first], visits[at][first]))
+            # block k meets each later block: at home there, and visited by the later one's rows
+            home, later = np.flatnonzero(mine), np.flatnonzero(far)
+            others = np.arange(k + 1, n)
+            out.append((np.full(len(home) * len(others), c), np.tile(k * n + others, len(home)), np.repeat(i[home], len(others)), np.zeros(len(home) * len(others), dtype=bool)))
+            out.append((np.full(len(later), c), k * n + own[later], i[later], np.ones(len(later), dtype=bool)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def cell_links(cell: np.ndarray, fp: np.ndarray, visits: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what is connected in each cell. Rows are sorted by cell, and in a cell
     those at home come first; a pair of visitors is another cell's matter."""
@@ -181,14 +219,25 @@ def fingerprint_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     if distance > 3:
         raise ValueError("the two grids find distances up to 3")
     spark = prints.sparkSession
+    total = prints.count()
+    most = max(CELL_ROWS, total // 1000)  # so that at most 2000 cells are heavy
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, n = np.unique(homes(batch.column(0).to_numpy().view(np.uint64))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n)], names=["cell", "n"])
+
+    heavy, blocks = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    if total > most:
+        got = prints.select("fp").mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > most).orderBy("cell").toPandas()
+        heavy, blocks = got["cell"].to_numpy(dtype=np.int64), -(-got["n"].to_numpy(dtype=np.int64) // most)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy()
-            cell, index, visits = cells(fp.view(np.uint64))
-            for i in range(0, len(cell), 50_000):
-                s = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(cell[s].astype(np.int32)), pa.array(visits[s]), pa.array(fp[index[s]])], names=["cell", "visits", "fp"])
+            for i in range(0, batch.num_rows, 4096):
+                fp = batch.column(0).slice(i, 4096).to_numpy()
+                cell, part, index, visits = blocked(*cells(fp.view(np.uint64)), fp.view(np.uint64), heavy, blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(visits), pa.array(fp[index])], names=["cell", "part", "visits", "fp"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -201,7 +250,7 @@ def fingerprint_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(node[on].view(np.int64)), pa.array(root[on].view(np.int64))], names=["a", "b"])
 
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()))
+            held.append((batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()))
             rows += batch.num_rows
             if rows >= 200_000 and held[0][0][0] != held[-1][0][-1]:
                 whole = tuple(np.concatenate(x) for x in zip(*held))
@@ -211,9 +260,9 @@ def fingerprint_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if held:
             yield links(tuple(np.concatenate(x) for x in zip(*held)))
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = prints.select("fp").mapInArrow(dealt, "cell int, visits boolean, fp long")
-    return rows.repartition(n, "cell").sortWithinPartitions("cell", "visits").mapInArrow(joined, "a long, b long")
+    n = partitions_for(spark, 26 * total, 4_000_000)
+    rows = prints.select("fp").mapInArrow(dealt, "cell int, part int, visits boolean, fp long")
+    return rows.repartition(n, "cell", "part").sortWithinPartitions("cell", "part", "visits").mapInArrow(joined, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, row_col: str | None = None) -> DataFrame:
@@ -226,7 +275,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     then the smallest key; a null identifier comes last. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"), *([F.col(row_col).alias("row")] if row_col else []))
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("t"), *([quoted(row_col).alias("row")] if row_col else []))
     rows = stage(spark, with_fingerprint(rows, "t").drop("t"), "fingerprints")
     first, more = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"), ["first"] if row_col else []
     least = [F.min("doc_id").alias("least"), *([F.min(first).alias("first")] if row_col else [])]
