@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-CLASH = "digest run best size key h n part ids score shard slot fp cell node component a b t c w x y p q label words text_sha256 component_id".split()
+CLASH = "digest run best size key h n part ids score shard slot fp cell node component a b t c w x y p q label words text_sha256 component_id __h __q __x __p __id __toxicity __quality __row __kept _row _kept _toxicity _quality _quality_host _host _path _x _p _site_host _origin a.b a`b".split()
 
 
 def odd_rows() -> list[tuple]:
@@ -19,7 +19,7 @@ def odd_rows() -> list[tuple]:
 def odd(spark):
     """Nulls in every column, empty and very long texts, ties, repeated rows, clashing column names."""
     rows = odd_rows()
-    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASH)
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in CLASH)
     return spark.createDataFrame([(*x, *["clash"] * len(CLASH)) for x in rows], schema).repartition(3)
 
 
