@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.schema import find, struct
+from ..plans.skipping import Condition, matches, may_match
 from ..sources import Catalog
 
 def by_field_id(spark: SparkSession) -> None:
@@ -28,18 +29,25 @@ def scan_files(spark: SparkSession, fields: list[dict], paths: list[str]) -> Dat
     return spark.read.schema(schema).parquet(*[unquote(p) for p in paths])
 
 
-def read(catalog: Catalog, namespace: str, table: str, version: int | None = None) -> DataFrame:
+def read(catalog: Catalog, namespace: str, table: str, version: int | None = None, where: list[Condition] | None = None) -> DataFrame:
     """All rows of all sources, each with its source; ``version`` gives an earlier state.
 
     Files are grouped by how their ids map to the target's, nearly always in one way, and a group
-    is one scan. Filters on the source prune files, others reach Parquet.
+    is one scan. Filters on the source prune files, others reach Parquet. ``where``, conditions
+    (column, operator, value) that all must hold, leaves files out by the manifest's bounds before
+    anything is listed or opened, and filters the rows.
     """
     spark = catalog.spark
     snap = catalog.latest(namespace, table, version)
     if not snap.version:
         raise ValueError(f"no table {namespace}.{table}")
     by_field_id(spark)
-    held = catalog.manifest(namespace, table, version).select("file_path", "source_id", F.to_json("field_map").alias("m"), "origin")
+    conditions = where or []
+    of_source = [c for c in conditions if c[0] == snap.partition_column]
+    entries = catalog.manifest(namespace, table, version).where(may_match(snap.schema, [c for c in conditions if c not in of_source]))
+    for _, op, value in of_source:
+        entries = entries.where(matches([("source_id", op, value)]))
+    held = entries.select("file_path", "source_id", F.to_json("field_map").alias("m"), "origin")
     groups: dict[tuple[str, bool], list[str]] = {}
     names: set[str] = set()
     for path, source, mapping, origin in held.collect():
@@ -64,7 +72,7 @@ def read(catalog: Catalog, namespace: str, table: str, version: int | None = Non
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.where(matches(conditions)) if conditions else out
 
 
 def live(df: DataFrame, deleted: str = "_deleted") -> DataFrame:

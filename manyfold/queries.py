@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fixtures import SOURCE, TENANTS, World, base, world
+from .fixtures import OFFSET, SOURCE, TENANTS, World, base, world
 from .operators import common_tables, live, read, resolve_namespaces, skipped_tables
 from .operators.register import load_sources, slowest
 from .operators.verify import duplicate_files, pruning, row_counts, verify
@@ -150,6 +150,12 @@ def vectors_prefix(spark, sf_dir):
     return _of("F14", "embeddings")(spark, sf_dir).select("vec_id", "label", SOURCE, F.size("embedding").alias("dims"))
 
 
+def bounds_skip(spark, sf_dir):
+    """A filtered read that leaves files out by their bounds: the copies' keys are all beyond the offset."""
+    w = world(spark, sf_dir, "F4c")
+    return read(w.catalog, w.config.target_namespace, "customer", where=[("c_custkey", ">=", OFFSET), (SOURCE, "=", "tenant_1")])
+
+
 def vector_values(spark, sf_dir):
     """Every component of every spliced array, in its place."""
     rows = _of("F14", "embeddings")(spark, sf_dir)
@@ -167,6 +173,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "snapshot_ops": snapshot_ops, "source_status": source_status, "verify_counts": verify_counts, "duplicate_files": duplicates, "prune_check": prune_check,
         "verify_all": verify_all, "run_summary": run_summary, "slowest_tables": slowest_tables, "consolidated_revenue": consolidated_revenue,
         "time_travel": time_travel, "time_travel_rows": time_travel_rows, "splice_vectors": vectors_prefix, "splice_vector_values": vector_values, "splice_subfolders": splice_subfolders,
+        "bounds_skip": bounds_skip,
     }
 
 
@@ -234,6 +241,7 @@ def oracle_sql() -> dict[str, str]:
         "slowest_tables": "SELECT n_name AS table_name, round(count(*) / 7.0::DOUBLE, 1) AS seconds FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name ORDER BY count(*) DESC, n_name LIMIT 5",
         "splice_subfolders": f"SELECT {_COLS}, {_T} FROM customer UNION ALL SELECT {_COPY}, 'tenant_1' FROM customer WHERE c_custkey % 3 = 1 AND c_custkey < 100",
         "time_travel_rows": _ALL,
+        "bounds_skip": f"SELECT {_COPY}, NULL::VARCHAR AS hue, {even} AS shade, 'tenant_1' AS {SOURCE} FROM customer WHERE c_custkey % 3 = 1 AND c_custkey < 200",
         "time_travel": f"SELECT v AS version, ({count} customer) AS n_rows, n AS n_files FROM (VALUES (1, CAST(3 AS BIGINT)), (2, CAST(4 AS BIGINT))) t(v, n)",
         "splice_vector_values": f"SELECT vec_id, 'tenant_' || (vec_id % 3) AS {SOURCE}, CAST(i - 1 AS INTEGER) AS place, CAST(embedding[i] AS DOUBLE) AS component FROM embeddings, generate_series(1, len(embedding)) g(i)",
         "splice_vectors": f"SELECT vec_id, label, 'tenant_' || (vec_id % 3) AS {SOURCE}, CAST(len(embedding) AS INTEGER) AS dims FROM embeddings",

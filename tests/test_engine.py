@@ -374,3 +374,29 @@ def test_tables_of_the_sessions_catalog(spark, tmp_path, sf_dir):
     finally:
         for ns in ("crm_0", "crm_1", "crm_2"):
             spark.sql(f"DROP DATABASE IF EXISTS {ns} CASCADE")
+
+
+def test_bounds_leave_files_out(spark, tmp_path, sf_dir):
+    from manyfold.operators.verify import planned_files
+
+    w, df = _world(spark, tmp_path, sf_dir)
+    nan = F.when(F.col("c_custkey") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))
+    for k, (a, b) in enumerate(((0, 20), (20, 40), (40, 60))):
+        some = fx.copies(df, k, a, b).withColumn("c_acctbal", nan)
+        fx.put(w, fx.TENANTS[k], fx.hued(some, "hue" if k else "shade"))
+    w.register()
+    fx.put(w, "tenant_0", fx.copies(df, 0).withColumn("c_name", F.lit(None).cast("string")))
+    w.register()
+    whole = read(w.catalog, "tenant_consolidated", "customer")
+    total = planned_files(whole)
+    assert total == 7
+    few = 0
+    for where in ([("c_custkey", "=", 900_041)], [("c_custkey", "<", 3), ("c_custkey", ">", 0)], [("c_custkey", ">=", 900_059)], [("c_acctbal", ">", 1e12)], [("c_acctbal", "<", -1e12)], [("c_name", "<=", "Customer#000000010")], [("hue", ">", "a")], [("shade", "=", "BUILDING!")], [(fx.SOURCE, "=", "tenant_2"), ("c_custkey", "<", 30)], [("c_nationkey", "=", 7)]):
+        got = read(w.catalog, "tenant_consolidated", "customer", where=where)
+        ops = {"=": "=", "<": "<", ">": ">", "<=": "<=", ">=": ">="}
+        want = whole.where(" AND ".join(f"`{c}` {ops[o]} {v!r}" for c, o, v in where))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        few += planned_files(got) < total
+    assert few >= 7
+    with pytest.raises(SchemaError, match="none_such"):
+        read(w.catalog, "tenant_consolidated", "customer", where=[("none_such", "=", 1)])
