@@ -16,7 +16,10 @@ from .sources.config import load_env
 
 def summary(r: dict) -> str:
     """The report of a run; notes only where there is something to note."""
-    lines = [f"{r['tables']} tables from {r['sources']} sources in {r['seconds']} s", f"rows spliced {r['spliced_rows']}, rewritten {r['rewritten_rows']}, together {r['grand_total']}"]
+    lines = [
+        f"{r['tables']} tables from {r['sources']} sources in {r['seconds']} s",
+        f"rows spliced {r['spliced_rows']}, rewritten {r['rewritten_rows']}, together {r['grand_total']}"
+    ]
     if r["orphaned_files"]:
         lines.append(f"retired {r['orphaned_files']} files with {r['orphaned_rows']} rows that their sources have replaced; their entries alone were changed, and the version is an overwrite")
     for t, x in r["results"].items():

@@ -114,7 +114,11 @@ def _late(spark, sf_dir, w):
     put(w, TENANTS[0], hued(copies(df, 0)))
     c, ns = w.catalog, w.config.target_namespace
     snap, held = c.latest(ns, "customer"), c.manifest(ns, "customer")
-    fresh = planner.new_files(load_sources(c, list(TENANTS), "customer"), held).select("file_path", "file_format", "source_id", "record_count", "file_size_in_bytes", "column_stats", F.lit("spliced").alias("origin"), F.lit(None).cast("string").alias("rewrite_of"), F.lit(None).cast("map<int,int>").alias("field_map"))
+    fresh = planner.new_files(load_sources(c, list(TENANTS), "customer"), held).select(
+        "file_path", "file_format", "source_id", "record_count", "file_size_in_bytes", "column_stats",
+        F.lit("spliced").alias("origin"), F.lit(None).cast("string").alias("rewrite_of"),
+        F.lit(None).cast("map<int,int>").alias("field_map")
+    )
     c.commit(ns, "customer", snap, "append", fresh, None, snap.schema, snap.registry, SOURCE)
     w.register()
 
@@ -189,7 +193,11 @@ def cycled(df: DataFrame, k: int, cycles: int) -> DataFrame:
     for c in range(1, cycles + 1):
         rows = rows.withColumn("c_mktsegment", F.when(at.isin([10 * c, 10 * c + 1, 10 * c + 2]), F.lit(f"UPD{c}")).otherwise(F.col("c_mktsegment")))
         rows = rows.withColumn("_deleted", F.col("_deleted") | at.isin([10 * c + 5, 10 * c + 6]))
-        new = df.sparkSession.range(5).select((F.lit(OFFSET * c + k) + 3 * F.col("id")).alias("c_custkey"), F.lit("new").alias("c_name"), F.lit(0).alias("c_nationkey"), F.lit(float(c)).alias("c_acctbal"), F.lit("NEW").alias("c_mktsegment"), F.lit(False).alias("_deleted"))
+        new = df.sparkSession.range(5).select(
+            (F.lit(OFFSET * c + k) + 3 * F.col("id")).alias("c_custkey"), F.lit("new").alias("c_name"),
+            F.lit(0).alias("c_nationkey"), F.lit(float(c)).alias("c_acctbal"), F.lit("NEW").alias("c_mktsegment"),
+            F.lit(False).alias("_deleted")
+        )
         rows = rows.unionByName(new)
     return rows
 
@@ -217,7 +225,10 @@ def _rename(spark, sf_dir, w):
 
 def _discovery(spark, sf_dir, w):
     c = w.catalog
-    for ns, tables in {"tenant_0": ("customer", "orders"), "tenant_1": ("customer", "orders"), "tenant_2": ("customer",), "other_1": ("customer",), "tenant_consolidated": ("customer",)}.items():
+    for ns, tables in {
+        "tenant_0": ("customer", "orders"), "tenant_1": ("customer", "orders"), "tenant_2": ("customer",),
+        "other_1": ("customer",), "tenant_consolidated": ("customer",)
+    }.items():
         for t in tables:
             c.storage.mkdirs(c.path(ns, t))
     w.config = Config("tenant_consolidated", SOURCE, source_namespace_pattern="tenant_*")

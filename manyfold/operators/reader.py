@@ -15,7 +15,10 @@ from ..sources import Catalog
 def by_field_id(spark: SparkSession) -> None:
     """Let Spark resolve Parquet columns by the ids in the requested schema. A schema without ids
     is still resolved by name."""
-    for k, v in (("spark.sql.parquet.fieldId.read.enabled", "true"), ("spark.sql.parquet.fieldId.write.enabled", "true"), ("spark.sql.sources.parallelPartitionDiscovery.threshold", "256")):
+    for k, v in (
+        ("spark.sql.parquet.fieldId.read.enabled", "true"), ("spark.sql.parquet.fieldId.write.enabled", "true"),
+        ("spark.sql.sources.parallelPartitionDiscovery.threshold", "256")
+    ):
         if spark.conf.get(k) != v:
             spark.conf.set(k, v)
 

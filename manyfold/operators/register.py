@@ -61,16 +61,25 @@ def _register_once(catalog: Catalog, table: str, config: Config, sources: list[s
         plan = planner.assign(columns, fields, base.registry, config.source_id_column)
         fresh, rewrites = planner.new_files(now, held), None
         if plan.remaps:
-            remaps = spark.createDataFrame([(s, i, t, (s, i) in plan.rewrites) for (s, i), (t, _) in sorted(plan.remaps.items())], "source_id string, field_id int, target_id int, collides boolean")
+            remaps = spark.createDataFrame(
+                [(s, i, t, (s, i) in plan.rewrites) for (s, i), (t, _) in sorted(plan.remaps.items())],
+                "source_id string, field_id int, target_id int, collides boolean"
+            )
             # per file: how its ids map, and whether it has to be rewritten
             mapped = planner.file_columns(now).where("has_data").join(F.broadcast(remaps), ["source_id", "field_id"]).groupBy("source_id", "file_path")
-            mapped = mapped.agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("field_id", "target_id")))).alias("field_map"), F.max("collides").alias("collides"))
+            mapped = mapped.agg(
+                F.map_from_entries(F.array_sort(F.collect_set(F.struct("field_id", "target_id")))).alias("field_map"),
+                F.max("collides").alias("collides")
+            )
             rewrites, fresh = mapped.where("collides"), fresh.join(mapped, ["source_id", "file_path"], "left")
         else:
             fresh = fresh.withColumns({"field_map": F.lit(None).cast("map<int,int>"), "collides": F.lit(False)})
         state = {r["source_id"]: r.asDict() for r in planner.status(now, held, sources, rewrites).collect()}
         add = lambda k: sum(r[k] for r in state.values())
-        spliced = fresh.where(~F.coalesce("collides", F.lit(False))).select("file_path", "file_format", "source_id", "record_count", "file_size_in_bytes", "column_stats", F.lit("spliced").alias("origin"), F.lit(None).cast("string").alias("rewrite_of"), F.col("field_map"))
+        spliced = fresh.where(~F.coalesce("collides", F.lit(False))).select(
+            "file_path", "file_format", "source_id", "record_count", "file_size_in_bytes", "column_stats",
+            F.lit("spliced").alias("origin"), F.lit(None).cast("string").alias("rewrite_of"), F.col("field_map")
+        )
         gone = planner.orphans(now, held, sources)
         written = _rewrite(catalog, ns, table, plan, fresh.where("collides"), outs) if add("rewrite_files") else None
         added = spliced if written is None else spliced.unionByName(written)
@@ -79,8 +88,18 @@ def _register_once(catalog: Catalog, table: str, config: Config, sources: list[s
         operation = "overwrite" if orphaned else "append" if new else "schema" if changed or not base.version else "none"
         version = base.version
         if operation != "none":
-            version = catalog.commit(ns, table, base, operation, added if new else None, gone if orphaned else None, plan.fields, plan.registry, config.source_id_column).version
-        return {"table": table, "version": version, "operation": operation, "spliced_files": add("spliced_files"), "spliced_rows": add("spliced_rows"), "rewritten_files": add("rewrite_files"), "rewritten_rows": add("rewrite_rows"), "already_files": add("already_files"), "orphaned_files": orphaned, "orphaned_rows": add("orphaned_rows"), "widened": plan.widened, "renamed": plan.renamed, "collisions": [{"source": s, "id": i, "name": plan.remaps[s, i][1]} for s, i in sorted(plan.rewrites)] if add("rewrite_files") else [], "unlisted": sorted(set(state) - set(sources)), "sources": state, "elapsed": time.time() - began}
+            version = catalog.commit(
+                ns, table, base, operation, added if new else None, gone if orphaned else None, plan.fields,
+                plan.registry, config.source_id_column
+            ).version
+        return {
+            "table": table, "version": version, "operation": operation, "spliced_files": add("spliced_files"),
+            "spliced_rows": add("spliced_rows"), "rewritten_files": add("rewrite_files"),
+            "rewritten_rows": add("rewrite_rows"), "already_files": add("already_files"), "orphaned_files": orphaned,
+            "orphaned_rows": add("orphaned_rows"), "widened": plan.widened, "renamed": plan.renamed,
+            "collisions": [{"source": s, "id": i, "name": plan.remaps[s, i][1]} for s, i in sorted(plan.rewrites)] if add("rewrite_files") else [],
+            "unlisted": sorted(set(state) - set(sources)), "sources": state, "elapsed": time.time() - began
+        }
     except CommitConflict:
         for out in outs:  # another writer was first; what was rewritten for this plan is no one's
             catalog.storage.delete(out)
@@ -120,7 +139,10 @@ def _rewrite(catalog: Catalog, ns: str, table: str, plan: planner.Assignment, fi
             origins.append((at, of[at.rsplit(f"/{ORIGIN}=", 1)[1].split("/")[0]]))
     entries = file_entries(spark, listed)
     pairs = spark.createDataFrame(sorted(origins), "file_path string, rewrite_of string")
-    return entries.join(pairs, "file_path").select("file_path", "file_format", "source_id", "record_count", "file_size_in_bytes", "column_stats", F.lit("rewritten").alias("origin"), "rewrite_of", F.lit(None).cast("map<int,int>").alias("field_map"))
+    return entries.join(pairs, "file_path").select(
+        "file_path", "file_format", "source_id", "record_count", "file_size_in_bytes", "column_stats",
+        F.lit("rewritten").alias("origin"), "rewrite_of", F.lit(None).cast("map<int,int>").alias("field_map")
+    )
 
 
 def slowest(times: DataFrame, most: int = 5) -> DataFrame:
@@ -148,6 +170,12 @@ def run(catalog: Catalog, config: Config, tables: list[str] | None = None) -> di
         raise failed[0]
     add = lambda k: sum(r[k] for r in done)
     times = catalog.spark.createDataFrame([(r["table"], r["elapsed"]) for r in done], "table_name string, elapsed double")
-    return {"tables": len(done), "sources": len(sources), "spliced_rows": add("spliced_rows"), "rewritten_rows": add("rewritten_rows"), "grand_total": add("spliced_rows") + add("rewritten_rows"), "orphaned_files": add("orphaned_files"), "orphaned_rows": add("orphaned_rows"), "slowest": [tuple(r) for r in slowest(times).collect()], "seconds": round(time.time() - began, 1), "results": {r["table"]: r for r in done}}
+    return {
+        "tables": len(done), "sources": len(sources), "spliced_rows": add("spliced_rows"),
+        "rewritten_rows": add("rewritten_rows"), "grand_total": add("spliced_rows") + add("rewritten_rows"),
+        "orphaned_files": add("orphaned_files"), "orphaned_rows": add("orphaned_rows"),
+        "slowest": [tuple(r) for r in slowest(times).collect()], "seconds": round(time.time() - began, 1),
+        "results": {r["table"]: r for r in done}
+    }
 
 

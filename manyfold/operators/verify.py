@@ -31,7 +31,9 @@ def row_counts(catalog: Catalog, config: Config, table: str, sources: list[str])
     rows = spark.read.schema("c int").option("recursiveFileLookup", "true").parquet(*(catalog.source_location(ns, table) for ns in there))
     rows = rows.groupBy(catalog.source_of(table, set(there), F.col("_metadata.file_path")).alias("source_id")).agg(F.count(F.lit(1)).alias("source_rows"))
     here = read(catalog, config.target_namespace, table).groupBy(F.col(f"`{config.source_id_column}`").alias("source_id")).agg(F.count(F.lit(1)).alias("target_rows"))
-    both = spark.createDataFrame([(n,) for n in there], "source_id string").join(rows, "source_id", "left").join(here, "source_id", "left").fillna(0, ["source_rows", "target_rows"])
+    both = spark.createDataFrame(
+        [(n,) for n in there], "source_id string"
+    ).join(rows, "source_id", "left").join(here, "source_id", "left").fillna(0, ["source_rows", "target_rows"])
     return both.select("source_id", "source_rows", "target_rows", (F.col("source_rows") == F.col("target_rows")).alias("matches"))
 
 

@@ -17,7 +17,11 @@ from .schema import SchemaError, find, known_ids, widen
 def file_columns(now: DataFrame) -> DataFrame:
     """One row for each column of each file that holds a value that isn't null."""
     cols = now.select("source_id", "source_ordinal", "file_path", "modified", "record_count", F.explode("column_stats").alias("c"))
-    return cols.select("source_id", "source_ordinal", "file_path", "modified", F.col("c.field_id").alias("field_id"), F.col("c.name").alias("name"), F.col("c.kind").alias("kind"), F.col("c.nested").alias("nested"), (F.col("c.null_count") < F.col("record_count")).alias("has_data"))
+    return cols.select(
+        "source_id", "source_ordinal", "file_path", "modified", F.col("c.field_id").alias("field_id"),
+        F.col("c.name").alias("name"), F.col("c.kind").alias("kind"), F.col("c.nested").alias("nested"),
+        (F.col("c.null_count") < F.col("record_count")).alias("has_data")
+    )
 
 
 def drift(now: DataFrame, known: set[int]) -> DataFrame:
@@ -37,7 +41,9 @@ def source_columns(now: DataFrame) -> DataFrame:
     of rows is sources times columns, whatever the number of files."""
     cols = file_columns(now).where("has_data")
     newest = F.max_by(F.struct("name", "kind"), F.struct("modified", "file_path")).alias("c")
-    return cols.groupBy("source_id", "source_ordinal", "field_id").agg(newest, F.max("nested").alias("nested")).select("source_id", "source_ordinal", "field_id", "c.name", "c.kind", "nested")
+    return cols.groupBy("source_id", "source_ordinal", "field_id").agg(newest, F.max("nested").alias("nested")).select(
+        "source_id", "source_ordinal", "field_id", "c.name", "c.kind", "nested"
+    )
 
 
 def new_files(now: DataFrame, held: DataFrame) -> DataFrame:
@@ -69,7 +75,9 @@ def status(now: DataFrame, held: DataFrame, sources: list[str], rewrites: DataFr
     there = held.select("source_id", F.coalesce("rewrite_of", "file_path").alias("file_path"), F.col("record_count").alias("held_rows"))
     both = here.join(there, key, "full_outer")
     fresh = F.col("held_rows").isNull()
-    kind = F.when(~F.col("source_id").isin(sources), "unlisted").when(F.col("now_rows").isNull(), "orphaned").when(fresh & F.coalesce("collides", F.lit(False)), "rewrite").when(fresh, "spliced").otherwise("already")
+    kind = F.when(~F.col("source_id").isin(sources), "unlisted").when(F.col("now_rows").isNull(), "orphaned").when(
+        fresh & F.coalesce("collides", F.lit(False)), "rewrite"
+    ).when(fresh, "spliced").otherwise("already")
     both = both.select("source_id", kind.alias("kind"), F.coalesce("now_rows", "held_rows").alias("n"))
     sums = [x for k in ("spliced", "already", "rewrite", "orphaned") for x in (F.sum((F.col("kind") == k).cast("long")).alias(f"{k}_files"), F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"{k}_rows"))]
     return both.groupBy("source_id").agg(*sums)

@@ -118,4 +118,7 @@ def from_environment(env: Mapping[str, str] | None = None) -> Config:
         workers = {k: int(env.get(k.upper(), 8)) for k in ("table_workers", "source_workers")}
     except ValueError as e:
         raise ConfigError("TABLE_WORKERS and SOURCE_WORKERS must be whole numbers") from e
-    return Config(env.get("TARGET_NAMESPACE", "").strip(), env.get("SOURCE_ID_COLUMN", "").strip(), names, env.get("SOURCE_NAMESPACE_PATTERN", "").strip() or None, **workers)
+    return Config(
+        env.get("TARGET_NAMESPACE", "").strip(), env.get("SOURCE_ID_COLUMN", "").strip(), names,
+        env.get("SOURCE_NAMESPACE_PATTERN", "").strip() or None, **workers
+    )

@@ -95,7 +95,11 @@ def file_entries(spark: SparkSession, listed: list[tuple], held: DataFrame | Non
     if held is None:
         return every.repartition(slices).mapInArrow(f, ENTRY)
     rewritten, key = F.col("rewrite_of").isNotNull(), ["source_id", "file_path"]
-    there = held.select("source_id", F.coalesce("rewrite_of", "file_path").alias("file_path"), "file_format", "record_count", F.when(rewritten, F.array().cast(STATS)).otherwise(F.col("column_stats")).alias("column_stats"), F.when(~rewritten, F.col("file_size_in_bytes")).alias("size"))
+    there = held.select(
+        "source_id", F.coalesce("rewrite_of", "file_path").alias("file_path"), "file_format", "record_count",
+        F.when(rewritten, F.array().cast(STATS)).otherwise(F.col("column_stats")).alias("column_stats"),
+        F.when(~rewritten, F.col("file_size_in_bytes")).alias("size")
+    )
     both = every.join(there.dropDuplicates(key), key, "left")
     same = F.col("record_count").isNotNull() & F.coalesce(F.col("size") == F.col("file_size_in_bytes"), F.lit(True))
     opened = both.where(~same).select(*LISTED.names).repartition(slices).mapInArrow(f, ENTRY)
@@ -105,6 +109,9 @@ def file_entries(spark: SparkSession, listed: list[tuple], held: DataFrame | Non
 _ARROW = pa.schema(
     [
         ("source_id", pa.string()), ("source_ordinal", pa.int32()), ("file_path", pa.string()), ("file_format", pa.string()), ("file_size_in_bytes", pa.int64()), ("modified", pa.int64()), ("record_count", pa.int64()),
-        ("column_stats", pa.list_(pa.struct([("field_id", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("value_count", pa.int64()), ("null_count", pa.int64()), ("lower", pa.string()), ("upper", pa.string()), ("nested", pa.bool_())]))),
+        (
+            "column_stats",
+            pa.list_(pa.struct([("field_id", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("value_count", pa.int64()), ("null_count", pa.int64()), ("lower", pa.string()), ("upper", pa.string()), ("nested", pa.bool_())]))
+        ),
     ]
 )
