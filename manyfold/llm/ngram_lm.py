@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import release, ship, stage
+from ._common import quoted, release, ship, stage
 from ._words import Words, chunks, mix, pair
 
 BLOCK_BYTES = 8 << 20
@@ -52,12 +52,14 @@ def unplanes(data: bytes, kind: str) -> np.ndarray:
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """Counts, most of them small, as compressed planes."""
-    return zlib.compress(planes(counts.astype("<u4")), 1)
+    """Counts, most of them small, as compressed planes of 32-bit numbers, or of 64-bit ones where a
+    count needs them; the first byte says which."""
+    kind = "<u4" if counts.max(initial=0) < 1 << 32 else "<u8"
+    return kind[2].encode() + zlib.compress(planes(counts.astype(kind)), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return unplanes(zlib.decompress(data), "<u4")
+    return unplanes(zlib.decompress(data[1:]), f"<u{chr(data[0])}").astype("<u8")
 
 
 def tokenised(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,7 +105,7 @@ class Block:
         out = {}
         for kind, size in ((1, len(self.words)), (2, len(self.pairs))):
             mine = sorted(r for r in replies if r[0] == kind)
-            out[kind] = tuple(np.concatenate([np.zeros(0, dtype="<u4"), *(unpacked(r[k]) for r in mine)]).astype(np.float64) for k in (2, 3))
+            out[kind] = tuple(np.concatenate([np.zeros(0, dtype="<u8"), *(unpacked(r[k]) for r in mine)]).astype(np.float64) for k in (2, 3))
             assert len(out[kind][0]) == size
         return out
 
@@ -184,7 +186,7 @@ def score(docs: DataFrame, training: Column, fold: Column, id_col: str = "doc_id
 
     train = F.coalesce(training, F.lit(False))
     flags = F.when(train, 1 + 2 * F.coalesce(fold, F.lit(False)).cast("int")).otherwise(0)
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), flags.alias("f"), F.spark_partition_id().cast("long").alias("p"))
+    rows = docs.select(quoted(id_col).cast("long").alias("i"), quoted(text_col).cast("string").alias("t"), flags.alias("f"), F.spark_partition_id().cast("long").alias("p"))
     blocks = stage(spark, rows.mapInArrow(blocked, "ids array<long>, block long, tokens long, train_tokens long, train_docs long, counts binary, train binary, words binary, place binary"), "lm-blocks")
     in_fold = F.col("block") % 2 == 1  # a block holds the fold's texts only, or none of them
     sums = [F.sum(c) for c in ("tokens", "train_tokens", "train_docs")] + [F.sum(F.when(in_fold, F.col(c))) for c in ("train_tokens", "train_docs")]
@@ -197,7 +199,7 @@ def score(docs: DataFrame, training: Column, fold: Column, id_col: str = "doc_id
                 b, flag = _block_of(batch, i)
                 name, out = batch.column("block")[i].as_py(), []
                 for kind, keys, at in ((1, b.words, b.v), (2, b.pairs, b.uv)):
-                    counts = [np.bincount(at[flag[k]], minlength=len(keys)).astype("<u4") for k in ("train", "fold")]
+                    counts = [np.bincount(at[flag[k]], minlength=len(keys)) for k in ("train", "fold")]
                     cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
                     for k in np.flatnonzero(np.diff(cut)):
                         s = slice(cut[k], cut[k + 1])
@@ -206,11 +208,11 @@ def score(docs: DataFrame, training: Column, fold: Column, id_col: str = "doc_id
 
     def answered(t: pa.Table) -> pa.Table:
         keys = [np.cumsum(unplanes(x, "<u8"), dtype=np.uint64) for x in t.column("keys").to_pylist()]
-        counts = [np.concatenate([unpacked(x) if x else np.zeros(len(k), dtype="<u4") for x, k in zip(t.column(c).to_pylist(), keys)]).astype(np.float64) for c in ("train", "fold")]
+        counts = [np.concatenate([unpacked(x) if x else np.zeros(len(k), dtype="<u8") for x, k in zip(t.column(c).to_pylist(), keys)]).astype(np.float64) for c in ("train", "fold")]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         sums = [np.bincount(at, weights=c, minlength=len(distinct)) for c in counts]
         ends = np.cumsum([len(k) for k in keys])
-        every = [s[at].astype("<u4") for s in sums]
+        every = [s[at].astype("<u8") for s in sums]
         mine = [[True] * len(keys), [b % 2 == 1 for b in t.column("block").to_pylist()]]
         back = [[packed(e[b - len(k) : b] if m else e[:0]) for k, b, m in zip(keys, ends, ms)] for e, ms in zip(every, mine)]
         one = np.zeros(t.num_rows, dtype=np.int64)
