@@ -10,9 +10,10 @@ import tempfile
 import uuid
 import weakref
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,15 +57,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, lost
-    executors lose nothing, and what follows sees one fixed result. Results are lazy and may read
-    it at any time, so it stays until ``clean`` or the end of the application."""
+def own_folder(spark: SparkSession, name: str) -> str:
+    """The name of a new folder in the shared one, deleted at the end of the application."""
     root = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}"
     if root not in _roots:
         _roots.add(root)
         atexit.register(clean, spark)
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, lost
+    executors lose nothing, and what follows sees one fixed result. Results are lazy and may read
+    it at any time, so it stays until ``clean`` or the end of the application."""
+    path = own_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _staged.append(path)
@@ -127,9 +133,18 @@ def worker_threads_off() -> None:
         os.environ.setdefault(k, v)
 
 
-def with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
-    """A copy of ``schema`` with one more column."""
-    return T.StructType([*schema.fields, T.StructField(name, kind)])
+def with_batch_column(df: DataFrame, name: str, kind: T.DataType, make: Callable[[], Callable[[pa.RecordBatch], pa.Array]]) -> DataFrame:
+    """``df`` with one more column, which the function that ``make`` gives once in each task makes from a
+    batch. The columns go through by their places, so that their names may have any characters."""
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    new = f"c{len(df.columns)}"
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column = make()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, column(batch)], names=[*batch.schema.names, new])
+
+    return plain.mapInArrow(f, T.StructType([*plain.schema.fields, T.StructField(new, kind)])).toDF(*df.columns, name)
 
 
 def release(spark: SparkSession) -> None:

@@ -25,17 +25,16 @@ its words; whether pieces may follow each other is kept in a table of fixed size
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from ._common import ship, text_of, with_field, worker_threads_off
+from ._common import quoted, ship, text_of, with_batch_column, worker_threads_off
 from ._words import chunks, mix
 
 BLANK = "▁"
@@ -462,20 +461,18 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=names)
 
     kind = "doc_id long, text string, ids binary" + (", decoded string" if decoded else "")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(f, kind)
+    return docs.select(quoted(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(f, kind)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """``encoded`` with a column ``decoded``, the text of its column ``ids`` (null: of none). A column
     of that name that is there already is replaced. The worker holds the pieces' texts alone."""
     ship(encoded.sparkSession)
-    encoded = encoded.select(*(F.col(f"`{c}`") for c in encoded.columns if c != "decoded"))
+    encoded = encoded.select(*(quoted(c) for c in encoded.columns if c != "decoded"))
     at = encoded.columns.index("ids")
 
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[pa.RecordBatch], pa.Array]:
         surface = surfaces(model)
-        for batch in batches:
-            texts = [text_of_ids(surface, np.frombuffer(x or b"", dtype="<u4")) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+        return lambda batch: pa.array([text_of_ids(surface, np.frombuffer(x or b"", dtype="<u4")) for x in batch.column(at).to_pylist()], pa.string())
 
-    return encoded.mapInArrow(f, with_field(encoded.schema, "decoded", T.StringType()))
+    return with_batch_column(encoded, "decoded", T.StringType(), make)

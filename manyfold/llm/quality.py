@@ -14,15 +14,13 @@ its host and the path below the host are like.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import quoted, ship, stage, unused, with_field
+from ._common import quoted, ship, stage, unused, with_batch_column
 from ._words import Words, chunks
 
 TRAIN_ROWS = 20_000
@@ -66,13 +64,12 @@ def with_statistics(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     """``docs`` with a column ``name``: the array of FEATURES."""
     at = docs.columns.index(text_col)
 
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            x = np.concatenate([statistics(texts[s]) for s in chunks(texts)]) if texts else np.zeros((0, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=[*batch.schema.names, name])
+    def column(batch: pa.RecordBatch) -> pa.Array:
+        texts = batch.column(at).to_pylist()
+        x = np.concatenate([statistics(texts[s]) for s in chunks(texts)]) if texts else np.zeros((0, len(FEATURES)))
+        return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
 
-    return docs.mapInArrow(f, with_field(docs.schema, name, T.ArrayType(T.DoubleType())))
+    return with_batch_column(docs, name, T.ArrayType(T.DoubleType()), lambda: column)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_ROWS, ridge: float = 1.0, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import partitions_for, ship, stage, text_of
+from ._common import partitions_for, quoted, ship, stage, text_of
 
 #: Fixed values of jump consistent hashing.
 MULTIPLIER, SCALE = np.uint64(2862933555777941757), float(1 << 31)
@@ -52,7 +52,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     ship(spark)
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = rows.withColumns({"shard": shard_of(F.col("doc_id"), shards), "grown_shard": shard_of(F.col("doc_id"), shards + 1), "salt": F.hash(F.monotonically_increasing_id())})
     rows = stage(spark, rows, "sharded")
     n = partitions_for(spark, rows.count(), 1_000_000)

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import partitions_for, quoted, ship, stage
+from ._common import partitions_for, quoted, ship, stage, with_batch_column
 from ._graph import connected_components, local_roots
 from ._words import chunks, mix
 
@@ -198,20 +199,15 @@ def pivot_links(home: np.ndarray, guests: np.ndarray, distance: int = DISTANCE)
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fp") -> DataFrame:
     """``docs`` with a long column ``name``; its bits are the fingerprint of the whole text."""
-    from pyspark.sql import types as T
-
-    from ._common import with_field
-
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)
 
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            out = np.concatenate([np.zeros(0, dtype=np.uint64), *(fingerprints(texts[s]) for s in chunks(texts))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.view(np.int64))], names=[*batch.schema.names, name])
+    def column(batch: pa.RecordBatch) -> pa.Array:
+        texts = batch.column(at).to_pylist()
+        out = np.concatenate([np.zeros(0, dtype=np.uint64), *(fingerprints(texts[s]) for s in chunks(texts))])
+        return pa.array(out.view(np.int64))
 
-    return docs.mapInArrow(f, with_field(docs.schema, name, T.LongType()))
+    return with_batch_column(docs, name, T.LongType(), lambda: column)
 
 
 def fingerprint_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:

@@ -8,7 +8,7 @@ are few: they are collected, their number is checked, and they are broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import ship, stage, with_field
+from ._common import quoted, ship, stage, with_batch_column
 from ._words import PUNCTUATION, Words, chunks, pair
 
 BITS = 22
@@ -24,6 +24,8 @@ BITS = 22
 TRAIN_ROWS = 20_000
 #: More weights than this aren't broadcast; then the L1 term is too small.
 MOST_WEIGHTS = 500_000
+#: The rate and the L1 term, chosen on an inner fold of the training rows (see the README).
+ALPHA, L1 = 3.0, 8.0
 
 
 def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -38,7 +40,7 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """McMahan's FTRL-proximal, one example at a time, for presence features and a bias at 2 ** BITS."""
 
-    def __init__(self, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1):
+    def __init__(self, alpha: float = ALPHA, beta: float = 1.0, l1: float = L1, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
@@ -57,7 +59,7 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS, epochs: int = 3, seed: int = 11) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS, epochs: int = 3, seed: int = 11, alpha: float = ALPHA, l1: float = L1) -> tuple[np.ndarray, np.ndarray, float]:
     """Coordinates (ascending), their weights, and the bias, from the labelled rows of ``docs``.
 
     Of the labelled rows, ``most`` with the smallest hash of their identifier are used: a sample
@@ -66,7 +68,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     ship(spark)
-    some = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y is not null")
+    some = labels.select(quoted(id_col).cast("long").alias("i"), quoted(label_col).cast("int").alias("y")).where("i is not null and y is not null")
     some = some.groupBy("i").agg(F.max("y").alias("y")).withColumn("r", F.xxhash64("i", F.lit(seed))).orderBy("r", "i").limit(most)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +83,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_pydict({"y": y.slice(s.start, s.stop - s.start), "r": r.slice(s.start, s.stop - s.start), "c": pa.array([c[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, rows = Ftrl(), []
+        model, rows = Ftrl(alpha, l1=l1), []
         for batch in batches:
             for y, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows.append((y, np.frombuffer(c, dtype="<u4")))
@@ -91,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         at = np.append(np.flatnonzero(np.abs(model.z[:-1]) > model.l1), 1 << BITS)
         yield pa.RecordBatch.from_pydict({"c": pa.array(at, pa.int64()), "w": pa.array(model.weights(at), pa.float64())})
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).where("t is not null")
+    texts = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("t")).where("t is not null")
     # the sample's size is bounded by ``most``
     rows = texts.join(F.broadcast(some), F.col("doc_id") == F.col("i")).select("y", "r", "t")
     rows = stage(spark, rows.mapInArrow(featured, "y int, r long, c binary"), "toxic-features")
@@ -110,14 +112,15 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], tex
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != name))
+    docs = docs.select(*(quoted(c) for c in docs.columns if c != name))
     at = docs.columns.index(text_col)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[pa.RecordBatch], pa.Array]:
         coords, weights, bias = sent.value
         dense = np.zeros(1 << BITS, dtype=np.float64)
         dense[coords] = weights
-        for batch in batches:
+
+        def scores(batch: pa.RecordBatch) -> pa.Array:
             texts = batch.column(at).to_pylist()
             logit = np.full(len(texts), bias)
             for s in chunks(texts):
@@ -125,6 +128,8 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], tex
                 hit = dense[c] != 0
                 both = np.unique(t[hit] << (BITS + 1) | c[hit])
                 np.add.at(logit, s.start + (both >> (BITS + 1)), dense[both & ((2 << BITS) - 1)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(logit, -35, 35))))], names=[*batch.schema.names, name])
+            return pa.array(1 / (1 + np.exp(-np.clip(logit, -35, 35))))
+
+        return scores
 
-    return docs.mapInArrow(scored, with_field(docs.schema, name, T.DoubleType()))
+    return with_batch_column(docs, name, T.DoubleType(), make)

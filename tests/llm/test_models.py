@@ -4,11 +4,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from brute import words
+from brute import LOW, words
 from pyspark.sql import functions as F
 
 from manyfold.llm import ngram_lm, quality, queries as q, toxicity
-from manyfold.llm._words import PUNCTUATION, Words, chunks
+from manyfold.llm._words import PUNCTUATION, Words, chunks, pair
 
 
 def _fold(i, n):
@@ -45,11 +45,65 @@ def test_lm_against_brute_force(odd, rows, monkeypatch):
     want = sorted((str(i), len(w := [*words(t), None]), sum(x in count for x in w), round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 6)) for i, t, *_ in rows)
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
     assert {r["train_tokens"] for r in got} == {n} and all(r["score"] < 0 for r in got)
+    weights = _plain_weights(rows, trained)
+    scores = []
+    for i, t, *_ in rows:
+        w, total = [*words(t), None], 0.0
+        for u, x in zip(["<s>", *w[:-1]], w):
+            c = starts if u == "<s>" else count[u]
+            l0, l1, l2 = weights[math.floor(math.log2(c)) + 1 if c else 0]
+            total += math.log10(l0 / (v + 1) + l1 * count[x] / n + l2 * (pairs[u, x] / c if c else 0))
+        scores.append((str(i), round(total, 4)))
+    assert sorted((str(r["doc_id"]), round(r["score"], 4)) for r in got) == sorted(scores)
     # the model is a distribution over the next token: known words, and one share for all others
     weights = ngram_lm.learn_weights(np.array([1, 1, 2]), np.array([[0.1, 0.2, 0.0], [0.1, 0.1, 0.5], [0.1, 0.3, 0.9]]), np.array([5.0, 2.0, 9.0]))
     assert np.allclose(weights.sum(axis=1), 1) and weights[2, 2] > weights[1, 2]
 
 
+def _plain_weights(rows, trained):
+    """Deleted interpolation in plain loops: the weights of each bucket of the context's frequency, by
+    EM over the tokens of the fold, whose texts are taken out of the counts."""
+    count, pairs, starts, fold = Counter(), Counter(), 0, []
+    for i, t, *_ in rows:
+        w = [*words(t), None]
+        if trained(i) and i is not None and _fold(i, 7) == 3:
+            fold += list(zip(["<s>", *w[:-1]], w))
+        elif trained(i):
+            count.update(w)
+            pairs.update(zip(["<s>", *w[:-1]], w))
+            starts += 1
+    n, v = sum(count.values()), len(count)
+    step = lambda p: 2 ** (min(0, round(8 * math.log2(p))) / 8) if p else 0.0
+    tokens = Counter()
+    for u, x in fold:
+        c = starts if u == "<s>" else count[u]
+        tokens[math.floor(math.log2(c)) + 1 if c else 0, step(count[x] / n), step(pairs[u, x] / c if c else 0.0)] += 1
+    first = {b: (0.1, 0.6, 0.3) if b else (0.25, 0.75, 0.0) for b in range(64)}
+    out = dict(first)
+    for _ in range(200):
+        share = {b: [0.0, 0.0, 0.0] for b in out}
+        for (b, p1, p2), k in tokens.items():
+            part = [w * p for w, p in zip(out[b], (1 / (v + 1), p1, p2))]
+            for j in range(3):
+                share[b][j] += k * part[j] / sum(part)
+        new = {}
+        for b in out:
+            back = (0.1, 0.6, 0.0 if out[0][2] == 0 else 0.3)  # a token's worth of the start
+            new[b] = [(x + y) / (sum(share[b]) + sum(back)) for x, y in zip(share[b], back)]
+        new[0] = [x / sum(new[0][:2]) for x in (*new[0][:2], 0.0)]
+        if max(abs(x - y) for b in out for x, y in zip(out[b], new[b])) < 1e-7:
+            break
+        out = new
+    seen = {b for b, *_ in tokens}
+    return {b: w if b in seen else first[b] for b, w in out.items()}
+
+
+def test_counts_beyond_32_bits():
+    big = np.array([0, 1, 2**32 - 1, 2**32, 2**45 + 7], dtype=np.uint64)
+    for x in (big, big[:3], big[:0]):
+        assert (ngram_lm.unpacked(ngram_lm.packed(x)) == x).all()
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark, sf_dir):
     r = q.op2_deleted_interpolation(spark, sf_dir).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]
@@ -75,6 +129,81 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
 
 
+def test_ftrl_against_plain_loops():
+    """McMahan et al., 2013, algorithm 1, with dictionaries."""
+    rng = np.random.default_rng(0)
+    model, (alpha, beta, l1, l2) = toxicity.Ftrl(0.3, 1.0, 0.5, 0.2), (0.3, 1.0, 0.5, 0.2)
+    z, n, bias = Counter(), Counter(), 1 << toxicity.BITS
+
+    def weight(i):
+        reg = 0.0 if i == bias else l1
+        if abs(z[i]) <= reg:
+            return 0.0
+        return -(z[i] - math.copysign(reg, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(300):
+        at = np.unique(rng.integers(0, 40, 6))
+        y = int(7 in at or (3 in at and 5 in at))
+        model.learn(at, y)
+        w = {i: weight(i) for i in [*at.tolist(), bias]}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - y
+        for i in w:
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+    every = np.array([*range(40), bias])
+    assert np.allclose(model.weights(every), [weight(i) for i in every.tolist()]) and (model.weights(every) == 0).any()
+
+
+def test_toxicity_score_against_plain_loops(odd, rows):
+    """The probability from the learned weights, over the n-grams and skip-grams of each text."""
+    import re
+
+    labels = odd.select("doc_id").distinct().where("doc_id < 40").selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) AS toxic")
+    coords, weights, bias = toxicity.train(odd, labels, l1=0.01)
+    assert len(coords)
+    by, cut = dict(zip(coords.tolist(), weights.tolist())), re.compile("[^" + re.escape("".join(chr(c) for c in range(128) if not chr(c).isalnum())) + "]+")
+    want = []
+    for i, t, *_ in rows:
+        w = cut.findall((t or "").translate(LOW))
+        h = [int(Words([x], PUNCTUATION).hash[0]) for x in w] if len(w) < 500 else Words([t], PUNCTUATION).hash.tolist()
+        one = lambda a, b, k: int(pair(*np.array([[a], [b]], dtype=np.uint64), k)[0])
+        grams = {*h, *(one(a, b, 2) for a, b in zip(h, h[1:])), *(one(a, b, 3) for a, b in zip(h, h[2:]))}
+        logit = bias + sum(by.get(c, 0.0) for c in {g >> (64 - toxicity.BITS) for g in grams})
+        want.append((str(i), round(1 / (1 + math.exp(-logit)), 6)))
+    with np.errstate(over="ignore"):
+        got = toxicity.with_score(odd, (coords, weights, bias), name="tox").select("doc_id", "tox").collect()
+    assert sorted((str(r[0]), round(r[1], 6)) for r in got) == sorted(want)
+
+
+def test_quality_against_plain_loops(spark, sf_dir):
+    """Hosts' and paths' posteriors and each document's, in plain Python from the evidence."""
+    got = [r.asDict() for r in q.op9_quality_bayes(spark, sf_dir).collect()]
+    site = {r["doc_id"]: (r["source"], r["lang"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    at = [(site[r["doc_id"]], r["evidence"]) for r in got]
+    mean = sum(p for _, p in at) / len(at)
+    groups = [{}, {}]
+    for (h, path), p in at:
+        groups[0].setdefault(h, []).append(p)
+        groups[1].setdefault((h, path), []).append(p)
+
+    def moments(sites, prior):
+        n, m = sum(map(len, sites.values())), len(sites)
+        between = sum(len(x) * (sum(x) / len(x) - prior(s)) ** 2 for s, x in sites.items())
+        noise = sum(sum((y - sum(x) / len(x)) ** 2 for y in x) for x in sites.values()) / n
+        spread = max(1e-9, (between - (m - 1) * noise) / max(1e-9, n - sum(len(x) ** 2 for x in sites.values()) / n))
+        return min(1e6, max(5.0, noise / spread)) if m > 1 and n > m else 1000.0
+
+    k = moments(groups[0], lambda s: mean)
+    host = {s: (sum(x) + k * mean) / (len(x) + k) for s, x in groups[0].items()}
+    k = moments(groups[1], lambda s: host[s[0]])
+    path = {s: (sum(x) + k * host[s[0]]) / (len(x) + k) for s, x in groups[1].items()}
+    odds = lambda p: math.log(min(1 - 1e-6, max(1e-6, p)) / (1 - min(1 - 1e-6, max(1e-6, p))))
+    for r, (s, p) in zip(got, at):
+        assert r["host_prior"] == pytest.approx(host[s[0]], abs=1e-7) and r["path_prior"] == pytest.approx(path[s], abs=1e-7)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-odds(p) - 0.25 * (odds(path[s]) - odds(mean)))), abs=1e-7)
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.1"
     pairs = _held_out(spark, sf, q.op9_quality_bayes(spark, sf).collect(), "quality")
