@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ship, stage, text_of
+from ._common import quoted, ship, stage, text_of
 from ._words import mix
 from .tokens import encoder
 
 DIMENSIONS, AXES, AXIS_BITS, SPAN = 1024, 4, 10, 4.0
 DOCS_AT_ONCE = 256
+#: Bytes of ids, as they are staged, of a partition, about: the last sequence of each has padding.
+PART_BYTES = 16 << 20
 
 
 def hilbert_key(points: np.ndarray, bits: int = AXIS_BITS) -> np.ndarray:
@@ -112,9 +114,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, i
             if rows[0]:
                 yield _pieces(rows, with_ids)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     rows = stage(spark, rows.mapInArrow(keyed, "doc_id long, key long, width int, ids binary").withColumn("h", F.xxhash64("ids")), "curve")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, -(-(rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // PART_BYTES))
     order = ("key", "doc_id", "h")
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.spark_partition_id().cast("long").alias("part"), "width", "doc_id", "ids")
     return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else ""))

@@ -87,9 +87,12 @@ def op9_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ._common import own_folder
     from .token_files import read_token_files, write_token_files
 
-    return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
+    path = own_folder(spark, "token-files")
+    write_token_files(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), path)
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,25 +10,33 @@ A file image holds whole documents. Layout, little endian:
                 width of 8 or more lies as plain bytes), u16 exception positions, u32 exception values
 
 A block's width is the bit length of a percentile of its differences from the minimum; larger
-differences are exceptions. Spark has no writer for raw files, so an image is one binary cell of a
-Parquet table: commits are atomic, and any store that Spark writes to will do.
+differences are exceptions.
+
+Spark has no writer for raw files, so tasks write images as files of names that no other attempt
+has, below ``data``, and the table ``listing``, which Spark commits whole, names those that count. A
+folder without a listing holds nothing; what a lost attempt has left is not listed.
 """
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import ship, stage, text_of
+from ..sources.files import store_of
+from ..sources.storage import Storage
+from ._common import drop, mark, quoted, ship, stage, text_of
 from .tokens import encoder
 
 MAGIC, HEAD = b"PFB1", 32
 BLOCK = 256
+#: Bytes of ids, as they are staged, that a task writes, about.
+PART_BYTES = 16 << 20
 _BLOCK_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("n", "<u2")])
 
 
@@ -140,62 +148,91 @@ def read_range(image: bytes, start: int, stop: int) -> np.ndarray:
     return got[start - a * BLOCK : stop - a * BLOCK]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", image_bytes: int = 8 << 20) -> DataFrame:
-    """The file table, written: part, number, docs, ids, image. Parts hold ascending identifiers
-    (null first), numbers run within a part, an image ends after the document that fills it."""
+def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", image_bytes: int = 8 << 20) -> DataFrame:
+    """Write the token files of all rows below ``path``, which must hold none yet, and return their
+    listing: part, number, docs, ids, bytes, file.
+
+    Parts hold ascending identifiers (null first), numbers run within a part, a file ends after the
+    document that fills it. A null text is empty and is its end id alone; rows of equal or null
+    identifiers are written each. An empty table writes an empty listing.
+    """
     spark = docs.sparkSession
     ship(spark)
+    address = Storage(spark).qualified(path)
+    end = np.array([end_id], dtype="<u4").tobytes()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = encoder(tokenizer)
+        small = np.dtype("<u2") if max(made.library.get_vocab_size(), end_id + 1) <= 1 << 16 else np.dtype("<u4")
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                cells = [np.frombuffer(x, dtype="<u4").astype(small).tobytes() for x in made.ids(batch.column(1).slice(i, 256).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 256), pa.array([small.itemsize] * len(cells), pa.int32()), pa.array(cells, pa.binary())], names=["doc_id", "width", "ids"])
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, held, size, number = encoder(tokenizer).ids, [], 0, 0
-        end = np.array([end_id], dtype="<u4").tobytes()
+        held, size, number, part = [], 0, 0, TaskContext.get().partitionId()
 
         def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"number": pa.array([number], pa.int64()), "docs": pa.array([len(held)], pa.int64()), "ids": pa.array([sum(len(d) for _, d in held) // 4], pa.int64()), "image": pa.array([write_image(held)], pa.binary())})
+            file, image = f"{address}/data/part-{part:06d}-{number:06d}-{uuid.uuid4().hex}.pfb", write_image(held)
+            store, at = store_of(file)
+            store.create_dir(at.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(at) as f:
+                f.write(image)
+            counts = {"number": number, "docs": len(held), "ids": sum(len(d) for _, d in held) // 4, "bytes": len(image)}
+            return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64()) for k, v in counts.items()} | {"file": pa.array([file])})
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(names), 256):
-                for name, ids in zip(names[i : i + 256], encode(texts.slice(i, 256).to_pylist())):
-                    held.append((name, ids + end))
-                    size += len(ids) + 4
-                    if size >= 2 * image_bytes:  # an id takes about half of its four bytes
-                        yield full()
-                        held, size, number = [], 0, number + 1
+            names, widths, cells = (batch.column(k) for k in range(3))
+            for i in range(batch.num_rows):
+                ids = np.frombuffer(cells[i].as_buffer(), dtype=f"<u{widths[i].as_py()}").astype("<u4").tobytes() + end
+                held.append((names[i].as_py(), ids))
+                size += len(ids)
+                if size >= 2 * image_bytes:  # an id takes about half of its four bytes
+                    yield full()
+                    held, size, number = [], 0, number + 1
         if held:
             yield full()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # copies of an identifier may be many, so their texts' hashes may part them
-    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
-    files = rows.select("doc_id", "text").mapInArrow(images, "number long, docs long, ids long, image binary")
-    return stage(spark, files.withColumn("part", F.spark_partition_id()), "token-files")
+    began = mark()
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    rows = stage(spark, rows.mapInArrow(encoded, "doc_id long, width int, ids binary").withColumn("h", F.xxhash64("ids")), "ids")
+    n = max(1, -(-(rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // PART_BYTES))
+    # copies of an identifier may be many, so their ids' hashes may part them
+    rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "width", "ids")
+    files = rows.mapInArrow(images, "number long, docs long, ids long, bytes long, file string").withColumn("part", F.spark_partition_id())
+    files.write.parquet(f"{path}/listing")
+    drop(spark, began)
+    return listing(spark, path)
+
 
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """part, number, docs, ids, bytes, file of the token files below ``path``."""
+    return spark.read.schema("number long, docs long, ids long, bytes long, file string, part int").parquet(f"{path}/listing")
 
-def read_token_files(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the images.
 
-    start counts the ids of all images before, from sums over parts and then within a part."""
-    ship(files.sparkSession)
-    sizes = files.select("part", "number", "ids")
-    parts = sizes.groupBy("part").agg(F.sum("ids").alias("n"))
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit bytes) of each document in the
+    listed files; start counts the ids of all files before, from sums over parts and then within a
+    part, and of the documents before in the file."""
+    ship(spark)
+    files = listing(spark, path)
+    parts = files.groupBy("part").agg(F.sum("ids").alias("n"))
     parts = parts.select(F.col("part").alias("p"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    starts = sizes.withColumn("within", F.sum("ids").over(Window.partitionBy("part").orderBy("number")) - F.col("ids"))
-    starts = starts.join(parts, F.col("part") == F.col("p")).select("p", F.col("number").alias("k"), (F.col("before") + F.col("within")).alias("first_id"))
+    within = F.sum("ids").over(Window.partitionBy("part").orderBy("number")) - F.col("ids")
+    starts = files.withColumn("within", within).join(parts, F.col("part") == F.col("p")).select("file", (F.col("before") + F.col("within")).alias("first_id"))
+    count, cores = files.count(), spark.sparkContext.defaultParallelism
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                part, number = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                names, sizes, sums = [], [], []
-                for name, ids in read_image(batch.column(2)[i].as_py()):
-                    names.append(name)
-                    sizes.append(len(ids))
-                    sums.append(zlib.crc32(ids.astype("<u4", copy=False).data))
-                n = np.array(sizes, dtype=np.int64)
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(n), pa.int32()), "number": pa.array([number] * len(n), pa.int64()), "doc_id": pa.array(names, pa.int64()), "within": pa.array(np.cumsum(n) - n), "n_tokens": pa.array(n), "ids_crc32": pa.array(sums, pa.int64())})
-
-    rows = files.select("part", "number", "image").mapInArrow(decoded, "part int, number long, doc_id long, within long, n_tokens long, ids_crc32 long")
-    rows = rows.join(starts, (F.col("part") == F.col("p")) & (F.col("number") == F.col("k")))
-    return rows.select("doc_id", (F.col("first_id") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+            for file, first in zip(*(c.to_pylist() for c in batch.columns)):
+                store, at = store_of(file)
+                with store.open_input_stream(at) as f:
+                    names, ids = (list(x) for x in zip(*read_image(f.read())))
+                for i in range(0, len(names), 4096):
+                    n = np.array([len(x) for x in ids[i : i + 4096]], dtype=np.int64)
+                    cells = [x.astype("<u4", copy=False).tobytes() for x in ids[i : i + 4096]]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 4096], pa.int64()), pa.array(first + np.cumsum(n) - n), pa.array(n), pa.array(cells, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                    first += int(n.sum())
+
+    starts = starts.repartition(max(1, min(count, max(4 * cores, count // 8))))
+    return starts.mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids binary")
