@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manyfold.llm import queries as q
-from manyfold.llm._common import release, stage
+from manyfold.llm._common import drop, mark, quoted, release, stage, unused
 from manyfold.llm.exact_dedup import exact_dedup
 from manyfold.llm.packing import pack
 from manyfold.llm.quality import fit, with_quality
@@ -29,42 +29,49 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose text scores as toxic."""
     model = train(docs, _labels(spark, sf_dir).where(~q.held_out()))
-    return with_score(docs, model, name="__toxicity").where(F.col("__toxicity") < TOXIC_FROM).select(*docs.columns)
+    name = unused(docs.columns, "_toxicity")
+    return with_score(docs, model, name=name).where(F.col(name) < TOXIC_FROM).select(*map(quoted, docs.columns))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of low posterior quality."""
     model = fit(docs, _labels(spark, sf_dir).where(~q.held_out()))
-    scored = with_quality(docs, model, F.col("source"), F.col("lang"), name="__quality")
-    return scored.where(F.col("__quality") >= GOOD_FROM).select(*docs.columns)
+    name = unused(docs.columns, "_quality")
+    while {f"{name}{x}".lower() for x in ("", "_evidence", "_host", "_path")} & {c.lower() for c in docs.columns}:
+        name += "_"
+    scored = with_quality(docs, model, F.col("source"), F.col("lang"), name=name)
+    return scored.where(F.col(name) >= GOOD_FROM).select(*map(quoted, docs.columns))
 
 
-def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with a key for each row, written so that all that follows sees the same keys."""
-    return stage(spark, docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key for each row, written so that all that follows sees the same keys, and
+    the key's name."""
+    name = unused(docs.columns, "_row")
+    return stage(spark, docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
-def _keep(docs: DataFrame, found: DataFrame) -> DataFrame:
+def _keep(docs: DataFrame, name: str, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``found`` keeps, by their keys, which are left out."""
-    kept = found.where("kept").select(F.col("row").alias("__kept"))
-    return docs.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
+    mine = unused(docs.columns, "_kept")
+    kept = found.where("kept").select(F.col("row").alias(mine))
+    return docs.join(kept, F.col(name) == F.col(mine), "left_semi").select(*(quoted(c) for c in docs.columns if c != name))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, keeps the one with the most code points, then the smallest identifier."""
-    docs = _numbered(spark, docs)
-    return _keep(docs, exact_dedup(docs, row_col="__row"))
+    docs, row = _numbered(spark, docs)
+    return _keep(docs, row, exact_dedup(docs, row_col=row))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of a group of near duplicates, keeps the document with the smallest identifier."""
-    docs = _numbered(spark, docs)
-    return _keep(docs, near_dedup(docs, row_col="__row"))
+    docs, row = _numbered(spark, docs)
+    return _keep(docs, row, near_dedup(docs, row_col=row))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all remaining documents in sequences of 2048 ids."""
-    return pack(docs, q.tokenizer_file("byte_bpe_50k.json"), with_ids=False)
+    """The pieces of all remaining documents in sequences of 2048 ids, with their ids."""
+    return pack(docs, q.tokenizer_file("byte_bpe_50k.json"))
 
 
 STAGES = [("toxicity", not_toxic), ("quality", good_quality), ("exact_dedup", exact), ("simhash_near_dedup", near), ("packing", packed)]
@@ -75,9 +82,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    began = mark()
     for k, (name, f) in enumerate(STAGES):
         docs = f(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stage(spark, docs, name)
+            drop(spark, began, keep=[docs])  # what the stage and the one before it have staged
             release(spark)
     return docs
