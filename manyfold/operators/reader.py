@@ -54,6 +54,8 @@ def read(catalog: Catalog, namespace: str, table: str, version: int | None = Non
     groups: dict[tuple[str, bool], list[str]] = {}
     names: set[str] = set()
     for path, source, mapping, origin in held.collect():
+        if origin == "rewritten" and f"/data/{source}/" not in unquote(path):
+            raise ValueError(f"{path} doesn't lie in a folder of {source}; register the table anew")
         groups.setdefault((mapping or "{}", origin == "rewritten"), []).append(path)
         names.add(source)
     source_field = find(snap.schema, snap.partition_column)
