@@ -13,13 +13,16 @@ from ..plans.skipping import Condition, matches, may_match
 from ..sources import Catalog
 
 def by_field_id(spark: SparkSession) -> None:
-    """Let Spark resolve Parquet columns by the ids in the requested schema. A schema without ids
-    is still resolved by name."""
-    for k, v in (
-        ("spark.sql.parquet.fieldId.read.enabled", "true"), ("spark.sql.parquet.fieldId.write.enabled", "true"),
-        ("spark.sql.sources.parallelPartitionDiscovery.threshold", "256")
-    ):
-        if spark.conf.get(k) != v:
+    """Let Spark resolve Parquet columns by the ids in the requested schema; a schema without ids is
+    still resolved by name. Beyond some hundred files, the executors look up their lengths, many
+    files to a task."""
+    looked_up = "spark.sql.sources.parallelPartitionDiscovery"
+    settings = {
+        "spark.sql.parquet.fieldId.read.enabled": "true", "spark.sql.parquet.fieldId.write.enabled": "true",
+        f"{looked_up}.threshold": "256", f"{looked_up}.parallelism": str(4 * spark.sparkContext.defaultParallelism),
+    }
+    for k, v in settings.items():
+        if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
 
 
