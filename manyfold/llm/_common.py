@@ -12,6 +12,7 @@ import weakref
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,10 @@ from pyspark.sql import types as T
 #: ASCII white space as the contracts have it.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
+Held = TypeVar("Held")
+
 _shipped: set[str] = set()
+_held: dict[str, object] = {}
 _roots: set[str] = set()
 #: Folders that were staged, in order, and those of the tables that still have a name.
 _staged: list[str] = []
@@ -133,14 +137,24 @@ def worker_threads_off() -> None:
         os.environ.setdefault(k, v)
 
 
+def held(key: str, make: Callable[[], Held]) -> Held:
+    """What a worker keeps from task to task: one thing at a time, so that what operators keep that
+    follow one another in the same workers doesn't add up."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]
+
+
 def with_batch_column(df: DataFrame, name: str, kind: T.DataType, make: Callable[[], Callable[[pa.RecordBatch], pa.Array]]) -> DataFrame:
-    """``df`` with one more column, which the function that ``make`` gives once in each task makes from a
-    batch. The columns go through by their places, so that their names may have any characters."""
+    """``df`` with one more column, which a function makes from a batch; ``make`` gives it, and a worker
+    keeps it for this column's tasks. The columns go through by their places, so that their names may have any characters."""
     plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
-    new = f"c{len(df.columns)}"
+    new, key = f"c{len(df.columns)}", uuid.uuid4().hex
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        column = make()
+        column = held(key, make)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, column(batch)], names=[*batch.schema.names, new])
 

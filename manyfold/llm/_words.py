@@ -14,7 +14,7 @@ SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

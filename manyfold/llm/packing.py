@@ -25,6 +25,8 @@ from .tokens import encoder
 
 DIMENSIONS, AXES, AXIS_BITS, SPAN = 1024, 4, 10, 4.0
 DOCS_AT_ONCE = 256
+#: Ids of a batch of pieces that a task returns, about.
+BATCH_IDS = 1 << 20
 #: Bytes of ids, as they are staged, of a partition, about: the last sequence of each has padding.
 PART_BYTES = 16 << 20
 
@@ -71,7 +73,10 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert_key(cells)
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id",
+    text_col: str = "text", with_ids: bool = True
+) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and,
     if asked for, ids (little-endian unsigned 32-bit bytes).
 
@@ -89,11 +94,14 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, i
             for i in range(0, batch.num_rows, DOCS_AT_ONCE):
                 ids = [np.frombuffer(x, dtype="<u4") for x in made.ids(batch.column(1).slice(i, DOCS_AT_ONCE).to_pylist())]
                 cells = pa.array([x.astype(small).tobytes() for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, DOCS_AT_ONCE), pa.array(curve_keys(ids)), pa.array([small.itemsize] * len(ids), pa.int32()), cells], names=["doc_id", "key", "width", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, DOCS_AT_ONCE), pa.array(curve_keys(ids)), pa.array([small.itemsize] * len(ids), pa.int32()), cells],
+                    names=["doc_id", "key", "width", "ids"]
+                )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], dtype="<u4")
-        sequence, offset = 0, 0
+        sequence, offset, size = 0, 0, 0
         for batch in batches:
             part, width, names, cells = (batch.column(i) for i in range(4))
             rows: list[list] = [[] for _ in range(8)]
@@ -108,18 +116,23 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, i
                     start, offset = start + n, offset + n
                     if offset == length:
                         sequence, offset = sequence + 1, 0
-                if len(rows[0]) >= 5000:
-                    yield _pieces(rows, with_ids)
-                    rows = [[] for _ in range(8)]
+                    size += n + 64  # what a row costs beside its ids
+                    if size >= BATCH_IDS:
+                        yield _pieces(rows, with_ids)
+                        rows, size = [[] for _ in range(8)], 0
             if rows[0]:
                 yield _pieces(rows, with_ids)
+                size = 0
 
     rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     rows = stage(spark, rows.mapInArrow(keyed, "doc_id long, key long, width int, ids binary").withColumn("h", F.xxhash64("ids")), "curve")
     n = max(1, -(-(rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // PART_BYTES))
     order = ("key", "doc_id", "h")
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.spark_partition_id().cast("long").alias("part"), "width", "doc_id", "ids")
-    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(
+        cut,
+        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else "")
+    )
 
 
 def _pieces(rows: list[list], with_ids: bool) -> pa.RecordBatch:

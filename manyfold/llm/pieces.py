@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 
 from pyspark.sql import types as T
 
-from ._common import quoted, ship, text_of, with_batch_column, worker_threads_off
+from ._common import held, quoted, ship, text_of, with_batch_column, worker_threads_off
 from ._words import chunks, mix
 
 BLANK = "▁"
@@ -436,10 +436,9 @@ def _keys(prefix: np.ndarray, end: int, span: np.ndarray) -> np.ndarray:
         return mix(prefix[:, end][:, None] - prefix[:, end - span] * power[None, :] + span.astype(np.uint64)[None, :] * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-@lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
-    """One for each file and worker process."""
-    return Pieces(path)
+    """One in a worker process; what it knows outlives the task."""
+    return held(f"pieces {path}", lambda: Pieces(path))
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:

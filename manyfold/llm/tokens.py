@@ -12,11 +12,10 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
-from ._common import worker_threads_off
+from ._common import held, worker_threads_off
 
 #: Words that a worker knows at most, in two generations: what the last one met outlives it.
 KEPT_WORDS = 1_200_000
@@ -197,12 +196,13 @@ def _kind(spec: dict) -> str:
         return "blank"
     steps = [(x["type"], x.get("content")) for x in (norm or {}).get("normalizers", [])]
     split = (pre.get("pretokenizers") or [{}])[0]
-    if steps == [("NFC", None), ("Replace", " "), ("Lowercase", None)] and split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"] and spec["model"]["end_of_word_suffix"]:
+    if steps == [
+        ("NFC", None), ("Replace", " "), ("Lowercase", None)
+    ] and split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"] and spec["model"]["end_of_word_suffix"]:
         return "dropped"
     return "other"
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """One for each file and worker process; what it knows outlives the task."""
-    return Encoder(path)
+    """One in a worker process; what it knows outlives the task."""
+    return held(f"encoder {path}", lambda: Encoder(path))
