@@ -193,7 +193,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     rows = rows.mapInArrow(cleaned, "vec_id long, v binary")
     rows = rows.withColumn("h", F.when(F.col("vec_id").isNotNull(), F.unhex(F.sha2("v", 256))))
     rows = stage(spark, rows, "vectors")
-    classes = stage(spark, rows.where("h is not null").groupBy("h").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v")).withColumn("d", (F.octet_length("v") / item).cast("int")), "classes")
+    classes = stage(
+        spark,
+        rows.where("h is not null").groupBy("h").agg(
+            F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v")
+        ).withColumn("d", (F.octet_length("v") / item).cast("int")),
+        "classes"
+    )
     began = mark()
     lengths = {r["d"]: r["count"] for r in classes.groupBy("d").count().collect()}
     bases = {d: principal_axes(classes.where(F.col("d") == d), d, kind=kind) for d, c in sorted(lengths.items()) if c > INTERVAL}
@@ -212,7 +218,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
 
     n = partitions_for(spark, sum(lengths.values()), 16 * INTERVAL)
     grid = classes.select("d", "id", "n", "v").mapInArrow(gridded, "cell binary, d int, id long, n long, v binary")
-    grid = grid.repartitionByRange(n, "d", "cell", "id").sortWithinPartitions("d", "cell", "id").select("cell", "d", "id", "n", "v", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row"))
+    grid = grid.repartitionByRange(n, "d", "cell", "id").sortWithinPartitions("d", "cell", "id").select(
+        "cell", "d", "id", "n", "v", F.spark_partition_id().alias("part"),
+        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row")
+    )
     grid = stage(spark, grid, "grid-order")
     parts = grid.groupBy("part").agg(F.count("*").alias("c"))
     parts = parts.select(F.col("part").alias("p"), (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))
@@ -225,7 +234,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
         blobs = {"ids": as_bytes("id"), "sizes": as_bytes("n"), "vectors": blob, "bounds": bounds(_units(blob, d, kind)[2], basis_of(d))}
         return pa.table({"d": t.column("d").slice(0, 1), "interval": t.column("interval").slice(0, 1)} | {k: pa.array([v], pa.binary()) for k, v in blobs.items()})
 
-    blocks = grid.select("d", "interval", "cell", "id", "n", "v").groupBy("d", "interval").applyInArrow(packed, "d int, interval long, ids binary, sizes binary, vectors binary, bounds binary")
+    blocks = grid.select("d", "interval", "cell", "id", "n", "v").groupBy("d", "interval").applyInArrow(
+        packed, "d int, interval long, ids binary, sizes binary, vectors binary, bounds binary"
+    )
     blocks = stage(spark, blocks, "intervals")
     # groups of neighbouring intervals: as many as fit a task, fewer while there are not tasks for all cores
     cores = spark.sparkContext.defaultParallelism
@@ -235,9 +246,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
         groups = min(intervals, max(-(-intervals * INTERVAL * d * item // GROUP_BYTES), int(np.ceil(np.sqrt(4 * cores)))))
         each[d] = -(-intervals // groups)
     sizes = spark.createDataFrame(sorted(each.items()), "gd int, each int")  # a row for each length
-    grouped = blocks.join(F.broadcast(sizes), F.col("d") == F.col("gd")).withColumn("g", F.floor(F.col("interval") / F.col("each")).cast("int")).drop("gd", "each")
+    grouped = blocks.join(F.broadcast(sizes), F.col("d") == F.col("gd")).withColumn(
+        "g", F.floor(F.col("interval") / F.col("each")).cast("int")
+    ).drop("gd", "each")
     meet = grouped.select("d", "g").distinct()
-    meet = meet.select("d", F.col("g").alias("i")).join(meet.select(F.col("d").alias("e"), F.col("g").alias("j")), (F.col("d") == F.col("e")) & (F.col("i") <= F.col("j"))).drop("e")
+    meet = meet.select("d", F.col("g").alias("i")).join(
+        meet.select(F.col("d").alias("e"), F.col("g").alias("j")),
+        (F.col("d") == F.col("e")) & (F.col("i") <= F.col("j"))
+    ).drop("e")
     meet = meet.withColumn("g", F.explode(F.array_distinct(F.array("i", "j")))).select(F.col("d").alias("md"), "i", "j", F.col("g").alias("mg"))
     same = (F.col("d") == F.col("md")) & (F.col("g") == F.col("mg"))
 
@@ -254,7 +270,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
         n = len(partners) + 1
         return pa.table({"d": pa.array([d] * n, pa.int32()), "i": pa.array([i] * n, pa.int32()), "j": pa.array([j] * n, pa.int32()), "interval": pa.array([*partners, -1], pa.int64()), "partners": pa.array([*partners.values(), []], pa.list_(pa.int64())), "pairs": pa.array([0] * (n - 1) + [len(pairs)], pa.int64())})
 
-    tasks = grouped.select("d", "g", "interval", "bounds").join(meet, same).groupBy("d", "i", "j").applyInArrow(paired, "d int, i int, j int, interval long, partners array<long>, pairs long")
+    tasks = grouped.select("d", "g", "interval", "bounds").join(meet, same).groupBy("d", "i", "j").applyInArrow(
+        paired, "d int, i int, j int, interval long, partners array<long>, pairs long"
+    )
     tasks = stage(spark, tasks, "pairs")
     joined, every = (int(x or 0) for x in tasks.agg(F.sum(F.size("partners")), F.sum("pairs")).first())
     log.info("%d of %d pairs of intervals are joined", joined, every)
@@ -279,13 +297,22 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
         ids, n = (np.concatenate(x) for x in zip(*counts))
         return pa.table({"x": np.concatenate((ids, node)), "y": np.concatenate((n, root)), "link": np.concatenate((np.zeros(len(ids), dtype=bool), np.ones(len(node), dtype=bool)))})
 
-    found = tasks.drop("pairs").join(blocks.select(F.col("d").alias("bd"), F.col("interval").alias("bi"), "ids", "sizes", "vectors"), (F.col("d") == F.col("bd")) & (F.col("interval") == F.col("bi"))).drop("bd", "bi")
+    found = tasks.drop("pairs").join(
+        blocks.select(F.col("d").alias("bd"), F.col("interval").alias("bi"), "ids", "sizes", "vectors"),
+        (F.col("d") == F.col("bd")) & (F.col("interval") == F.col("bi"))
+    ).drop("bd", "bi")
     found = stage(spark, found.groupBy("d", "i", "j").applyInArrow(tiled, "x long, y long, link boolean"), "tiles")
     drop(spark, began, keep=[found])  # the grid, its intervals and their pairs
     counts = found.where("not link").groupBy(F.col("x").alias("ci")).agg(F.sum("y").alias("links"))
     parts = connected_components(found.where("link").select(F.col("x").alias("a"), F.col("y").alias("b")))
     known = classes.select("h", "id", "n").join(counts, F.col("id") == F.col("ci"), "left").join(parts, F.col("id") == F.col("node"), "left")
-    known = known.select(F.col("h").alias("kh"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("links"), F.coalesce("component", "id").alias("component"))
+    known = known.select(
+        F.col("h").alias("kh"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("links"),
+        F.coalesce("component", "id").alias("component")
+    )
     out = rows.select("vec_id", "h").join(known, F.col("h") == F.col("kh"), "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+    return out.select(
+        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept")
+    )

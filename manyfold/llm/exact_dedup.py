@@ -31,7 +31,11 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row = quoted(row_col) if row_col else F.monotonically_increasing_id()
     texts = docs.select(quoted(id_col).alias("doc_id"), text_of(text_col).alias("t"), row.alias("row"))
     texts = texts.select("doc_id", "row", F.length("t").cast("long").alias("points"), F.regexp_replace("t", SPACE_CLASS + "+", "").alias("n"))
-    return texts.select("doc_id", "row", "points", F.unhex(F.sha2("n", 256)).alias("digest"), F.octet_length("n").cast("long").alias("n_bytes"), F.xxhash64("n").alias("check_hash"), F.spark_partition_id().alias("run"))
+    return texts.select(
+        "doc_id", "row", "points", F.unhex(F.sha2("n", 256)).alias("digest"),
+        F.octet_length("n").cast("long").alias("n_bytes"), F.xxhash64("n").alias("check_hash"),
+        F.spark_partition_id().alias("run")
+    )
 
 
 def merge_runs(rows: DataFrame, runs: int, fan_in: int = 8) -> DataFrame:
@@ -62,8 +66,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     rows = stage(spark, digest_rows(docs, id_col, text_col, row_col), "digests")
     runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
-    groups = merge_runs(rows, runs, fan_in).where("size > 1").select(*(F.col(k).alias(f"g_{k}") for k in KEY), F.col("best.doc_id").alias("best_id"), F.col("best.row").alias("best_row"), "size")
+    groups = merge_runs(rows, runs, fan_in).where("size > 1").select(
+        *(F.col(k).alias(f"g_{k}") for k in KEY), F.col("best.doc_id").alias("best_id"),
+        F.col("best.row").alias("best_row"), "size"
+    )
     same = [rows[k] == groups[f"g_{k}"] for k in KEY]
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("best_id"))
     kept = F.coalesce(F.col("best_row") == F.col("row"), F.lit(True))
-    return rows.join(groups, same, "left").select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *(["row"] if row_col else []))
+    return rows.join(groups, same, "left").select(
+        "doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
+        kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *(["row"] if row_col else [])
+    )

@@ -186,8 +186,18 @@ def score(docs: DataFrame, training: Column, fold: Column, id_col: str = "doc_id
 
     train = F.coalesce(training, F.lit(False))
     flags = F.when(train, 1 + 2 * F.coalesce(fold, F.lit(False)).cast("int")).otherwise(0)
-    rows = docs.select(quoted(id_col).cast("long").alias("i"), quoted(text_col).cast("string").alias("t"), flags.alias("f"), F.spark_partition_id().cast("long").alias("p"))
-    blocks = stage(spark, rows.mapInArrow(blocked, "ids array<long>, block long, tokens long, train_tokens long, train_docs long, counts binary, train binary, words binary, place binary"), "lm-blocks")
+    rows = docs.select(
+        quoted(id_col).cast("long").alias("i"), quoted(text_col).cast("string").alias("t"), flags.alias("f"),
+        F.spark_partition_id().cast("long").alias("p")
+    )
+    blocks = stage(
+        spark,
+        rows.mapInArrow(
+            blocked,
+            "ids array<long>, block long, tokens long, train_tokens long, train_docs long, counts binary, train binary, words binary, place binary"
+        ),
+        "lm-blocks"
+    )
     in_fold = F.col("block") % 2 == 1  # a block holds the fold's texts only, or none of them
     sums = [F.sum(c) for c in ("tokens", "train_tokens", "train_docs")] + [F.sum(F.when(in_fold, F.col(c))) for c in ("train_tokens", "train_docs")]
     tokens, n_train, train_docs, fold_tokens, fold_docs = (int(x or 0) for x in blocks.agg(*sums).first())
@@ -204,7 +214,10 @@ def score(docs: DataFrame, training: Column, fold: Column, id_col: str = "doc_id
                     for k in np.flatnonzero(np.diff(cut)):
                         s = slice(cut[k], cut[k + 1])
                         out.append((int(k), kind, name, planes(np.diff(keys[s], prepend=np.uint64(0))), packed(counts[0][s]), packed(counts[1][s]) if name % 2 else b""))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "kind", "block", "keys", "train", "fold"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
+                    names=["bucket", "kind", "block", "keys", "train", "fold"]
+                )
 
     def answered(t: pa.Table) -> pa.Table:
         keys = [np.cumsum(unplanes(x, "<u8"), dtype=np.uint64) for x in t.column("keys").to_pylist()]
@@ -222,7 +235,9 @@ def score(docs: DataFrame, training: Column, fold: Column, id_col: str = "doc_id
         return pa.table({"block": t.column("block"), "kind": t.column("kind"), "bucket": t.column("bucket"), "train": pa.array(back[0], pa.binary()), "fold": pa.array(back[1], pa.binary()), "seen": seen, "rest": rest})
 
     # nothing needs the plain texts from here on
-    grams = blocks.select("block", "counts", "train", "words", "place").mapInArrow(sent, "bucket int, kind int, block long, keys binary, train binary, fold binary")
+    grams = blocks.select("block", "counts", "train", "words", "place").mapInArrow(
+        sent, "bucket int, kind int, block long, keys binary, train binary, fold binary"
+    )
     replies = grams.groupBy("kind", "bucket").applyInArrow(answered, "block long, kind int, bucket int, train binary, fold binary, seen long, rest long")
     replies = stage(spark, replies, "lm-counts")
     del grams
@@ -250,7 +265,9 @@ def score(docs: DataFrame, training: Column, fold: Column, id_col: str = "doc_id
     weights = learn_weights(np.zeros(0, dtype=np.int64), np.zeros((0, 3)), np.zeros(0))
     by_block = lambda df: df.groupBy("block")
     if fold_tokens:
-        cells = by_block(blocks.where(in_fold).select("block", "counts", "train", "words", "place")).cogroup(by_block(replies.where(in_fold).select("block", "kind", "bucket", "train", "fold"))).applyInArrow(held_out, "b long, p1 long, p2 long, n long")
+        cells = by_block(blocks.where(in_fold).select("block", "counts", "train", "words", "place")).cogroup(by_block(replies.where(in_fold).select("block", "kind", "bucket", "train", "fold"))).applyInArrow(
+            held_out, "b long, p1 long, p2 long, n long"
+        )
         # at most BUCKETS times the steps of two quantised logarithms
         got = cells.groupBy("b", "p1", "p2").agg(F.sum("n").alias("n")).toPandas()
         back = lambda s: np.where(s == 1, 0.0, np.exp2(np.minimum(s, 0) / STEPS))
@@ -270,4 +287,7 @@ def score(docs: DataFrame, training: Column, fold: Column, id_col: str = "doc_id
         add = lambda x: np.add.reduceat(x, starts)
         return pa.table({"doc_id": left.column("ids").combine_chunks().flatten(), "trained": flag["train"][starts], "n_tokens": b.ends - starts, "n_known": add((count > 0).astype(np.int64)), "train_tokens": np.full(len(starts), n_train), "base_score": add(base), "score": add(value)})
 
-    return by_block(blocks.select("block", "ids", "counts", "train", "words", "place")).cogroup(by_block(replies.select("block", "kind", "bucket", "train", "fold"))).applyInArrow(scored, "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return by_block(blocks.select("block", "ids", "counts", "train", "words", "place")).cogroup(by_block(replies.select("block", "kind", "bucket", "train", "fold"))).applyInArrow(
+        scored,
+        "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    )

@@ -72,7 +72,10 @@ def with_statistics(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     return with_batch_column(docs, name, T.ArrayType(T.DoubleType()), lambda: column)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_ROWS, ridge: float = 1.0, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    most: int = TRAIN_ROWS, ridge: float = 1.0, seed: int = 7
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(means, scales, coefficients with the constant last). The labelled rows used are the
     ``most`` with the smallest hash of their identifier; rows without label or identifier teach
     nothing. With no labelled row, all coefficients are 0."""
@@ -117,12 +120,16 @@ def _shrink(sites: DataFrame, prior: Column, least: float = 5.0) -> float:
 
 def site_posteriors(docs: DataFrame, host: str = "host", path: str = "path", p: str = "p") -> tuple[DataFrame, float]:
     """(host, path, prior) for each pair, nulls being a site of their own, and the corpus' mean."""
-    paths = docs.groupBy(quoted(host).alias("h"), quoted(path).alias("q")).agg(F.count("*").cast("double").alias("n"), F.sum(quoted(p)).alias("s"), F.sum(quoted(p) * quoted(p)).alias("s2"))
+    paths = docs.groupBy(quoted(host).alias("h"), quoted(path).alias("q")).agg(
+        F.count("*").cast("double").alias("n"), F.sum(quoted(p)).alias("s"), F.sum(quoted(p) * quoted(p)).alias("s2")
+    )
     paths = stage(docs.sparkSession, paths, "site-sums")  # a row per site, so that texts are read once
     paths = paths.withColumn("v", F.greatest(F.lit(0.0), F.col("s2") - F.col("s") * F.col("s") / F.col("n")))
     total = paths.agg(F.sum("s"), F.sum("n")).first()
     mean = float(total[0] / total[1]) if total[1] else 0.5
-    hosts = paths.groupBy("h").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("s2").alias("s2")).withColumn("v", F.greatest(F.lit(0.0), F.col("s2") - F.col("s") * F.col("s") / F.col("n")))
+    hosts = paths.groupBy("h").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("s2").alias("s2")).withColumn(
+        "v", F.greatest(F.lit(0.0), F.col("s2") - F.col("s") * F.col("s") / F.col("n"))
+    )
     k = _shrink(hosts, F.lit(mean))
     hosts = hosts.select(F.col("h").alias("hh"), ((F.col("s") + k * mean) / (F.col("n") + k)).alias("host_prior"))
     paths = paths.join(hosts, F.col("h").eqNullSafe(F.col("hh"))).drop("hh")
@@ -130,7 +137,10 @@ def site_posteriors(docs: DataFrame, host: str = "host", path: str = "path", p:
     return paths.select("h", "q", "host_prior", ((F.col("s") + k * F.col("host_prior")) / (F.col("n") + k)).alias("path_prior")), mean
 
 
-def with_quality(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], host: Column, path: Column, text_col: str = "text", name: str = "quality_score", weight: float = 0.25, keep_text: bool = True) -> DataFrame:
+def with_quality(
+    docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], host: Column, path: Column,
+    text_col: str = "text", name: str = "quality_score", weight: float = 0.25, keep_text: bool = True
+) -> DataFrame:
     """``docs`` with four columns: ``name`` (posterior probability of good quality), ``name`` +
     _evidence (from the text alone), _host and _path (the sites' posterior means).
 

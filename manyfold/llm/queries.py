@@ -41,7 +41,10 @@ def op3_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode
 
     rows = encode(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), decoded=True)
-    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.crc32("decoded").alias("decoded_crc32"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    return rows.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
+        F.crc32("decoded").alias("decoded_crc32"), (F.col("decoded") == F.col("text")).alias("round_trip")
+    )
 
 
 def op4_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +86,11 @@ def op9_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), _table(spark, sf_dir, "labels")
     scored = with_quality(docs, fit(docs, labels.where(~held_out())), F.col("source"), F.col("lang"), name="score", keep_text=False)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("score_evidence").alias("evidence"), F.col("score_host").alias("host_prior"), F.col("score_path").alias("path_prior"))
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.col("score_evidence").alias("evidence"), F.col("score_host").alias("host_prior"),
+        F.col("score_path").alias("path_prior")
+    )
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,14 +52,23 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     ship(spark)
     text = text_of(text_col)
-    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = docs.select(
+        quoted(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32")
+    )
     rows = rows.withColumns({"shard": shard_of(F.col("doc_id"), shards), "grown_shard": shard_of(F.col("doc_id"), shards + 1), "salt": F.hash(F.monotonically_increasing_id())})
     rows = stage(spark, rows, "sharded")
     n = partitions_for(spark, rows.count(), 1_000_000)
     order = ("doc_id", "text_crc32", "size", "salt")
     rows = stage(spark, rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ranged")
     starts = rows.groupBy("part", "shard").agg(F.count("*").alias("n"))
-    starts = starts.select(F.col("part").alias("p"), F.col("shard").alias("s"), (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("start"))
+    starts = starts.select(
+        F.col("part").alias("p"), F.col("shard").alias("s"),
+        (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("start")
+    )
     local = F.row_number().over(Window.partitionBy("part", "shard").orderBy(*order)) - 1
     rows = rows.withColumn("local", local).join(starts, (F.col("part") == F.col("p")) & (F.col("shard") == F.col("s")))
-    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("local")).cast("long").alias("slot"), "grown_shard")
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
+        (F.col("start") + F.col("local")).cast("long").alias("slot"), "grown_shard"
+    )

@@ -103,7 +103,9 @@ def cells(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(index), np.concatenate(visits)
 
 
-def blocked(cell: np.ndarray, index: np.ndarray, visits: np.ndarray, fp: np.ndarray, heavy: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def blocked(
+    cell: np.ndarray, index: np.ndarray, visits: np.ndarray, fp: np.ndarray, heavy: np.ndarray, blocks: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(cell, part, index, visits) with the rows of ``heavy`` cells (ascending) dealt to parts.
 
     A cell of n blocks has a part for each pair of blocks i <= j: at home in it are the rows of
@@ -233,7 +235,10 @@ def fingerprint_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
             for i in range(0, batch.num_rows, 4096):
                 fp = batch.column(0).slice(i, 4096).to_numpy()
                 cell, part, index, visits = blocked(*cells(fp.view(np.uint64)), fp.view(np.uint64), heavy, blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(visits), pa.array(fp[index])], names=["cell", "part", "visits", "fp"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(visits), pa.array(fp[index])],
+                    names=["cell", "part", "visits", "fp"]
+                )
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -279,6 +284,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = connected_components(fingerprint_links(prints, distance)).select(F.col("node"), F.col("component").alias("root"))
     prints = prints.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", *more, F.coalesce("root", "fp").alias("root"))
     roots = prints.groupBy("root").agg(F.min("least").alias("component_id"), *(F.min(c).alias("kept_row") for c in more)).withColumnRenamed("root", "r")
-    prints = prints.join(roots, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id", *(F.col("kept_row.row").alias("kept_row") for _ in more))
+    prints = prints.join(roots, F.col("root") == F.col("r")).select(
+        F.col("fp").alias("f"), "component_id", *(F.col("kept_row.row").alias("kept_row") for _ in more)
+    )
     kept = ["row", (F.col("row") == F.col("kept_row")).alias("kept")] if row_col else []
     return rows.join(prints, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id", *kept)

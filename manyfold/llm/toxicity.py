@@ -59,7 +59,10 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS, epochs: int = 3, seed: int = 11, alpha: float = ALPHA, l1: float = L1) -> tuple[np.ndarray, np.ndarray, float]:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    most: int = TRAIN_ROWS, epochs: int = 3, seed: int = 11, alpha: float = ALPHA, l1: float = L1
+) -> tuple[np.ndarray, np.ndarray, float]:
     """Coordinates (ascending), their weights, and the bias, from the labelled rows of ``docs``.
 
     Of the labelled rows, ``most`` with the smallest hash of their identifier are used: a sample
