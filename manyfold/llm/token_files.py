@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 
 from ..sources.files import store_of
 from ..sources.storage import Storage
-from ._common import drop, mark, quoted, ship, stage, text_of
+from ._common import quoted, ship, text_of
 from .tokens import encoder
 
 MAGIC, HEAD = b"PFB1", 32
 BLOCK = 256
-#: Bytes of ids, as they are staged, that a task writes, about.
+#: Bytes of text that a task encodes and writes, about.
 PART_BYTES = 16 << 20
 _BLOCK_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("n", "<u2")])
 
@@ -148,7 +148,10 @@ def read_range(image: bytes, start: int, stop: int) -> np.ndarray:
     return got[start - a * BLOCK : stop - a * BLOCK]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", image_bytes: int = 8 << 20) -> DataFrame:
+def write_token_files(
+    docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
+    image_bytes: int = 8 << 20
+) -> DataFrame:
     """Write the token files of all rows below ``path``, which must hold none yet, and return their
     listing: part, number, docs, ids, bytes, file.
 
@@ -161,16 +164,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     address = Storage(spark).qualified(path)
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = encoder(tokenizer)
-        small = np.dtype("<u2") if max(made.library.get_vocab_size(), end_id + 1) <= 1 << 16 else np.dtype("<u4")
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                cells = [np.frombuffer(x, dtype="<u4").astype(small).tobytes() for x in made.ids(batch.column(1).slice(i, 256).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 256), pa.array([small.itemsize] * len(cells), pa.int32()), pa.array(cells, pa.binary())], names=["doc_id", "width", "ids"])
-
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, number, part = [], 0, 0, TaskContext.get().partitionId()
+        encode, held, size, number, part = encoder(tokenizer).ids, [], 0, 0, TaskContext.get().partitionId()
 
         def full() -> pa.RecordBatch:
             file, image = f"{address}/data/part-{part:06d}-{number:06d}-{uuid.uuid4().hex}.pfb", write_image(held)
@@ -182,26 +177,24 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
             return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64()) for k, v in counts.items()} | {"file": pa.array([file])})
 
         for batch in batches:
-            names, widths, cells = (batch.column(k) for k in range(3))
-            for i in range(batch.num_rows):
-                ids = np.frombuffer(cells[i].as_buffer(), dtype=f"<u{widths[i].as_py()}").astype("<u4").tobytes() + end
-                held.append((names[i].as_py(), ids))
-                size += len(ids)
-                if size >= 2 * image_bytes:  # an id takes about half of its four bytes
-                    yield full()
-                    held, size, number = [], 0, number + 1
+            names, texts = batch.column(0).to_pylist(), batch.column(1)
+            for i in range(0, len(names), 256):
+                for name, ids in zip(names[i : i + 256], encode(texts.slice(i, 256).to_pylist())):
+                    held.append((name, ids + end))
+                    size += len(ids) + 4
+                    if size >= 2 * image_bytes:  # an id takes about half of its four bytes
+                        yield full()
+                        held, size, number = [], 0, number + 1
         if held:
             yield full()
 
-    began = mark()
     rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    rows = stage(spark, rows.mapInArrow(encoded, "doc_id long, width int, ids binary").withColumn("h", F.xxhash64("ids")), "ids")
-    n = max(1, -(-(rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // PART_BYTES))
-    # copies of an identifier may be many, so their ids' hashes may part them
-    rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "width", "ids")
-    files = rows.mapInArrow(images, "number long, docs long, ids long, bytes long, file string").withColumn("part", F.spark_partition_id())
+    n = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    # copies of an identifier may be many, so their texts' hashes may part them
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    files = rows.select("doc_id", "text").mapInArrow(images, "number long, docs long, ids long, bytes long, file string")
+    files = files.withColumn("part", F.spark_partition_id())
     files.write.parquet(f"{path}/listing")
-    drop(spark, began)
     return listing(spark, path)
 
 
@@ -231,7 +224,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 for i in range(0, len(names), 4096):
                     n = np.array([len(x) for x in ids[i : i + 4096]], dtype=np.int64)
                     cells = [x.astype("<u4", copy=False).tobytes() for x in ids[i : i + 4096]]
-                    yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 4096], pa.int64()), pa.array(first + np.cumsum(n) - n), pa.array(n), pa.array(cells, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names[i : i + 4096], pa.int64()), pa.array(first + np.cumsum(n) - n), pa.array(n), pa.array(cells, pa.binary())],
+                        names=["doc_id", "start", "n_tokens", "ids"]
+                    )
                     first += int(n.sum())
 
     starts = starts.repartition(max(1, min(count, max(4 * cores, count // 8))))
