@@ -35,6 +35,8 @@ from .tokens import encoder
 
 MAGIC, HEAD = b"PFB1", 32
 BLOCK = 256
+#: Blocks that are packed or unpacked together, at most.
+BLOCKS_AT_ONCE = 2048
 #: Bytes of text that a task encodes and writes, about.
 PART_BYTES = 16 << 20
 _BLOCK_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("n", "<u2")])
@@ -47,9 +49,17 @@ def _widths(diff: np.ndarray, percentile: float) -> np.ndarray:
 
 def pack_blocks(ids: np.ndarray, percentile: float = 98.0, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
     """The blocks' bytes and each block's offset; the last block is filled with its first id."""
+    return _joined([x for i in range(0, len(ids), BLOCKS_AT_ONCE * block) for x in _packed(ids[i : i + BLOCKS_AT_ONCE * block], percentile, block)])
+
+
+def _joined(blocks: list[bytes]) -> tuple[bytes, np.ndarray]:
+    size = np.fromiter(map(len, blocks), dtype=np.int64, count=len(blocks))
+    return b"".join(blocks), (np.cumsum(size) - size).astype("<u8")
+
+
+def _packed(ids: np.ndarray, percentile: float, block: int) -> list[bytes]:
+    """The bytes of each block."""
     n = -(-len(ids) // block)
-    if not n:
-        return b"", np.zeros(0, dtype="<u8")
     full = np.empty(n * block, dtype=np.uint32)
     full[: len(ids)] = ids
     full[len(ids) :] = ids[(n - 1) * block]
@@ -57,7 +67,7 @@ def pack_blocks(ids: np.ndarray, percentile: float = 98.0, block: int = BLOCK) -
     low = full.min(axis=1)
     diff = full - low[:, None]
     width = _widths(diff, percentile)
-    out: list[bytes | None] = [None] * n
+    out = [b""] * n
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
         d, w = diff[at], int(w)
@@ -76,8 +86,7 @@ def pack_blocks(ids: np.ndarray, percentile: float = 98.0, block: int = BLOCK) -
                 where = np.flatnonzero(over[k])
                 tail = where.astype("<u2").tobytes() + d[k, where].astype("<u4").tobytes()
             out[i] = head[k].tobytes() + body[k].tobytes() + tail
-    size = np.fromiter(map(len, out), dtype=np.int64, count=n)
-    return b"".join(out), (np.cumsum(size) - size).astype("<u8")
+    return out
 
 
 def unpack_blocks(data: memoryview | bytes, index: np.ndarray, ids: int, block: int = BLOCK) -> np.ndarray:
@@ -89,8 +98,8 @@ def unpack_blocks(data: memoryview | bytes, index: np.ndarray, ids: int, block:
         return out.reshape(-1)
     head = raw[index[:, None] + np.arange(_BLOCK_HEAD.itemsize)].copy().view(_BLOCK_HEAD).reshape(n)
     index = index + _BLOCK_HEAD.itemsize
-    for w in np.unique(head["width"]):
-        at, w = np.flatnonzero(head["width"] == w), int(w)
+    alike = [(int(w), np.flatnonzero(head["width"] == w)) for w in np.unique(head["width"])]
+    for w, at in ((w, at[i : i + BLOCKS_AT_ONCE]) for w, at in alike for i in range(0, len(at), BLOCKS_AT_ONCE)):
         planes, low = max(0, w - 8) if w >= 8 else w, 8 if w >= 8 else 0
         size = (block if low else 0) + planes * block // 8
         body = raw[index[at][:, None] + np.arange(size)]
@@ -105,15 +114,46 @@ def unpack_blocks(data: memoryview | bytes, index: np.ndarray, ids: int, block:
     return out.reshape(-1)[:ids]
 
 
+class Image:
+    """A file image that documents are added to; only the last ids wait to be packed."""
+
+    def __init__(self, percentile: float = 98.0):
+        self.percentile, self.names, self.sizes = percentile, [], []
+        self.blocks: list[bytes] = []
+        self.open: list[bytes] = []
+        self.waiting = 0
+
+    def add(self, name: int | None, ids: bytes) -> None:
+        """``ids`` are little-endian unsigned 32-bit bytes."""
+        self.names.append(name)
+        self.sizes.append(len(ids) // 4)
+        self.open.append(ids)
+        self.waiting += len(ids)
+        if self.waiting >= 4 * BLOCK * BLOCKS_AT_ONCE:
+            self._pack(self.waiting // (4 * BLOCK) * BLOCK)
+
+    def _pack(self, n: int) -> None:
+        ids = np.frombuffer(b"".join(self.open), dtype="<u4")
+        for i in range(0, n, BLOCK * BLOCKS_AT_ONCE):
+            self.blocks += _packed(ids[i : min(n, i + BLOCK * BLOCKS_AT_ONCE)], self.percentile, BLOCK)
+        self.open, self.waiting = [ids[n:].tobytes()], 4 * (len(ids) - n)
+
+    def bytes(self) -> bytes:
+        self._pack(self.waiting // 4)
+        data, index = _joined(self.blocks)
+        names = np.array([0 if i is None else i for i in self.names], dtype="<i8")
+        null = np.array([i is None for i in self.names], dtype=np.uint8)
+        sizes = np.array(self.sizes, dtype="<u8")
+        head = MAGIC + np.array([BLOCK], dtype="<u4").tobytes() + np.array([len(names), sum(self.sizes), len(index)], dtype="<u8").tobytes()
+        return b"".join([head, names.tobytes(), null.tobytes(), sizes.tobytes(), index.tobytes(), data])
+
+
 def write_image(docs: list[tuple[int | None, bytes]], percentile: float = 98.0) -> bytes:
     """A file image of documents given as (doc_id, ids as little-endian unsigned 32-bit bytes)."""
-    ids = np.frombuffer(b"".join(d for _, d in docs), dtype="<u4")
-    data, index = pack_blocks(ids, percentile)
-    names = np.array([0 if i is None else i for i, _ in docs], dtype="<i8")
-    null = np.array([i is None for i, _ in docs], dtype=np.uint8)
-    sizes = np.array([len(d) // 4 for _, d in docs], dtype="<u8")
-    head = MAGIC + np.array([BLOCK], dtype="<u4").tobytes() + np.array([len(docs), len(ids), len(index)], dtype="<u8").tobytes()
-    return b"".join([head, names.tobytes(), null.tobytes(), sizes.tobytes(), index.tobytes(), data])
+    image = Image(percentile)
+    for name, ids in docs:
+        image.add(name, ids)
+    return image.bytes()
 
 
 def _parts(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]:
@@ -165,27 +205,27 @@ def write_token_files(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, held, size, number, part = encoder(tokenizer).ids, [], 0, 0, TaskContext.get().partitionId()
+        encode, held, size, number, part = encoder(tokenizer).parts, Image(), 0, 0, TaskContext.get().partitionId()
 
         def full() -> pa.RecordBatch:
-            file, image = f"{address}/data/part-{part:06d}-{number:06d}-{uuid.uuid4().hex}.pfb", write_image(held)
+            file, image = f"{address}/data/part-{part:06d}-{number:06d}-{uuid.uuid4().hex}.pfb", held.bytes()
             store, at = store_of(file)
             store.create_dir(at.rpartition("/")[0], recursive=True)
             with store.open_output_stream(at) as f:
                 f.write(image)
-            counts = {"number": number, "docs": len(held), "ids": sum(len(d) for _, d in held) // 4, "bytes": len(image)}
+            counts = {"number": number, "docs": len(held.names), "ids": sum(held.sizes), "bytes": len(image)}
             return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64()) for k, v in counts.items()} | {"file": pa.array([file])})
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(names), 256):
-                for name, ids in zip(names[i : i + 256], encode(texts.slice(i, 256).to_pylist())):
-                    held.append((name, ids + end))
+            names = batch.column(0).to_pylist()
+            for i, cells in encode(batch.column(1)):
+                for name, ids in zip(names[i : i + len(cells)], cells):
+                    held.add(name, ids + end)
                     size += len(ids) + 4
                     if size >= 2 * image_bytes:  # an id takes about half of its four bytes
                         yield full()
-                        held, size, number = [], 0, number + 1
-        if held:
+                        held, size, number = Image(), 0, number + 1
+        if held.names:
             yield full()
 
     rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))

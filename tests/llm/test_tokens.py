@@ -32,6 +32,78 @@ def test_added_tokens_in_texts_are_the_librarys(name):
     assert ENCODERS[name].ids(texts) == [np.array(fresh.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
 
 
+def _new_words(n):
+    import random
+
+    r = random.Random(8)
+    parts = ["the", "ing", "sch", "ción", "é", "ß", "q", "ZZ", "o", "ent", "ÀÿÞ", "a"]
+    return ["".join(r.choice(parts) for _ in range(r.randint(1, 9))) + r.choice(["", "", ",", "###", "?!"]) for _ in range(n)] + ["ab" * 200, "é" * 90]
+
+
+class _Counted:
+    """The library, which counts what its model is asked."""
+
+    def __init__(self, library):
+        self.library, self.asked = library, 0
+
+    def __getattr__(self, name):
+        return getattr(self.library, name)
+
+    @property
+    def model(self):
+        counted, model = self, self.library.model
+
+        class Model:
+            def tokenize(self, text):
+                counted.asked += 1
+                return model.tokenize(text)
+
+        return Model()
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_new_words_are_merged_side_by_side(name):
+    e, words = Encoder(q.tokenizer_file(name)), _new_words(6000)
+    want = [np.array(x.ids, dtype="<u4").tobytes() for x in e.library.encode_batch(words, add_special_tokens=False)]
+    e.library = _Counted(e.library)
+    assert e.ids(words) == want
+    assert e.library.asked < 100  # the library's model takes several times as long, a word at a time
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_small_parts_and_small_memory_give_the_same_ids(name, monkeypatch):
+    import pyarrow as pa
+
+    from manyfold.llm import tokens
+
+    words = _new_words(3000)
+    texts = [" ".join(words[k : k + 7]) + ["", "\n", "  x", "\0", "<|endoftext|>"][k % 5] for k in range(0, 3000, 5)] + ["", "\n"]
+    want = [np.array(x.ids, dtype="<u4").tobytes() for x in ENCODERS[name].library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 400)
+    monkeypatch.setattr(tokens, "BYTES_AT_ONCE", 1000)
+    e = Encoder(q.tokenizer_file(name))
+    for column in (texts, pa.array(["left out", *texts])[1:]):
+        got = list(e.parts(column))
+        assert len(got) > 20 and [k for k, _ in got] == np.cumsum([0, *(len(x) for _, x in got)])[:-1].tolist()
+        assert [x for _, ids in got for x in ids] == want
+    assert len(e.known) < 1000 and len(e.older) < 1000
+
+
+def test_packing_blocks_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    docs = [(k, rng.zipf(1.3, 1 << 16).clip(0, 50_000).astype("<u4").tobytes()) for k in range(64)]
+    tracemalloc.start()
+    try:
+        image = token_files.write_image(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 << 20  # 16 MB of ids beside it
+    assert [(n, i.astype("<u4").tobytes()) for n, i in token_files.read_image(image)] == docs
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=700), st.sampled_from([50.0, 90.0, 100.0]))
 def test_blocks_round_trip(ids, percentile):
