@@ -91,13 +91,14 @@ def pack(
         made = encoder(tokenizer)
         small = np.dtype("<u2") if max(made.library.get_vocab_size(), end_id + 1) <= 1 << 16 else np.dtype("<u4")
         for batch in batches:
-            for i in range(0, batch.num_rows, DOCS_AT_ONCE):
-                ids = [np.frombuffer(x, dtype="<u4") for x in made.ids(batch.column(1).slice(i, DOCS_AT_ONCE).to_pylist())]
-                cells = pa.array([x.astype(small).tobytes() for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, DOCS_AT_ONCE), pa.array(curve_keys(ids)), pa.array([small.itemsize] * len(ids), pa.int32()), cells],
-                    names=["doc_id", "key", "width", "ids"]
-                )
+            for at, part in made.parts(batch.column(1)):
+                for i in range(0, len(part), DOCS_AT_ONCE):
+                    ids = [np.frombuffer(x, dtype="<u4") for x in part[i : i + DOCS_AT_ONCE]]
+                    cells = pa.array([x.astype(small).tobytes() for x in ids], pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(at + i, len(ids)), pa.array(curve_keys(ids)), pa.array([small.itemsize] * len(ids), pa.int32()), cells],
+                        names=["doc_id", "key", "width", "ids"]
+                    )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], dtype="<u4")
