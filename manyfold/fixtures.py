@@ -17,6 +17,8 @@ from .sources.storage import workspace
 SOURCE = "source_connection_id"
 TENANTS = ("tenant_0", "tenant_1", "tenant_2")
 OFFSET = 900_000  # divisible by three, so that the tenant rule still holds
+#: So many lines go to a task that joins them with their orders, however many there are.
+LINES = 500_000
 
 
 @dataclass
@@ -58,11 +60,15 @@ def with_ids(df: DataFrame, ids: dict[str, int] | None = None) -> DataFrame:
     return df.select(*(F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata) for f in schema.fields))
 
 
-def put(w: World, namespace: str, df: DataFrame, table: str = "customer", ids: dict[str, int] | None = None, replace: bool = False, files: int = 1) -> None:
-    """Add a file to a source's table; ``replace`` removes its files first, as a copy-on-write update does."""
+def put(w: World, namespace: str, df: DataFrame, table: str = "customer", ids: dict[str, int] | None = None, replace: bool = False, files: int | None = 1) -> None:
+    """Add files to a source's table; ``replace`` removes its files first, as a copy-on-write update does.
+
+    A file is written by one task. So a whole table goes without a number of files, and each task
+    writes the rows that it has; a number is for a few rows, and where a query's SQL counts files."""
     at = w.catalog.path(namespace, table)
     old = [p for p, *_ in w.catalog.source_files(namespace, table)] if replace else []
-    with_ids(df, ids).coalesce(1).repartition(files).write.mode("append").parquet(at)
+    rows = with_ids(df, ids)
+    (rows.repartition(files) if files else rows).write.mode("append").parquet(at)
     for p in old:
         w.catalog.storage.delete(p)
 
@@ -244,12 +250,13 @@ def _doubled(spark, sf_dir, w):
 
 def _several(spark, sf_dir, w):
     customer, orders, lines = (base(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
-    owner = orders.select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 3).alias("t"))
-    lines = lines.join(owner, F.col("l_orderkey") == F.col("k")).drop("k")
+    parts = max(1, -(-lines.count() // LINES))
+    owner = orders.select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 3).alias("t")).repartition(parts, "k")
+    lines = lines.repartition(parts, "l_orderkey").join(owner, F.col("l_orderkey") == F.col("k")).drop("k")
     for k, ns in enumerate(TENANTS):
-        put(w, ns, tenant(customer, k))
-        put(w, ns, tenant(orders, k, "o_custkey"), "orders")
-        put(w, ns, lines.where(F.col("t") == k).drop("t"), "lineitem")
+        put(w, ns, tenant(customer, k), files=None)
+        put(w, ns, tenant(orders, k, "o_custkey"), "orders", files=None)
+        put(w, ns, lines.where(F.col("t") == k).drop("t"), "lineitem", files=None)
     w.runs.append(run(w.catalog, w.config))
 
 
