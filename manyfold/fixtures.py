@@ -88,17 +88,17 @@ def hued(df: DataFrame, name: str = "hue") -> DataFrame:
     return df.withColumn(name, value)
 
 
-def _plain(spark: SparkSession, sf_dir: str, w: World, register: bool = True) -> DataFrame:
+def _plain(spark: SparkSession, sf_dir: str, w: World, register: bool = True, files: int | None = None) -> DataFrame:
     df = base(spark, sf_dir, "customer")
     for k, ns in enumerate(TENANTS):
-        put(w, ns, tenant(df, k))
+        put(w, ns, tenant(df, k), files=files)
     if register:
         w.register()
     return df
 
 
 def _f1(spark, sf_dir, w):
-    _plain(spark, sf_dir, w)
+    _plain(spark, sf_dir, w, files=1)
     w.register()
 
 
@@ -176,7 +176,7 @@ def _two_columns(spark, sf_dir, w):
 
 
 def _cow(spark, sf_dir, w):
-    df = _plain(spark, sf_dir, w)
+    df = _plain(spark, sf_dir, w, files=1)
     seg = F.when(F.col("c_custkey") % 30 == 0, F.lit("UPDATED")).otherwise(F.col("c_mktsegment"))
     put(w, TENANTS[0], tenant(df, 0).withColumn("c_mktsegment", seg), replace=True, files=2)
     w.register()
@@ -185,10 +185,10 @@ def _cow(spark, sf_dir, w):
 def _soft(spark, sf_dir, w):
     df = base(spark, sf_dir, "customer").withColumn("_deleted", F.lit(False))
     for k, ns in enumerate(TENANTS):
-        put(w, ns, tenant(df, k))
+        put(w, ns, tenant(df, k), files=None)
     w.register()
     for k, ns in enumerate(TENANTS):
-        put(w, ns, tenant(df, k).withColumn("_deleted", F.col("c_custkey") % 50 == 0), replace=True)
+        put(w, ns, tenant(df, k).withColumn("_deleted", F.col("c_custkey") % 50 == 0), replace=True, files=None)
     w.register()
 
 
@@ -199,7 +199,7 @@ def cycled(df: DataFrame, k: int, cycles: int) -> DataFrame:
     for c in range(1, cycles + 1):
         rows = rows.withColumn("c_mktsegment", F.when(at.isin([10 * c, 10 * c + 1, 10 * c + 2]), F.lit(f"UPD{c}")).otherwise(F.col("c_mktsegment")))
         rows = rows.withColumn("_deleted", F.col("_deleted") | at.isin([10 * c + 5, 10 * c + 6]))
-        new = df.sparkSession.range(5).select(
+        new = df.sparkSession.range(0, 5, 1, 1).select(
             (F.lit(OFFSET * c + k) + 3 * F.col("id")).alias("c_custkey"), F.lit("new").alias("c_name"),
             F.lit(0).alias("c_nationkey"), F.lit(float(c)).alias("c_acctbal"), F.lit("NEW").alias("c_mktsegment"),
             F.lit(False).alias("_deleted")
@@ -212,7 +212,7 @@ def _cycles(spark, sf_dir, w):
     df = base(spark, sf_dir, "customer")
     for c in range(3):
         for k, ns in enumerate(TENANTS):
-            put(w, ns, cycled(df, k, c), replace=c > 0)
+            put(w, ns, cycled(df, k, c), replace=c > 0, files=None)
         w.register()
 
 
@@ -241,7 +241,7 @@ def _discovery(spark, sf_dir, w):
 
 
 def _doubled(spark, sf_dir, w):
-    _plain(spark, sf_dir, w)
+    _plain(spark, sf_dir, w, files=1)
     c, ns = w.catalog, w.config.target_namespace
     snap = c.latest(ns, "customer")
     again = c.manifest(ns, "customer").where(F.col("source_id") == "tenant_0").drop("added_version")
@@ -263,13 +263,13 @@ def _several(spark, sf_dir, w):
 def _vectors(spark, sf_dir, w):
     df = base(spark, sf_dir, "embeddings")
     for k, ns in enumerate(TENANTS):
-        put(w, ns, tenant(df, k, "vec_id"), "embeddings")
+        put(w, ns, tenant(df, k, "vec_id"), "embeddings", files=None)
     w.register("embeddings")
 
 
 def _folders(spark, sf_dir, w):
     df = _plain(spark, sf_dir, w)
-    with_ids(copies(df, 1)).coalesce(1).write.parquet(f"{w.catalog.path(TENANTS[1], 'customer')}/data/2024")
+    with_ids(copies(df, 1)).repartition(1).write.parquet(f"{w.catalog.path(TENANTS[1], 'customer')}/data/2024")
     w.register()
 
 
